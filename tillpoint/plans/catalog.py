@@ -17,6 +17,7 @@ from tillpoint.operators import dashboards as D
 from tillpoint.plans import oracle as O
 from tillpoint.session import ensure_session_defaults
 from tillpoint.sources.bindings import ledger_binding
+from tillpoint.plans.reports_catalog import REPORT_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,10 +71,12 @@ def _ledger_oracle() -> dict[str, str]:
 def queries() -> dict[str, Query]:
     q = {}
     q.update(_ledger_queries())
+    q.update(REPORT_QUERIES)
     return q
 
 
 def oracle_sql() -> dict[str, str]:
     o = {}
     o.update(_ledger_oracle())
+    o.update(O.report_sql())
     return o

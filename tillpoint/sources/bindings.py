@@ -79,3 +79,310 @@ def ledger_binding(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) ->
         _case_mod(eid, 4, ["pending", "processing", "cancelled", "completed"]).alias("status"),
         F.col("ts").alias("created_at"), tenant)
     return Ledger(bills, web_bills, man_incomes, man_expenses, orders, as_of)
+
+
+# ---------------------------------------------------------------- binding C
+
+# Fixed values of binding C (FIXTURES.md §4).
+PRODUCT_TYPES = ["Offline", "Online", "Hybrid"]
+ORDER_STATUS = {"F": "completed", "O": "pending", "P": "processing"}
+WEB_BILL_STATUS = {"F": "Paid", "P": "Pending", "O": "Failed"}
+BILL_STATUS = {"F": "paid", "P": "pending", "O": "failed"}
+ACCOUNT_METHODS = ["Cash", "Credit Card", "Bank Transfer", "Other"]
+ACCOUNT_STATUS = ["Pending", "Paid", "Overdue"]
+SALARY_METHODS = ["bank_transfer", "cash", "cheque", "upi"]
+EMPLOYEE_POSITIONS = ["Cashier", "Manager", "Clerk"]
+APPLY_STATUS = {"A": "accepted", "N": "pending", "R": "rejected"}
+COMMERCE_EPOCH = "2024-01-01 00:00:00"
+UNUSED_CATEGORY = "UNUSED"
+
+
+def _map(c: Column, mapping: dict) -> Column:
+    expr = None
+    for k, v in mapping.items():
+        expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
+    return expr
+
+
+def _minutes_after_epoch(n: Column) -> Column:
+    return ntz(COMMERCE_EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), n.cast("int"))
+
+
+class Commerce:
+    """Binding C: commerce, HR and job-board tables on the star schema.
+
+    Frames are built lazily so a report scans only the tables it uses.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+        self._cache: dict[str, DataFrame] = {}
+
+    def _t(self, name, cols):
+        return read_table(self.spark, self.root, name, cols)
+
+    def _memo(self, key, build):
+        if key not in self._cache:
+            self._cache[key] = build()
+        return self._cache[key]
+
+    # -- tenants and users
+    @property
+    def clients(self) -> DataFrame:
+        return self._memo("clients", lambda: self._t("nation", ["n_nationkey", "n_name"]).select(
+            F.col("n_nationkey").alias("client_id"), F.col("n_name").alias("client_name"),
+            F.concat(F.lit("Owner "), F.col("n_nationkey").cast("string")).alias("owner_name"),
+            F.concat(F.lower("n_name"), F.lit("@shop.example")).alias("email"),
+            F.lower("n_name").alias("subdomain"),
+            F.concat(F.lit("user_db_"), F.col("n_nationkey").cast("string")).alias("db_name"),
+            F.lit("retail").alias("business_category"), F.lit("active").alias("status")))
+
+    @property
+    def users(self) -> DataFrame:
+        return self._memo("users", lambda: self._t("customer", ["c_custkey", "c_name", "c_nationkey"]).select(
+            F.col("c_custkey").alias("user_id"), F.col("c_name").alias("full_name"),
+            F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
+            F.concat(F.lit("ph-"), F.col("c_custkey").cast("string")).alias("phone"),
+            F.col("c_nationkey").alias("client_id")))
+
+    # -- catalogue
+    @property
+    def products(self) -> DataFrame:
+        def build():
+            p = self._t("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+            k = F.col("p_partkey")
+            created = _minutes_after_epoch(k)
+            return p.select(
+                k.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"),
+                to_money("p_retailprice").alias("price"), F.col("p_size").alias("quantity"),
+                F.concat(F.lit("BC"), k.cast("string")).alias("barcode"), F.col("p_type").alias("category"),
+                _case_mod(k, 3, PRODUCT_TYPES).alias("type"),
+                F.when(k % 10 == 0, F.lit("Inactive")).otherwise(F.lit("Active")).alias("status"),
+                (k % 17 == 0).alias("deleted"),
+                (F.col("p_size") > 45).alias("bestseller"),
+                F.concat(F.lit("img/"), k.cast("string")).alias("imageurl"),
+                created.alias("created_at"), created.alias("updated_at"))
+        return self._memo("products", build)
+
+    @property
+    def category(self) -> DataFrame:
+        """Distinct product categories plus one unused name; ids by name order.
+
+        The distinct set is bounded by the category vocabulary, so numbering it
+        with one ordered window is a single small task.
+        """
+        def build():
+            names = (self._t("part", ["p_type"]).select(F.col("p_type").alias("category"))
+                     .unionByName(self.spark.range(1).select(F.lit(UNUSED_CATEGORY).alias("category")))
+                     .distinct())
+            from pyspark.sql import Window
+            return names.select(F.row_number().over(Window.orderBy("category")).cast("int").alias("category_id"),
+                                "category", ntz(COMMERCE_EPOCH).alias("created_at"))
+        return self._memo("category", build)
+
+    # -- web orders
+    @property
+    def orders(self) -> DataFrame:
+        return self._memo("orders", lambda: self._t(
+            "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]).select(
+            F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
+            to_money("o_totalprice").alias("total_price"),
+            _map(F.col("o_orderstatus"), ORDER_STATUS).alias("status"),
+            F.col("o_orderdate").alias("created_at")))
+
+    def _items(self):
+        li = self._t("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+        return li.select(
+            (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("item_id"),
+            F.col("l_orderkey").alias("parent_id"), F.col("l_partkey").alias("product_id"),
+            F.col("l_quantity").cast("int").alias("quantity"), to_money("l_extendedprice").alias("unit_price"))
+
+    @property
+    def order_item(self) -> DataFrame:
+        return self._memo("order_item", lambda: self._items().select(
+            F.col("item_id").alias("order_item_id"), F.col("parent_id").alias("order_id"),
+            "product_id", "quantity", "unit_price"))
+
+    @property
+    def web_bills(self) -> DataFrame:
+        return self._memo("web_bills", lambda: self._t(
+            "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+            .filter(F.col("o_orderkey") % 5 != 0).select(
+            F.col("o_orderkey").alias("web_bill_id"), F.col("o_orderkey").alias("order_id"),
+            to_money("o_totalprice").alias("total_amount"),
+            _map(F.col("o_orderstatus"), WEB_BILL_STATUS).alias("payment_status"),
+            _case_mod(F.col("o_orderkey"), 4, ["Card", "UPI", "Cash", "Other"]).alias("payment_method"),
+            F.col("o_orderdate").alias("generated_at")))
+
+    # -- point of sale
+    @property
+    def cart(self) -> DataFrame:
+        return self._memo("cart", lambda: self._t(
+            "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+            .filter(F.col("o_orderkey") % 5 == 0).select(
+            F.col("o_orderkey").alias("cart_id"), to_money("o_totalprice").alias("total_price"),
+            _map(F.col("o_orderstatus"), ORDER_STATUS).alias("status"), F.col("o_orderdate").alias("created_at")))
+
+    @property
+    def cart_item(self) -> DataFrame:
+        return self._memo("cart_item", lambda: self._items().filter(F.col("parent_id") % 5 == 0).select(
+            F.col("item_id").alias("cart_item_id"), F.col("parent_id").alias("cart_id"),
+            "product_id", "quantity", "unit_price"))
+
+    @property
+    def bills(self) -> DataFrame:
+        return self._memo("bills", lambda: self._t(
+            "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
+            .filter(F.col("o_orderkey") % 5 == 0).select(
+            F.col("o_orderkey").alias("bill_id"), F.col("o_orderkey").alias("cart_id"),
+            to_money("o_totalprice").alias("total_amount"),
+            _map(F.col("o_orderstatus"), BILL_STATUS).alias("payment_status"),
+            _case_mod(F.col("o_orderkey"), 3, ["card", "UPI", "cash"]).alias("payment_method"),
+            F.col("o_orderdate").alias("generated_at")))
+
+    # -- HR
+    @property
+    def employees(self) -> DataFrame:
+        def build():
+            s = self._t("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"])
+            k = F.col("s_suppkey")
+            shared = k % 25 == 0        # these rows repeat keys, for the conflict jobs
+            created = ntz("2023-01-01 00:00:00") + F.make_dt_interval(F.lit(0), k.cast("int"))
+            return s.select(
+                k.alias("id"), F.lit("Supplier").alias("first_name"), F.substring("s_name", 10, 100).alias("last_name"),
+                F.concat(F.lit("emp"), F.when(shared, F.lit(0)).otherwise(k).cast("string"),
+                         F.lit("@staff.example")).alias("email"),
+                F.concat(F.lit("ph-"), F.when(shared, F.floor(k / 50)).otherwise(k).cast("string")).alias("phone"),
+                _case_mod(F.col("s_nationkey"), 3, EMPLOYEE_POSITIONS).alias("position"),
+                to_money("s_acctbal").alias("salary"),
+                F.concat(F.lit("Bank "), (F.col("s_nationkey") % 5).cast("string")).alias("bank_name"),
+                F.concat(F.lit("AC"), F.when(shared, F.floor(k / 100)).otherwise(k).cast("string"))
+                .alias("bank_account_number"),
+                F.concat(F.lit("IFSC"), F.lpad(k.cast("string"), 7, "0")).alias("ifsc_code"),
+                F.date_add(F.to_date(F.lit("2020-01-01")), k.cast("int")).alias("joining_date"),
+                created.alias("created_at"), created.alias("updated_at"))
+        return self._memo("employees", build)
+
+    @property
+    def salaries(self) -> DataFrame:
+        def build():
+            li = self._t("lineitem", ["l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"])
+            return li.filter(F.col("l_linenumber") == 1).select(
+                F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("employee_id"),
+                to_money("l_extendedprice").alias("salary_amount"),
+                F.to_date("l_shipdate").alias("payment_date"),
+                F.trunc(F.to_date("l_shipdate"), "month").alias("salary_month"),
+                _case_mod(F.col("l_orderkey"), 4, SALARY_METHODS).alias("payment_method"),
+                F.col("l_shipdate").alias("created_at"))
+        return self._memo("salaries", build)
+
+    # -- payables / receivables
+    def _accounts(self, parity: int, date_col: str, keep=None, changed=None) -> DataFrame:
+        o = self._t("orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
+        o = o.filter(F.col("o_orderkey") % 2 == parity)
+        if keep is not None:
+            o = o.filter(keep(F.col("o_orderkey")))
+        k = F.col("o_orderkey")
+        half = F.floor(k / 2)
+        status = _case_mod(half, 3, ACCOUNT_STATUS)
+        if changed is not None:
+            status = F.when(changed(k), _case_mod(half + 1, 3, ACCOUNT_STATUS)).otherwise(status)
+        return o.select(
+            k.alias("id"), F.col("o_custkey").cast("string").alias("account_name"),
+            to_money("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias(date_col),
+            _case_mod(half, 4, ACCOUNT_METHODS).alias("payment_method"), status.alias("status"),
+            F.col("o_orderdate").alias("created_at"))
+
+    @property
+    def accounts_payable(self) -> DataFrame:
+        return self._memo("ap", lambda: self._accounts(0, "payment_date"))
+
+    @property
+    def accounts_receivable(self) -> DataFrame:
+        return self._memo("ar", lambda: self._accounts(1, "due_date"))
+
+    def account_snapshots(self, kind: str = "payable") -> tuple[DataFrame, DataFrame]:
+        """(before, after) snapshots for the audit diff: rows drop out and statuses change."""
+        parity, date_col = (0, "payment_date") if kind == "payable" else (1, "due_date")
+        before = self._accounts(parity, date_col, keep=lambda k: k % 7 != 0)
+        after = self._accounts(parity, date_col, keep=lambda k: k % 11 != 0, changed=lambda k: k % 13 == 0)
+        return before, after
+
+    # -- job board
+    @property
+    def job_list(self) -> DataFrame:
+        def build():
+            p = self._t("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+            k = F.col("p_partkey")
+            return p.select(
+                k.alias("job_id"), (k % 25).cast("int").alias("client_id"), F.col("p_name").alias("job_title"),
+                F.concat(F.lit("Work on "), F.col("p_type")).alias("description"),
+                F.concat(F.lit("City "), (F.col("p_size") % 10).cast("string")).alias("location"),
+                F.concat(F.col("p_retailprice").cast("int").cast("string"), F.lit("/month")).alias("salary_range"),
+                F.when(k % 4 == 0, F.lit("closed")).otherwise(F.lit("open")).alias("status"),
+                F.concat(F.lit("NATION_"), (k % 25).cast("string")).alias("company_name"),
+                F.col("p_brand").alias("quali_1"), F.col("p_type").alias("quali_2"),
+                F.when(k % 2 == 0, F.lit("Full-time")).otherwise(F.lit("Part-time")).alias("type"),
+                _case_mod(k, 3, ["Onsite", "Remote", "Hybrid"]).alias("work_type"),
+                _minutes_after_epoch(k).alias("created_at"))
+        return self._memo("job_list", build)
+
+    @property
+    def job_user(self) -> DataFrame:
+        return self._memo("job_user", lambda: self._t("customer", ["c_custkey", "c_name", "c_nationkey"]).select(
+            F.col("c_custkey").alias("job_user_id"), F.col("c_name").alias("job_user_name"),
+            F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
+            F.concat(F.lit("ph-"), F.col("c_custkey").cast("string")).alias("phone"),
+            F.concat(F.lit("Street "), F.col("c_custkey").cast("string")).alias("address"),
+            F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("city"),
+            F.date_add(F.to_date(F.lit("1980-01-01")), (F.col("c_custkey") % 7000).cast("int")).alias("dob"),
+            F.concat(F.lit("img/u"), F.col("c_custkey").cast("string")).alias("image")))
+
+    @property
+    def job_apply(self) -> DataFrame:
+        """One application per (part, customer) pair seen in lineitem x orders.
+
+        Built with a join on the order key and one grouped aggregate; both are
+        shuffles on their keys with map-side partial aggregation.
+        """
+        def build():
+            li = self._t("lineitem", ["l_orderkey", "l_partkey", "l_returnflag"])
+            o = self._t("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+            j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
+            g = j.groupBy("l_partkey", "o_custkey").agg(F.min("o_orderdate").alias("applied_at"),
+                                                        F.min("l_returnflag").alias("flag"))
+            return g.select(
+                (F.col("l_partkey") * 1000000 + F.col("o_custkey")).alias("job_apply_id"),
+                F.col("l_partkey").alias("job_id"), F.col("o_custkey").alias("job_user_id"), "applied_at",
+                _map(F.col("flag"), APPLY_STATUS).alias("status"),
+                F.concat(F.lit("cv/"), F.col("o_custkey").cast("string")).alias("resume"))
+        return self._memo("job_apply", build)
+
+    # -- documents
+    @property
+    def documents(self) -> DataFrame:
+        return self._memo("documents", lambda: self._t("documents", ["doc_id", "lang", "source"]).select(
+            F.col("doc_id").alias("document_id"),
+            F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("file_url"),
+            F.col("lang").alias("description"), _minutes_after_epoch(F.col("doc_id")).alias("created_at")))
+
+
+def commerce_binding(spark: SparkSession, root: str) -> Commerce:
+    return Commerce(spark, root)
+
+
+def host_requests(c: Commerce) -> DataFrame:
+    """Request rows carrying a Host header, one per web order (binding C).
+
+    Most hosts name the buyer's store with stray blanks and mixed case; every
+    50th is 'www', an empty label, or an unknown store.
+    """
+    o = c._t("orders", ["o_orderkey", "o_custkey"])
+    k = F.col("o_orderkey")
+    store = F.concat(F.lit(" Nation_"), (F.col("o_custkey") % TENANTS).cast("string"), F.lit(".shop.example"))
+    host = (F.when(k % 50 == 0, F.lit("www.shop.example"))
+             .when(k % 50 == 1, F.lit(" .shop.example"))
+             .when(k % 50 == 2, F.lit("nowhere.shop.example"))
+             .otherwise(store))
+    return o.select(k.alias("request_id"), host.alias("host"),
+                    F.concat(F.lit(" NATION_"), (F.col("o_custkey") % 30).cast("string"), F.lit(" ")).alias("subdomain"))
