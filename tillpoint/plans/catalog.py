@@ -18,6 +18,7 @@ from tillpoint.plans import oracle as O
 from tillpoint.session import ensure_session_defaults
 from tillpoint.sources.bindings import ledger_binding
 from tillpoint.plans.reports_catalog import REPORT_QUERIES
+from tillpoint.plans.quality_catalog import QUALITY_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +73,7 @@ def queries() -> dict[str, Query]:
     q = {}
     q.update(_ledger_queries())
     q.update(REPORT_QUERIES)
+    q.update(QUALITY_QUERIES)
     return q
 
 
@@ -79,4 +81,5 @@ def oracle_sql() -> dict[str, str]:
     o = {}
     o.update(_ledger_oracle())
     o.update(O.report_sql())
+    o.update(O.quality_sql())
     return o

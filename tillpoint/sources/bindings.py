@@ -119,7 +119,10 @@ class Commerce:
         self._cache: dict[str, DataFrame] = {}
 
     def _t(self, name, cols):
-        return read_table(self.spark, self.root, name, cols)
+        # one scan definition per table; each use selects its columns (pruned at the reader)
+        if ("raw", name) not in self._cache:
+            self._cache[("raw", name)] = read_table(self.spark, self.root, name)
+        return self._cache[("raw", name)].select(*cols)
 
     def _memo(self, key, build):
         if key not in self._cache:
