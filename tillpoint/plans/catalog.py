@@ -19,6 +19,7 @@ from tillpoint.session import ensure_session_defaults
 from tillpoint.sources.bindings import ledger_binding
 from tillpoint.plans.reports_catalog import REPORT_QUERIES
 from tillpoint.plans.quality_catalog import QUALITY_QUERIES
+from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +75,7 @@ def queries() -> dict[str, Query]:
     q.update(_ledger_queries())
     q.update(REPORT_QUERIES)
     q.update(QUALITY_QUERIES)
+    q.update(IDENTITY_QUERIES)
     return q
 
 
@@ -82,4 +84,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(_ledger_oracle())
     o.update(O.report_sql())
     o.update(O.quality_sql())
+    o.update(O.identity_sql())
     return o

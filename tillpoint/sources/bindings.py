@@ -389,3 +389,45 @@ def host_requests(c: Commerce) -> DataFrame:
              .otherwise(store))
     return o.select(k.alias("request_id"), host.alias("host"),
                     F.concat(F.lit(" NATION_"), (F.col("o_custkey") % 30).cast("string"), F.lit(" ")).alias("subdomain"))
+
+
+# ---------------------------------------------------------------- binding E: sign-up tables
+
+CODE_LIFETIME_E = "1 day"      # code lifetime used with binding E (the reference's is 10 minutes)
+CODE_MOD = 3
+
+
+def code_issues(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) -> DataFrame:
+    """Issued e-mail codes: one per 'signup' event (email 'u<user_id>', code event_id % 3)."""
+    ev = (read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type"])
+          .filter((F.col("ts") <= ntz(as_of)) & (F.col("event_type") == "signup")))
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"),
+                     F.col("event_id").alias("issue_id"),
+                     (F.col("event_id") % CODE_MOD).cast("string").alias("code"),
+                     F.col("ts").alias("created_at"),
+                     (F.col("ts") + F.expr(f"INTERVAL {CODE_LIFETIME_E}")).alias("expires_at"))
+
+
+def code_attempts(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) -> DataFrame:
+    """Code attempts: one per 'click' event."""
+    ev = (read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type"])
+          .filter((F.col("ts") <= ntz(as_of)) & (F.col("event_type") == "click")))
+    return ev.select(F.col("event_id").alias("attempt_id"),
+                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"),
+                     (F.col("event_id") % CODE_MOD).cast("string").alias("code"),
+                     F.col("ts").alias("attempted_at"))
+
+
+def account_requests(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) -> DataFrame:
+    """Account-creation requests: one per 'purchase' event."""
+    ev = (read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type"])
+          .filter((F.col("ts") <= ntz(as_of)) & (F.col("event_type") == "purchase")))
+    return ev.select(F.col("event_id").alias("request_id"),
+                     F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email"),
+                     F.col("ts").alias("requested_at"))
+
+
+def registered_emails(spark: SparkSession, root: str) -> DataFrame:
+    """E-mails already holding an account: users whose id is a multiple of 10."""
+    ev = read_table(spark, root, "events", ["user_id"]).filter(F.col("user_id") % 10 == 0)
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email")).distinct()
