@@ -20,6 +20,7 @@ from tillpoint.sources.bindings import ledger_binding
 from tillpoint.plans.reports_catalog import REPORT_QUERIES
 from tillpoint.plans.quality_catalog import QUALITY_QUERIES
 from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
+from tillpoint.plans.audit_catalog import AUDIT_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +77,7 @@ def queries() -> dict[str, Query]:
     q.update(REPORT_QUERIES)
     q.update(QUALITY_QUERIES)
     q.update(IDENTITY_QUERIES)
+    q.update(AUDIT_QUERIES)
     return q
 
 
@@ -85,4 +87,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.report_sql())
     o.update(O.quality_sql())
     o.update(O.identity_sql())
+    o.update(O.audit_sql())
     return o
