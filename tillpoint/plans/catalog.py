@@ -21,6 +21,7 @@ from tillpoint.plans.reports_catalog import REPORT_QUERIES
 from tillpoint.plans.quality_catalog import QUALITY_QUERIES
 from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
 from tillpoint.plans.audit_catalog import AUDIT_QUERIES
+from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,7 @@ def queries() -> dict[str, Query]:
     q.update(QUALITY_QUERIES)
     q.update(IDENTITY_QUERIES)
     q.update(AUDIT_QUERIES)
+    q.update(CHECKOUT_QUERIES)
     return q
 
 

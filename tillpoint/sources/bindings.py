@@ -431,3 +431,26 @@ def registered_emails(spark: SparkSession, root: str) -> DataFrame:
     """E-mails already holding an account: users whose id is a multiple of 10."""
     ev = read_table(spark, root, "events", ["user_id"]).filter(F.col("user_id") % 10 == 0)
     return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("email")).distinct()
+
+
+def checkout_requests(c: Commerce) -> tuple[DataFrame, DataFrame]:
+    """Checkout requests from orders + lineitem in (o_orderdate, o_orderkey) order (binding C).
+
+    Returns (requests, items).  The buyer's e-mail is the customer's, so the
+    web form finds its user; stock is the product quantity (p_size), so most
+    late carts are refused.
+    """
+    o = c._t("orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    k = F.col("o_orderkey")
+    requests = o.select(
+        k.alias("cart_id"), F.col("o_orderdate").alias("requested_at"), F.lit("pending").alias("status"),
+        F.lit("paid").alias("payment_status"), _case_mod(k, 3, ["card", "UPI", "cash"]).alias("payment_method"),
+        F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"),
+                 F.lit("@example.com")).alias("email"))
+    li = c._t("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+    # item order: line number, ties broken by the line's own values (line numbers repeat in the data)
+    pos = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    items = li.select(F.col("l_orderkey").alias("cart_id"), pos.alias("pos"),
+                      F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
+                      to_money("l_extendedprice").alias("unit_price"))
+    return requests, items
