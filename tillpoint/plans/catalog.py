@@ -22,6 +22,7 @@ from tillpoint.plans.quality_catalog import QUALITY_QUERIES
 from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
 from tillpoint.plans.audit_catalog import AUDIT_QUERIES
 from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
+from tillpoint.plans.mutations_catalog import MUTATION_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +81,7 @@ def queries() -> dict[str, Query]:
     q.update(IDENTITY_QUERIES)
     q.update(AUDIT_QUERIES)
     q.update(CHECKOUT_QUERIES)
+    q.update(MUTATION_QUERIES)
     return q
 
 
@@ -90,4 +92,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.quality_sql())
     o.update(O.identity_sql())
     o.update(O.audit_sql())
+    o.update(O.mutation_sql())
     return o
