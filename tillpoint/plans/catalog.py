@@ -23,6 +23,7 @@ from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
 from tillpoint.plans.audit_catalog import AUDIT_QUERIES
 from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
 from tillpoint.plans.mutations_catalog import MUTATION_QUERIES
+from tillpoint.plans.streaming_catalog import STREAMING_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,6 +83,7 @@ def queries() -> dict[str, Query]:
     q.update(AUDIT_QUERIES)
     q.update(CHECKOUT_QUERIES)
     q.update(MUTATION_QUERIES)
+    q.update(STREAMING_QUERIES)
     return q
 
 
@@ -93,4 +95,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.identity_sql())
     o.update(O.audit_sql())
     o.update(O.mutation_sql())
+    o.update(O.streaming_sql())
     return o

@@ -454,3 +454,32 @@ def checkout_requests(c: Commerce) -> tuple[DataFrame, DataFrame]:
                       F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("int").alias("quantity"),
                       to_money("l_extendedprice").alias("unit_price"))
     return requests, items
+
+
+def payable_changes(c: Commerce) -> DataFrame:
+    """Change rows for accounts_payable (binding C): every even order key is INSERTed at its
+    order date; keys divisible by 13 get a status UPDATE 30 days later, by 11 a DELETE 60 days later."""
+    o = c._t("orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]).filter(F.col("o_orderkey") % 2 == 0)
+    k = F.col("o_orderkey")
+    half = F.floor(k / 2)
+    base = [F.col("o_custkey").cast("string"), to_money("o_totalprice"), F.to_date("o_orderdate"),
+            _case_mod(half, 4, ACCOUNT_METHODS)]
+    names = ["account_name", "amount", "payment_date", "payment_method"]
+    st0 = _case_mod(half, 3, ACCOUNT_STATUS)
+    st1 = _case_mod(half + 1, 3, ACCOUNT_STATUS)
+
+    def row(op, version, days, old_status, new_status, old_null=False, new_null=False):
+        cols = [F.lit(op).alias("op"), k.alias("id"), F.lit(version).alias("version"),
+                (F.col("o_orderdate") + F.make_dt_interval(F.lit(days))).alias("changed_at")]
+        for n, v in zip(names, base):
+            cols.append(F.when(F.lit(not old_null), v).alias(f"old_{n}"))
+            cols.append(F.when(F.lit(not new_null), v).alias(f"new_{n}"))
+        cols.append(F.when(F.lit(not old_null), old_status).alias("old_status"))
+        cols.append(F.when(F.lit(not new_null), new_status).alias("new_status"))
+        return cols
+
+    ins = o.select(*row("INSERT", 1, 0, st0, st0, old_null=True))
+    upd = o.filter(k % 13 == 0).select(*row("UPDATE", 2, 30, st0, st1))
+    dele = o.filter(k % 11 == 0).select(*row("DELETE", 3, 60, F.when(k % 13 == 0, st1).otherwise(st0), st0,
+                                             new_null=True))
+    return ins.unionByName(upd).unionByName(dele)
