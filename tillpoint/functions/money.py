@@ -51,3 +51,22 @@ def zero_rule(cur: Column, last: Column, pct: Column, hundred_on_growth: bool) -
     cur_pos = F.coalesce(cur, F.lit(0)) > 0
     expr = F.when(last0 & cur_pos, F.lit(100 if hundred_on_growth else 0)).when(last0, F.lit(0))
     return expr.otherwise(pct).cast("double")
+
+
+def items_total(items: Column | str, quantity: str = "quantity", unit_price: str = "unit_price") -> Column:
+    """sum(quantity * unit_price) over an array of item structs, in decimal.
+
+    The accumulator is cast back to DECIMAL(20,2) inside the lambda, as Spark
+    requires the fold's type to stay fixed.
+    """
+    items = F.col(items) if isinstance(items, str) else items
+    return F.aggregate(items, F.lit(0).cast(MONEY_SUM),
+                       lambda acc, it: (acc + it[quantity] * it[unit_price]).cast(MONEY_SUM))
+
+
+def apply_defaults(df, defaults: dict):
+    """column defaults at insert time (DEFAULT NOW(), FALSE, 'active', 'Pending' ...)."""
+    for c, v in defaults.items():
+        val = v if isinstance(v, Column) else F.lit(v)
+        df = df.withColumn(c, F.coalesce(F.col(c), val) if c in df.columns else val)
+    return df

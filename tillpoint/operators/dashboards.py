@@ -286,12 +286,22 @@ def summary(led: Ledger, by_tenant: bool = False) -> DataFrame:
 
 # ---------------------------------------------------------------- dense period reports
 
-def _tenant_base(df: DataFrame, by_tenant: bool, tenants: DataFrame | None) -> DataFrame:
+def ledger_tenants(led: Ledger) -> DataFrame:
+    """Every tenant that has a row in any ledger table (distinct keys, partially aggregated)."""
+    frames = [led.bills, led.web_bills, led.man_incomes, led.man_expenses, led.orders]
+    out = frames[0].select("client_id")
+    for f in frames[1:]:
+        out = out.unionByName(f.select("client_id"))
+    return out.distinct()
+
+
+def _tenant_base(led: Ledger, by_tenant: bool, tenants: DataFrame | None) -> DataFrame:
+    """One row per calendar owner: a single keyless row, or one row per tenant."""
     if not by_tenant:
-        return df.sparkSession.range(1).select()
+        return led.orders.sparkSession.range(1).select()
     if tenants is not None:
         return tenants.select("client_id").distinct()
-    return df.select("client_id").distinct()
+    return ledger_tenants(led)
 
 
 def orders_by_period(led: Ledger, group_by: str = "week", by_tenant: bool = False,
@@ -307,7 +317,7 @@ def orders_by_period(led: Ledger, group_by: str = "week", by_tenant: bool = Fals
               .filter((F.col("status") == "completed") & (F.col("created_at") >= ntz(py_trunc(unit, start))))
               .groupBy(*keys, trunc_ntz(unit, "created_at").alias("period"))
               .agg(F.count("order_id").alias("n")))
-    cal = calendar(_tenant_base(led.orders, by_tenant, tenants), group_by, led.as_of)
+    cal = calendar(_tenant_base(led, by_tenant, tenants), group_by, led.as_of)
     out = cal.join(counts, [*keys, "period"], "left")
     return (out.select(*keys, "period", F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("total_orders"),
                        period_label(F.col("period"), group_by, led.as_of).alias("label"))
@@ -329,7 +339,7 @@ def profit_by_period(led: Ledger, group_by: str = "week", by_tenant: bool = Fals
     tagged = _tagged(led, income_since=start, expense_since=start)
     sums = (tagged.groupBy(*keys, trunc_ntz(unit, "ts").alias("period"))
                   .agg(_sum_if(tag == "i").alias("inc"), _sum_if(tag == "e").alias("exp")))
-    cal = calendar(_tenant_base(led.man_expenses, by_tenant, tenants), group_by, led.as_of)
+    cal = calendar(_tenant_base(led, by_tenant, tenants), group_by, led.as_of)
     z = F.lit(0).cast(MONEY_SUM)
     inc = F.coalesce(F.col("inc"), z)
     exp = F.coalesce(F.col("exp"), z)

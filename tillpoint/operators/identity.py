@@ -33,6 +33,14 @@ def ttl_purge(issues: DataFrame, as_of, lifetime: dt.timedelta = DEFAULT_LIFETIM
     return issues.filter(F.col(created_col) >= ntz(parse_ts(as_of) - lifetime))
 
 
+def keep_latest(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
+    """The newest row per key by ``order_cols`` (a partially aggregated max_by)."""
+    cols = [c for c in df.columns if c != key]
+    order = F.struct(*[F.col(c) for c in order_cols])
+    g = df.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_v"))
+    return g.select(key, *[F.col("_v")[c].alias(c) for c in cols])
+
+
 def upsert_latest(current: DataFrame, incoming: DataFrame, key: str, order_cols: list[str],
                   reset: dict | None = None) -> DataFrame:
     """One row per key, the newest of (current ∪ incoming) by ``order_cols``.
@@ -46,9 +54,7 @@ def upsert_latest(current: DataFrame, incoming: DataFrame, key: str, order_cols:
     for c, v in (reset or {}).items():
         inc = inc.withColumn(c, F.lit(v))
     u = current.select(key, *cols).unionByName(inc.select(key, *cols))
-    order = F.struct(*[F.col(c) for c in order_cols])
-    g = u.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_v"))
-    return g.select(key, *[F.col("_v")[c].alias(c) for c in cols])
+    return keep_latest(u, key, order_cols)
 
 
 def verification_outcome(issues: DataFrame, attempts: DataFrame, lifetime: dt.timedelta | None = None,
@@ -124,13 +130,14 @@ def account_gate(requests: DataFrame, issues: DataFrame, outcomes: DataFrame, ta
 
 
 def phone_patch(rows: DataFrame, patches: DataFrame, mode: str = "overwrite") -> DataFrame:
-    """Apply (email, phone) patches to verification rows.
+    """Apply (request_id, email, phone) patches to verification rows.
 
     mode: 'overwrite' (client, shop), 'coalesce' (job user keeps an existing
     phone), 'match' (market user: only where the stored phone equals the new
     one).  The phone flag is reset where the row is patched.
     """
-    p = patches.select("email", F.col("phone").alias("_new")).groupBy("email").agg(F.max("_new").alias("_new"))
+    # the last patch per e-mail wins (sequential requests); max_by is a partial aggregate
+    p = patches.groupBy("email").agg(F.max_by("phone", "request_id").alias("_new"))
     j = rows.join(p, "email", "left")
     hit = F.col("_new").isNotNull()
     if mode == "coalesce":

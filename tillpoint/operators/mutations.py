@@ -484,3 +484,18 @@ def set_subdomains(clients: DataFrame, requests: DataFrame) -> Applied:
         *[F.coalesce(F.col("_new"), F.col("subdomain")).alias("subdomain") if c == "subdomain" else F.col(c)
           for c in clients.columns])
     return Applied(after, None, _outcome(o, code, msg))
+
+
+JOB_FIELDS = ["jobtitle", "description", "location", "salary", "company_name", "quali_1", "quali_2", "type",
+              "work_type"]
+
+
+def list_jobs(requests: DataFrame) -> Applied:
+    """Post jobs (status 'open'); any falsy field -> 400.  New job_id = request_id."""
+    bad = any_falsy(requests, JOB_FIELDS)
+    returned = requests.filter(~bad).select(
+        F.col("request_id").alias("job_id"), F.col("jobtitle").alias("job_title"), "client_id", "description",
+        "location", F.col("salary").alias("salary_range"), F.lit("open").alias("status"), "company_name",
+        "quali_1", "quali_2", "type", "work_type")
+    return Applied(None, returned, _outcome(requests, F.when(bad, 400).otherwise(201),
+                                            F.when(bad, F.lit("Missing required fields")).otherwise(F.lit("listed"))))

@@ -298,3 +298,24 @@ def lookup_by_email(requests: DataFrame, table: DataFrame, email_col: str = "ema
 def public_view(df: DataFrame, sensitive=("password_hash", "password")) -> DataFrame:
     """Drop secret columns from a profile row (the reference returned them)."""
     return df.drop(*[c for c in sensitive if c in df.columns])
+
+
+def client_profile(clients: DataFrame, client_id: int | None = None) -> DataFrame:
+    """P16 + P14: a client's profile row without secret columns (one client or all)."""
+    c = clients if client_id is None else clients.filter(F.col("client_id") == client_id)
+    return public_view(c)
+
+
+def subdomain_of(clients: DataFrame, requests: DataFrame) -> DataFrame:
+    """Subdomain per requesting client; unknown client -> NULL (the reference's 404)."""
+    return requests.join(clients.select("client_id", "subdomain"), "client_id", "left")
+
+
+def register_documents(documents: DataFrame, uploads: DataFrame, as_of_ts) -> DataFrame:
+    """Append uploaded (file_url, description) rows stamped ``as_of_ts`` and list newest first.
+
+    New ids are the upload request ids (no global counter to coordinate).
+    """
+    new = uploads.select(F.col("request_id").alias("document_id"), "file_url", "description",
+                         as_of_ts.alias("created_at"))
+    return documents_list(documents.select("document_id", "file_url", "description", "created_at").unionByName(new))

@@ -24,6 +24,7 @@ from tillpoint.plans.audit_catalog import AUDIT_QUERIES
 from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
 from tillpoint.plans.mutations_catalog import MUTATION_QUERIES
 from tillpoint.plans.streaming_catalog import STREAMING_QUERIES
+from tillpoint.plans.extras_catalog import EXTRA_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -84,6 +85,7 @@ def queries() -> dict[str, Query]:
     q.update(CHECKOUT_QUERIES)
     q.update(MUTATION_QUERIES)
     q.update(STREAMING_QUERIES)
+    q.update(EXTRA_QUERIES)
     return q
 
 
@@ -96,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.audit_sql())
     o.update(O.mutation_sql())
     o.update(O.streaming_sql())
+    o.update(O.extras_sql())
     return o

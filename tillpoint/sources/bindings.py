@@ -138,7 +138,8 @@ class Commerce:
             F.concat(F.lower("n_name"), F.lit("@shop.example")).alias("email"),
             F.lower("n_name").alias("subdomain"),
             F.concat(F.lit("user_db_"), F.col("n_nationkey").cast("string")).alias("db_name"),
-            F.lit("retail").alias("business_category"), F.lit("active").alias("status")))
+            F.lit("retail").alias("business_category"), F.lit("active").alias("status"),
+            F.sha2(F.col("n_name"), 256).alias("password_hash")))
 
     @property
     def users(self) -> DataFrame:
