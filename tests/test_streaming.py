@@ -18,8 +18,13 @@ def _scratch():
 def _write_chunks(df, path, key, n=4):
     """Write ``df`` as ``n`` files in ``key`` order so the stream sees time move forward."""
     rows = df.withColumn("_chunk", F.ntile(n).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(key)))
+    import time
+    now = time.time()
     for i in range(1, n + 1):
+        before = set(os.listdir(path)) if os.path.exists(path) else set()
         rows.filter(F.col("_chunk") == i).drop("_chunk").coalesce(1).write.mode("append").parquet(path)
+        for f in set(os.listdir(path)) - before:      # arrival order = chunk order for the file source
+            os.utime(os.path.join(path, f), (now - 100 + 10 * i, now - 100 + 10 * i))
 
 
 def test_revenue_hourly_stream_matches_batch_for_closed_windows(spark):
@@ -57,6 +62,12 @@ def test_late_rows_are_dropped(spark):
     spark.createDataFrame([(t0 + dt.timedelta(minutes=30), decimal.Decimal("100.00"), "paid"),   # late
                            (t0 + dt.timedelta(hours=9), decimal.Decimal("1.00"), "paid")], schema) \
         .write.parquet(src + "/c")
+    # the file source orders by modification time: make the arrival order explicit
+    import time
+    now = time.time()
+    for i, sub in enumerate("abc"):
+        for f in os.listdir(os.path.join(src, sub)):
+            os.utime(os.path.join(src, sub, f), (now - 100 + 10 * i, now - 100 + 10 * i))
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     q = start_memory_sink(revenue_hourly(stream), "rev_late", os.path.join(d, "ck"))

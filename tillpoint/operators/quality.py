@@ -13,7 +13,7 @@ enum and FK tests and is ignored by UNIQUE.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 # ---------------------------------------------------------------- fixed values
 # Declared constraints of the tenant schema (NOT NULL columns, CHECK bounds,
@@ -117,41 +117,52 @@ LENGTHS = {
 
 VIOLATION_COLUMNS = ["table_name", "check_name", "column_name", "row_key", "value"]
 
-_OPS = {">=": lambda c, b: c >= b, ">": lambda c, b: c > b, "<=": lambda c, b: c <= b, "<": lambda c, b: c < b}
+def _q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _violation(table: str, check: str, column: str, key: Column, value: Column) -> Column:
-    return F.struct(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
-                    F.lit(column).alias("column_name"), key.cast("string").alias("row_key"),
-                    value.cast("string").alias("value"))
+def _s(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _violation_sql(table: str, check: str, column: str, key: str, value_sql: str) -> str:
+    return (f"named_struct('table_name', {_s(table)}, 'check_name', {_s(check)}, 'column_name', {_s(column)}, "
+            f"'row_key', CAST({_q(key)} AS STRING), 'value', CAST({value_sql} AS STRING))")
 
 
 def row_checks(df: DataFrame, table: str, kinds=("not_null", "check", "enum", "length")) -> DataFrame | None:
-    """All row-level violations of one table in one pass (None if nothing declared)."""
-    key = F.col(PRIMARY_KEYS.get(table, df.columns[0]))
+    """All row-level violations of one table in one pass (None if nothing declared).
+
+    The candidate violations are one SQL expression,
+    ``inline(filter(array(CASE WHEN <broken> THEN struct END, ...), v -> v IS NOT NULL))``,
+    so the whole check list costs one projection over one scan.
+    """
+    key = PRIMARY_KEYS.get(table, df.columns[0])
+    cols = set(df.columns)
     cands = []
     if "not_null" in kinds:
         for c in NOT_NULL.get(table, []):
-            if c in df.columns:
-                cands.append(F.when(F.col(c).isNull(), _violation(table, "not_null", c, key, F.lit(None))))
+            if c in cols:
+                cands.append(f"CASE WHEN {_q(c)} IS NULL THEN {_violation_sql(table, 'not_null', c, key, 'NULL')} END")
     if "check" in kinds:
         for c, op, bound in CHECKS.get(table, []):
-            if c in df.columns:
-                ok = _OPS[op](F.col(c), F.lit(bound))
-                cands.append(F.when(~ok, _violation(table, f"{op} {bound}", c, key, F.col(c))))
+            if c in cols:
+                cands.append(f"CASE WHEN NOT ({_q(c)} {op} {bound}) THEN "
+                             f"{_violation_sql(table, f'{op} {bound}', c, key, _q(c))} END")
     if "enum" in kinds:
         for c, allowed in ENUMS.get(table, {}).items():
-            if c in df.columns:
-                cands.append(F.when(~F.col(c).isin(allowed), _violation(table, "enum", c, key, F.col(c))))
+            if c in cols:
+                lst = ", ".join(_s(a) for a in allowed)
+                cands.append(f"CASE WHEN {_q(c)} NOT IN ({lst}) THEN "
+                             f"{_violation_sql(table, 'enum', c, key, _q(c))} END")
     if "length" in kinds:
         for c, n in LENGTHS.get(table, {}).items():
-            if c in df.columns:
-                cands.append(F.when(F.char_length(F.col(c)) > n,
-                                    _violation(table, f"length <= {n}", c, key, F.char_length(F.col(c)))))
+            if c in cols:
+                cands.append(f"CASE WHEN char_length({_q(c)}) > {n} THEN "
+                             f"{_violation_sql(table, f'length <= {n}', c, key, f'char_length({_q(c)})')} END")
     if not cands:
         return None
-    arr = F.filter(F.array(*cands), lambda v: v.isNotNull())
-    return df.select(F.inline(arr))
+    return df.selectExpr(f"inline(filter(array({', '.join(cands)}), v -> v IS NOT NULL))")
 
 
 def _union(frames: list[DataFrame], spark) -> DataFrame:
@@ -183,9 +194,9 @@ def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
                 continue
             g = (df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
                  .filter(F.col("n") > 1))
-            frames.append(g.select(F.lit(name).alias("table_name"), F.lit("unique").alias("check_name"),
-                                   F.lit(c).alias("column_name"), F.col(c).cast("string").alias("row_key"),
-                                   F.col("n").cast("string").alias("value")))
+            frames.append(g.selectExpr(f"{_s(name)} AS table_name", "'unique' AS check_name",
+                                       f"{_s(c)} AS column_name", f"CAST({_q(c)} AS STRING) AS row_key",
+                                       "CAST(n AS STRING) AS value"))
     return _union(frames, spark)
 
 

@@ -8,7 +8,6 @@ SQL for the same names where the result is SQL-expressible.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
