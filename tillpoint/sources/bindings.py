@@ -21,8 +21,19 @@ LEDGER_AS_OF = "2024-01-24 15:30:00"
 TENANTS = 25
 
 
-def _case_mod(key: Column, mod: int, values: list[str]) -> Column:
-    """CASE key % mod WHEN 0 THEN values[0] ... ELSE values[-1] END."""
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _case_mod(key: Column | str, mod: int, values: list[str]) -> Column:
+    """CASE key % mod WHEN 0 THEN values[0] ... ELSE values[-1] END.
+
+    With ``key`` given as a SQL expression string the rule is built as one
+    expression (one call into the JVM instead of one per branch).
+    """
+    if isinstance(key, str):
+        whens = " ".join(f"WHEN {i} THEN {_sql_str(v)}" for i, v in enumerate(values[:-1]))
+        return F.expr(f"CASE ({key}) % {mod} {whens} ELSE {_sql_str(values[-1])} END")
     m = key % F.lit(mod)
     expr = None
     for i, v in enumerate(values[:-1]):
@@ -54,29 +65,29 @@ def ledger_binding(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) ->
 
     bills = ev.filter(F.col("event_type") == "purchase").select(
         eid.alias("bill_id"), eid.alias("cart_id"), to_money("value").alias("total_amount"),
-        _case_mod(eid, 4, ["pending", "failed", "paid"]).alias("payment_status"),
-        _case_mod(eid, 3, ["card", "UPI", "cash"]).alias("payment_method"),
+        _case_mod("event_id", 4, ["pending", "failed", "paid"]).alias("payment_status"),
+        _case_mod("event_id", 3, ["card", "UPI", "cash"]).alias("payment_method"),
         F.col("ts").alias("generated_at"), tenant)
     web_bills = ev.filter(F.col("event_type") == "click").select(
         eid.alias("web_bill_id"), eid.alias("order_id"), to_money("value").alias("total_amount"),
-        _case_mod(eid, 4, ["Pending", "Failed", "Paid"]).alias("payment_status"),
-        _case_mod(eid, 4, ["Card", "UPI", "Cash", "Other"]).alias("payment_method"),
+        _case_mod("event_id", 4, ["Pending", "Failed", "Paid"]).alias("payment_status"),
+        _case_mod("event_id", 4, ["Card", "UPI", "Cash", "Other"]).alias("payment_method"),
         F.col("ts").alias("generated_at"), tenant)
     man_incomes = ev.filter(F.col("event_type") == "signup").select(
-        eid.alias("id"), _case_mod(eid, 3, ["Sale", "income"]).alias("type"),
+        eid.alias("id"), _case_mod("event_id", 3, ["Sale", "income"]).alias("type"),
         F.concat(F.lit("income "), eid.cast("string")).alias("description"),
         to_money("value").alias("amount"),
-        _case_mod(eid, 4, ["Cash", "Credit Card", "Bank Transfer", "Other"]).alias("payment_method"),
+        _case_mod("event_id", 4, ["Cash", "Credit Card", "Bank Transfer", "Other"]).alias("payment_method"),
         F.to_date("ts").alias("income_date"), F.col("ts").alias("created_at"), tenant)
     man_expenses = ev.filter(F.col("event_type") == "error").select(
-        eid.alias("id"), _case_mod(eid, 5, ["salary", "expense"]).alias("type"),
+        eid.alias("id"), _case_mod("event_id", 5, ["salary", "expense"]).alias("type"),
         F.concat(F.lit("expense "), eid.cast("string")).alias("description"),
         to_money("value").alias("amount"),
-        _case_mod(eid, 4, ["Cash", "Credit Card", "Bank Transfer", "Other"]).alias("payment_method"),
+        _case_mod("event_id", 4, ["Cash", "Credit Card", "Bank Transfer", "Other"]).alias("payment_method"),
         F.to_date("ts").alias("expense_date"), F.col("ts").alias("created_at"), tenant)
     orders = ev.filter(F.col("event_type") == "view").select(
         eid.alias("order_id"), F.col("user_id"), to_money("value").alias("total_price"),
-        _case_mod(eid, 4, ["pending", "processing", "cancelled", "completed"]).alias("status"),
+        _case_mod("event_id", 4, ["pending", "processing", "cancelled", "completed"]).alias("status"),
         F.col("ts").alias("created_at"), tenant)
     return Ledger(bills, web_bills, man_incomes, man_expenses, orders, as_of)
 
@@ -97,7 +108,10 @@ COMMERCE_EPOCH = "2024-01-01 00:00:00"
 UNUSED_CATEGORY = "UNUSED"
 
 
-def _map(c: Column, mapping: dict) -> Column:
+def _map(c: Column | str, mapping: dict) -> Column:
+    if isinstance(c, str):
+        whens = " ".join(f"WHEN {_sql_str(k)} THEN {_sql_str(v)}" for k, v in mapping.items())
+        return F.expr(f"CASE {c} {whens} END")
     expr = None
     for k, v in mapping.items():
         expr = F.when(c == k, F.lit(v)) if expr is None else expr.when(c == k, F.lit(v))
@@ -160,7 +174,7 @@ class Commerce:
                 k.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("description"),
                 to_money("p_retailprice").alias("price"), F.col("p_size").alias("quantity"),
                 F.concat(F.lit("BC"), k.cast("string")).alias("barcode"), F.col("p_type").alias("category"),
-                _case_mod(k, 3, PRODUCT_TYPES).alias("type"),
+                _case_mod("p_partkey", 3, PRODUCT_TYPES).alias("type"),
                 F.when(k % 10 == 0, F.lit("Inactive")).otherwise(F.lit("Active")).alias("status"),
                 (k % 17 == 0).alias("deleted"),
                 (F.col("p_size") > 45).alias("bestseller"),
@@ -191,7 +205,7 @@ class Commerce:
             "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]).select(
             F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("user_id"),
             to_money("o_totalprice").alias("total_price"),
-            _map(F.col("o_orderstatus"), ORDER_STATUS).alias("status"),
+            _map("o_orderstatus", ORDER_STATUS).alias("status"),
             F.col("o_orderdate").alias("created_at")))
 
     def _items(self):
@@ -214,8 +228,8 @@ class Commerce:
             .filter(F.col("o_orderkey") % 5 != 0).select(
             F.col("o_orderkey").alias("web_bill_id"), F.col("o_orderkey").alias("order_id"),
             to_money("o_totalprice").alias("total_amount"),
-            _map(F.col("o_orderstatus"), WEB_BILL_STATUS).alias("payment_status"),
-            _case_mod(F.col("o_orderkey"), 4, ["Card", "UPI", "Cash", "Other"]).alias("payment_method"),
+            _map("o_orderstatus", WEB_BILL_STATUS).alias("payment_status"),
+            _case_mod("o_orderkey", 4, ["Card", "UPI", "Cash", "Other"]).alias("payment_method"),
             F.col("o_orderdate").alias("generated_at")))
 
     # -- point of sale
@@ -225,7 +239,7 @@ class Commerce:
             "orders", ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])
             .filter(F.col("o_orderkey") % 5 == 0).select(
             F.col("o_orderkey").alias("cart_id"), to_money("o_totalprice").alias("total_price"),
-            _map(F.col("o_orderstatus"), ORDER_STATUS).alias("status"), F.col("o_orderdate").alias("created_at")))
+            _map("o_orderstatus", ORDER_STATUS).alias("status"), F.col("o_orderdate").alias("created_at")))
 
     @property
     def cart_item(self) -> DataFrame:
@@ -240,8 +254,8 @@ class Commerce:
             .filter(F.col("o_orderkey") % 5 == 0).select(
             F.col("o_orderkey").alias("bill_id"), F.col("o_orderkey").alias("cart_id"),
             to_money("o_totalprice").alias("total_amount"),
-            _map(F.col("o_orderstatus"), BILL_STATUS).alias("payment_status"),
-            _case_mod(F.col("o_orderkey"), 3, ["card", "UPI", "cash"]).alias("payment_method"),
+            _map("o_orderstatus", BILL_STATUS).alias("payment_status"),
+            _case_mod("o_orderkey", 3, ["card", "UPI", "cash"]).alias("payment_method"),
             F.col("o_orderdate").alias("generated_at")))
 
     # -- HR
@@ -257,7 +271,7 @@ class Commerce:
                 F.concat(F.lit("emp"), F.when(shared, F.lit(0)).otherwise(k).cast("string"),
                          F.lit("@staff.example")).alias("email"),
                 F.concat(F.lit("ph-"), F.when(shared, F.floor(k / 50)).otherwise(k).cast("string")).alias("phone"),
-                _case_mod(F.col("s_nationkey"), 3, EMPLOYEE_POSITIONS).alias("position"),
+                _case_mod("s_nationkey", 3, EMPLOYEE_POSITIONS).alias("position"),
                 to_money("s_acctbal").alias("salary"),
                 F.concat(F.lit("Bank "), (F.col("s_nationkey") % 5).cast("string")).alias("bank_name"),
                 F.concat(F.lit("AC"), F.when(shared, F.floor(k / 100)).otherwise(k).cast("string"))
@@ -276,7 +290,7 @@ class Commerce:
                 to_money("l_extendedprice").alias("salary_amount"),
                 F.to_date("l_shipdate").alias("payment_date"),
                 F.trunc(F.to_date("l_shipdate"), "month").alias("salary_month"),
-                _case_mod(F.col("l_orderkey"), 4, SALARY_METHODS).alias("payment_method"),
+                _case_mod("l_orderkey", 4, SALARY_METHODS).alias("payment_method"),
                 F.col("l_shipdate").alias("created_at"))
         return self._memo("salaries", build)
 
@@ -294,7 +308,7 @@ class Commerce:
         return o.select(
             k.alias("id"), F.col("o_custkey").cast("string").alias("account_name"),
             to_money("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias(date_col),
-            _case_mod(half, 4, ACCOUNT_METHODS).alias("payment_method"), status.alias("status"),
+            _case_mod("floor(o_orderkey / 2)", 4, ACCOUNT_METHODS).alias("payment_method"), status.alias("status"),
             F.col("o_orderdate").alias("created_at"))
 
     @property
@@ -327,7 +341,7 @@ class Commerce:
                 F.concat(F.lit("NATION_"), (k % 25).cast("string")).alias("company_name"),
                 F.col("p_brand").alias("quali_1"), F.col("p_type").alias("quali_2"),
                 F.when(k % 2 == 0, F.lit("Full-time")).otherwise(F.lit("Part-time")).alias("type"),
-                _case_mod(k, 3, ["Onsite", "Remote", "Hybrid"]).alias("work_type"),
+                _case_mod("p_partkey", 3, ["Onsite", "Remote", "Hybrid"]).alias("work_type"),
                 _minutes_after_epoch(k).alias("created_at"))
         return self._memo("job_list", build)
 
@@ -358,7 +372,7 @@ class Commerce:
             return g.select(
                 (F.col("l_partkey") * 1000000 + F.col("o_custkey")).alias("job_apply_id"),
                 F.col("l_partkey").alias("job_id"), F.col("o_custkey").alias("job_user_id"), "applied_at",
-                _map(F.col("flag"), APPLY_STATUS).alias("status"),
+                _map("flag", APPLY_STATUS).alias("status"),
                 F.concat(F.lit("cv/"), F.col("o_custkey").cast("string")).alias("resume"))
         return self._memo("job_apply", build)
 
@@ -445,7 +459,7 @@ def checkout_requests(c: Commerce) -> tuple[DataFrame, DataFrame]:
     k = F.col("o_orderkey")
     requests = o.select(
         k.alias("cart_id"), F.col("o_orderdate").alias("requested_at"), F.lit("pending").alias("status"),
-        F.lit("paid").alias("payment_status"), _case_mod(k, 3, ["card", "UPI", "cash"]).alias("payment_method"),
+        F.lit("paid").alias("payment_status"), _case_mod("o_orderkey", 3, ["card", "UPI", "cash"]).alias("payment_method"),
         F.concat(F.lit("customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"),
                  F.lit("@example.com")).alias("email"))
     li = c._t("lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice"])
@@ -464,7 +478,7 @@ def payable_changes(c: Commerce) -> DataFrame:
     k = F.col("o_orderkey")
     half = F.floor(k / 2)
     base = [F.col("o_custkey").cast("string"), to_money("o_totalprice"), F.to_date("o_orderdate"),
-            _case_mod(half, 4, ACCOUNT_METHODS)]
+            _case_mod("floor(o_orderkey / 2)", 4, ACCOUNT_METHODS)]
     names = ["account_name", "amount", "payment_date", "payment_method"]
     st0 = _case_mod(half, 3, ACCOUNT_STATUS)
     st1 = _case_mod(half + 1, 3, ACCOUNT_STATUS)

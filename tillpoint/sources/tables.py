@@ -20,10 +20,31 @@ def table_path(root: str, name: str) -> str:
     return os.path.join(root, name)
 
 
+_RELATIONS: dict = {}
+
+
+def _relation(spark: SparkSession, path: str) -> DataFrame:
+    """The parquet relation of ``path``, reused within a session while the files are unchanged.
+
+    Building a relation lists files and reads a footer on the driver; queries
+    that touch the same table several times share one definition.
+    """
+    try:
+        stamp = os.stat(path).st_mtime_ns
+    except OSError:          # remote store: no cheap change test, build afresh
+        return spark.read.parquet(path)
+    key = (id(spark), path, stamp)
+    df = _RELATIONS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _RELATIONS[key] = df
+    return df
+
+
 def read_table(spark: SparkSession, root: str, name: str, columns=None,
                client_id: int | None = None) -> DataFrame:
     """Scan a table; with ``client_id`` the tenant filter prunes partitions."""
-    df = spark.read.parquet(table_path(root, name))
+    df = _relation(spark, table_path(root, name))
     if client_id is not None and "client_id" in df.columns:
         df = df.filter(F.col("client_id") == F.lit(client_id))
     if columns:
