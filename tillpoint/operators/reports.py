@@ -165,9 +165,10 @@ def not_in_anti(left: DataFrame, right: DataFrame, key: str, by: list[str] | Non
     if by:
         out = left.join(right.filter(F.col(key).isNotNull()).select(*by, key).distinct(), [*by, key], "left_anti")
         return out.join(blocked, by, "left_anti")
-    has_null = right.filter(F.col(key).isNull()).limit(1)
+    # one NULL anywhere on the right makes every NOT IN unknown: a scalar subquery, run once
+    has_null = right.filter(F.col(key).isNull()).select(F.count(F.lit(1)) > 0).scalar()
     out = left.join(right.filter(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
-    return out.join(has_null.select(F.lit(1).alias("_b")), F.lit(True), "left_anti")
+    return out.filter(~has_null)
 
 
 def open_jobs_for(job_user: DataFrame, job_list: DataFrame, job_apply: DataFrame) -> DataFrame:
@@ -179,17 +180,16 @@ def open_jobs_for(job_user: DataFrame, job_list: DataFrame, job_apply: DataFrame
     ``not_in_anti(open_jobs, applications_of_user, "job_id")``.
     """
     open_jobs = job_list.filter(F.col("status") == "open")
-    n_open = open_jobs.agg(F.count(F.lit(1)).alias("n_open"), F.lit(1).alias("_k"))
+    n_open = open_jobs.select(F.count(F.lit(1))).scalar()      # scalar subquery, evaluated once
     applied_open = (job_apply.filter(F.col("job_id").isNotNull()).select("job_user_id", "job_id").distinct()
                     .join(open_jobs.select("job_id"), "job_id", "left_semi")
                     .groupBy("job_user_id").agg(F.count(F.lit(1)).alias("n_applied")))
     blocked = (job_apply.filter(F.col("job_id").isNull()).select("job_user_id").distinct()
                .withColumn("_blocked", F.lit(True)))
-    out = (job_user.select("job_user_id").withColumn("_k", F.lit(1))
-           .join(F.broadcast(n_open), "_k", "inner")          # one-row side: a hash lookup, not a product
+    out = (job_user.select("job_user_id")
            .join(applied_open, "job_user_id", "left")
            .join(blocked, "job_user_id", "left"))
-    avail = F.col("n_open") - F.coalesce(F.col("n_applied"), F.lit(0))
+    avail = n_open - F.coalesce(F.col("n_applied"), F.lit(0))
     return out.select("job_user_id",
                       F.when(F.col("_blocked"), F.lit(0)).otherwise(avail).cast("long").alias("open_jobs_available"))
 
