@@ -309,13 +309,7 @@ def add_products(requests: DataFrame, products: DataFrame) -> Applied:
     quantity / price arrive as text and are parsed with ``try_cast`` (NULL
     rejects where the reference let NaN through, P13).
     """
-    q = F.expr("try_cast(quantity_text AS INT)")
-    pr = F.expr("try_cast(price_text AS DECIMAL(10,2))")
-    r = requests.withColumn("quantity", q).withColumn("price", pr)
-    bad = (falsy(F.col("name"), "string") | falsy(F.col("category"), "string") | F.col("quantity").isNull()
-           | falsy(F.col("barcode"), "string") | F.col("price").isNull()
-           | ~F.coalesce(F.col("type").isin(PRODUCT_TYPES), F.lit(False))
-           | ~F.coalesce(F.col("status").isin(PRODUCT_STATUSES), F.lit(False)))
+    r, bad = _parse_product_fields(requests)
     valid = r.filter(~bad)
     conf = first_wins_unique(valid, products, ["barcode"])
     o = r.withColumn("_bad", bad).join(conf, "request_id", "left")
@@ -499,3 +493,55 @@ def list_jobs(requests: DataFrame) -> Applied:
         "quali_1", "quali_2", "type", "work_type")
     return Applied(None, returned, _outcome(requests, F.when(bad, 400).otherwise(201),
                                             F.when(bad, F.lit("Missing required fields")).otherwise(F.lit("listed"))))
+
+
+def _parse_product_fields(requests: DataFrame) -> tuple[DataFrame, Column]:
+    """quantity / price arrive as text (parseInt / parseFloat); invalid data -> the 400 flag."""
+    r = (requests.withColumn("quantity", F.expr("try_cast(quantity_text AS INT)"))
+         .withColumn("price", F.expr("try_cast(price_text AS DECIMAL(10,2))")))
+    bad = (falsy(F.col("name"), "string") | falsy(F.col("category"), "string") | F.col("quantity").isNull()
+           | falsy(F.col("barcode"), "string") | F.col("price").isNull()
+           | ~F.coalesce(F.col("type").isin(PRODUCT_TYPES), F.lit(False))
+           | ~F.coalesce(F.col("status").isin(PRODUCT_STATUSES), F.lit(False)))
+    return r, bad
+
+
+def update_products(products: DataFrame, requests: DataFrame, as_of_ts: Column) -> Applied:
+    """Replace name, category, quantity, barcode, price, type, status and stamp updated_at;
+    invalid data -> 400, unknown id -> 404 (last request per id wins)."""
+    r, bad = _parse_product_fields(requests)
+    r = r.withColumn("updated_at", as_of_ts).withColumn("_bad", bad)
+    fields = ["name", "category", "quantity", "barcode", "price", "type", "status", "updated_at"]
+    out = update_rows(products, r.filter(~F.col("_bad")).select("request_id", "id", *fields), "id", fields,
+                      not_found="Product not found")
+    known = products.select("id").withColumn("_found", F.lit(True))
+    o = r.join(known, "id", "left")
+    code = F.when(F.col("_bad"), 400).when(F.col("_found").isNull(), 404).otherwise(200)
+    msg = (F.when(F.col("_bad"), F.lit("Invalid product data")).when(code == 404, F.lit("Product not found"))
+            .otherwise(F.lit("Product updated")))
+    return Applied(out.table, out.returned, _outcome(o, code, msg))
+
+
+def update_manual_transactions(incomes: DataFrame, expenses: DataFrame, requests: DataFrame) -> Applied:
+    """M8 (update): type routes the request to man_incomes or man_expenses; description,
+    amount and date are replaced by id; bad type or falsy field -> 400, unknown id -> 404.
+
+    ``table`` = incomes after, ``returned`` = expenses after.
+    """
+    bad_type = ~F.coalesce(F.col("type").isin(TRANSACTION_TYPES), F.lit(False))
+    missing = any_falsy(requests, ["description", "amount", "date"])
+    r = requests.withColumn("_bad", bad_type | missing)
+    after = {}
+    for t, table, date_col in (("income", incomes, "income_date"), ("expense", expenses, "expense_date")):
+        sel = (r.filter(~F.col("_bad") & (F.col("type") == t))
+               .select("request_id", "id", "description", "amount", F.col("date").alias(date_col)))
+        after[t] = update_rows(table, sel, "id", ["description", "amount", date_col]).table
+    inc_ids = incomes.select("id").withColumn("_in_inc", F.lit(True))
+    exp_ids = expenses.select("id").withColumn("_in_exp", F.lit(True))
+    o = r.join(inc_ids, "id", "left").join(exp_ids, "id", "left")
+    found = F.when(F.col("type") == "income", F.col("_in_inc").isNotNull()).otherwise(F.col("_in_exp").isNotNull())
+    code = F.when(bad_type | missing, 400).when(~found, 404).otherwise(200)
+    msg = (F.when(bad_type, F.lit('Invalid type. Use "income" or "expense".'))
+            .when(missing, F.lit("Missing required fields.")).when(code == 404, F.lit("Transaction not found"))
+            .otherwise(F.lit("updated")))
+    return Applied(after["income"], after["expense"], _outcome(o, code, msg))

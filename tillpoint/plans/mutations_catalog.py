@@ -328,7 +328,52 @@ def q_register_customers(spark, sf_dir):
     return I.register_customers(req, c.clients, c.users)
 
 
+def _update_products(spark, sf_dir):
+    c = _c(spark, sf_dir)
+    k = F.col("p_partkey")
+    req = c._t("part", ["p_partkey", "p_name", "p_type", "p_size", "p_retailprice"]).filter(k % 11 == 0).select(
+        k.alias("request_id"), F.when(k % 33 == 0, -k - 1).otherwise(k).alias("id"),
+        F.upper("p_name").alias("name"), F.col("p_type").alias("category"),
+        (F.col("p_size") + 10).cast("string").alias("quantity_text"),
+        F.concat(F.lit("BC"), k.cast("string")).alias("barcode"),
+        (to_money("p_retailprice") + F.lit(1)).cast("decimal(10,2)").cast("string").alias("price_text"),
+        F.lit("Hybrid").alias("type"),
+        F.when(k % 22 == 0, F.lit("Retired")).otherwise(F.lit("Active")).alias("status"))
+    products = c.products.select("id", "name", "category", "quantity", "barcode", "price", "type", "status",
+                                 "updated_at")
+    from tillpoint.functions.timefn import ntz
+    return M.update_products(products, req, ntz("2024-01-24 15:30:00"))
+
+
+def q_update_products(spark, sf_dir):
+    """Products after full updates (updated_at stamped with the as-of time)."""
+    return _update_products(spark, sf_dir).table.withColumn("price", money_out("price"))
+
+
+def q_update_products_outcome(spark, sf_dir):
+    return _update_products(spark, sf_dir).outcome
+
+
+def q_manual_tx_update(spark, sf_dir):
+    """M8 (update): manual income / expense updates routed by type (binding E rows, order requests)."""
+    from tillpoint.sources.bindings import ledger_binding
+    ensure_session_defaults(spark)
+    led = ledger_binding(spark, sf_dir)
+    c = _c(spark, sf_dir)
+    k = F.col("o_orderkey")
+    req = _orders(c).filter(k % 7 == 0).select(
+        k.alias("request_id"), (k % 10000).alias("id"), _case_mod("o_orderkey", 3, ["income", "expense", "other"])
+        .alias("type"), F.concat(F.lit("fix "), k.cast("string")).alias("description"),
+        to_money("o_totalprice").alias("amount"), F.to_date("o_orderdate").alias("date"))
+    inc = led.man_incomes.select("id", "type", "description", "amount", "income_date")
+    exp = led.man_expenses.select("id", "type", "description", "amount", "expense_date")
+    return M.update_manual_transactions(inc, exp, req).outcome
+
+
 MUTATION_QUERIES = {
+    "update_products": q_update_products,
+    "update_products_outcome": q_update_products_outcome,
+    "manual_tx_update": q_manual_tx_update,
     "add_accounts": q_add_accounts,
     "merge_accounts": q_merge_accounts,
     "merge_accounts_outcome": q_merge_accounts_outcome,
