@@ -57,14 +57,20 @@ def py_trunc(unit: str, t: dt.datetime) -> dt.datetime:
     raise ValueError(f"unknown unit {unit}")
 
 
+def validate_group_by(group_by: str) -> str:
+    """The reference answers 400 'Invalid groupBy value' outside day/week/month/year."""
+    if group_by not in GROUP_BY_VALUES:
+        raise ValueError(f"Invalid groupBy value: {group_by!r}")
+    return group_by
+
+
 def series_window(group_by: str, as_of) -> tuple[str, dt.datetime, dt.datetime]:
     """(unit, start, end) of the dense period reports.
 
     day: hourly from as_of-24h; week: daily from as_of-6d; month: daily from
     as_of-27d; year: monthly from the start of the year.  End is as_of.
     """
-    if group_by not in GROUP_BY_VALUES:
-        raise ValueError(f"invalid groupBy value {group_by!r}")
+    validate_group_by(group_by)
     now = parse_ts(as_of)
     unit = SERIES_UNIT[group_by]
     start = {

@@ -23,7 +23,7 @@ from tillpoint.functions.money import (MONEY_SUM, count_pct_change, money_out,
                                        pct_change, zero_rule)
 from tillpoint.functions.timefn import (SERIES_UNIT, calendar, date_lit, ntz,
                                         parse_ts, period_label, py_trunc,
-                                        series_window, trunc_ntz)
+                                        series_window, trunc_ntz, validate_group_by)
 from tillpoint.operators.ledger import income_ledger
 from tillpoint.sources.bindings import Ledger
 
@@ -133,7 +133,7 @@ def income_by_period(led: Ledger, group_by: str = "day", by_tenant: bool = False
     day -> hourly, week/month -> daily, year -> monthly buckets, ascending.
     The reference groups by the raw timestamp (defect B5); we group by bucket.
     """
-    unit = SERIES_UNIT[group_by]
+    unit = SERIES_UNIT[validate_group_by(group_by)]
     start = py_trunc(group_by, py_trunc("day", parse_ts(led.as_of)))
     keys = _keys(by_tenant)
     inc = income_ledger(led).filter(F.col("period") >= ntz(start))
@@ -144,7 +144,7 @@ def income_by_period(led: Ledger, group_by: str = "day", by_tenant: bool = False
 
 def expense_by_period(led: Ledger, group_by: str = "day", by_tenant: bool = False) -> DataFrame:
     """Expenses per bucket since the start of the calendar unit."""
-    unit = SERIES_UNIT[group_by]
+    unit = SERIES_UNIT[validate_group_by(group_by)]
     start = py_trunc(group_by, py_trunc("day", parse_ts(led.as_of)))
     keys = _keys(by_tenant)
     exp = led.man_expenses.filter(F.col("expense_date") >= date_lit(start))

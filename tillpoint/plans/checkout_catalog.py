@@ -35,7 +35,26 @@ def q_stock_after_checkout(spark, sf_dir):
     return _run(spark, sf_dir, False).stock
 
 
+def q_cart_totals(spark, sf_dir):
+    """The cart total of every checkout request, folded over its item array in decimal.
+
+    The request arrays are rebuilt from the item rows with ``nest`` (a cart
+    with very many items arrives as several arrays; their totals are added).
+    """
+    from pyspark.sql import functions as F
+    from tillpoint.functions.money import items_total, money_out
+    from tillpoint.functions.nesting import nest
+    ensure_session_defaults(spark)
+    c = commerce_binding(spark, sf_dir)
+    _, items = checkout_requests(c)
+    arrays = nest(items.select("cart_id", "product_id", "quantity", "unit_price"), ["cart_id"],
+                  ["product_id", "quantity", "unit_price"], "items")
+    return (arrays.groupBy("cart_id").agg(F.sum(items_total("items")).alias("_t"), F.sum(F.size("items")).alias("n_items"))
+            .select("cart_id", money_out("_t").alias("total_price"), F.col("n_items").cast("long").alias("n_items")))
+
+
 CHECKOUT_QUERIES = {
+    "cart_totals": q_cart_totals,
     "checkout_pos": q_checkout_pos,
     "checkout_web": q_checkout_web,
     "sale_ledger_rows": q_sale_ledger_rows,
