@@ -55,13 +55,17 @@ def ensure_session_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    Only where it is unset (local tests) do we choose one ourselves.
+    Uses the context's folder when one is active, else the session's
+    ``spark.checkpoint.dir``; only where neither exists (a local test
+    session) a local folder is chosen.  ``spark.checkpoint.dir`` itself is a
+    core setting that cannot be changed at runtime, so it is never written.
     """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tillpoint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir() or d
