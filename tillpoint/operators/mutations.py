@@ -238,6 +238,8 @@ def first_wins_unique(requests: DataFrame, existing: DataFrame, keys: list[str],
     existing row shares a value; refuse when an existing row or an earlier
     accepted request does.  Per-key first holders are min aggregates.
     """
+    from tillpoint.session import checkpoint_dir
+    checkpoint_dir(requests.sparkSession)
     req = requests.select("request_id", *keys).checkpoint()
     held = {}
     for k in keys:
