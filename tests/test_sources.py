@@ -50,3 +50,13 @@ def test_json_requests_to_checkout_and_response(spark):
     append(r.bills.withColumn("client_id", F.lit(4)), out)
     back = read_table(spark, d, "bills", client_id=4)
     assert back.count() == 1 and os.path.isdir(os.path.join(out, "client_id=4"))
+
+
+def test_request_bodies_from_json_column(spark):
+    from tillpoint.sources.tables import requests_from_json
+    body = T.StructType([T.StructField("type", T.StringType()), T.StructField("amount", T.DecimalType(10, 2)),
+                         T.StructField("date", T.DateType())])
+    df = spark.createDataFrame([(1, '{"type": "income", "amount": 12.5, "date": "2024-01-02"}'),
+                                (2, '{"type": "other"}')], "request_id long, body string")
+    rows = {r.request_id: r for r in requests_from_json(df, "body", body).collect()}
+    assert rows[1].type == "income" and str(rows[1].amount) == "12.50" and rows[2].amount is None

@@ -118,10 +118,9 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
              .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s"))
              .withColumn("_b", _bucket("requested_at", grain))).checkpoint()
     never = lines.filter(F.col("q") > F.col("s")).select("cart_id").distinct()
-    # the working set carries each line's cart status and only shrinks: refused carts leave,
-    # and so do products with no open line left (their usage can no longer matter)
+    # the working set carries each line's cart status; refused carts leave it for good.
+    # Each round only the products that still have an open cart are recomputed.
     act = lines.join(never, "cart_id", "left_anti").withColumn("st", F.lit("open")).checkpoint()
-    accepted_parts = []
     rounds = 0
     while True:
         n_open = act.filter(F.col("st") == "open").count()
@@ -129,25 +128,20 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
             break
         rounds += 1
         live = act.filter(F.col("st") == "open").select("product_id").distinct()
-        act = (act.join(live, "product_id", "left_semi")
-               .withColumn("w_lo", F.when(F.col("st") == "acc", F.col("q")).otherwise(F.lit(0))))
-        pre_sums = prefix_sums(act, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"}, "_b")
+        work = (act.join(live, "product_id", "left_semi")
+                .withColumn("w_lo", F.when(F.col("st") == "acc", F.col("q")).otherwise(F.lit(0))))
+        pre_sums = prefix_sums(work, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"}, "_b")
         dec = (pre_sums.filter(F.col("st") == "open").groupBy("cart_id")
                .agg(F.bool_and((F.col("U") + F.col("q")) <= F.col("s")).alias("all_fit"),
                     F.bool_or((F.col("L") + F.col("q")) > F.col("s")).alias("any_fail"))
                .select("cart_id", F.when(F.col("all_fit"), F.lit("acc"))
-                                   .when(F.col("any_fail"), F.lit("rej")).alias("new_st"))
-               .filter(F.col("new_st").isNotNull())).checkpoint()
-        accepted_parts.append(dec.filter(F.col("new_st") == "acc").select("cart_id"))
-        act = (act.drop("w_lo").join(dec, "cart_id", "left")
-               .select(*[c for c in act.columns if c not in ("st", "w_lo")],
-                       F.coalesce(F.col("new_st"), F.col("st")).alias("st"))
+                                   .when(F.col("any_fail"), F.lit("rej")).alias("new_st")))
+        act = (act.join(dec, "cart_id", "left")
+               .select(*[c for c in act.columns if c != "st"], F.coalesce(F.col("new_st"), F.col("st")).alias("st"))
                .filter(F.col("st") != "rej")
                .checkpoint())
 
-    accepted = accepted_parts[0] if accepted_parts else eligible.select("cart_id").filter(F.lit(False))
-    for part in accepted_parts[1:]:
-        accepted = accepted.unionByName(part)
+    accepted = act.filter(F.col("st") == "acc").select("cart_id").distinct()
 
     # -- final replay for reasons: stock used by accepted carts before each cart, item by item
     acc_lines = lines.join(accepted, "cart_id", "left_semi").select("product_id", "requested_at", "cart_id", "q")
