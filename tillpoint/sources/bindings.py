@@ -8,13 +8,14 @@ sides see identical inputs.  Every domain frame carries ``client_id``.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillpoint.functions.money import to_money
 from tillpoint.functions.timefn import ntz
-from tillpoint.sources.tables import read_table
+from tillpoint.sources.tables import read_table, table_path
 
 # Fixed values of binding E (FIXTURES.md §3).
 LEDGER_AS_OF = "2024-01-24 15:30:00"
@@ -52,12 +53,41 @@ class Ledger:
     as_of: str
 
 
+_BINDINGS: dict = {}
+
+
+def _stamp(root: str, names: list[str]) -> tuple:
+    out = []
+    for n in names:
+        try:
+            out.append(os.stat(table_path(root, n)).st_mtime_ns)
+        except OSError:
+            out.append(None)
+    return tuple(out)
+
+
+def _reuse(key, build, spark):
+    """Binding frames are plain definitions over immutable files: reuse them within a
+    session while the files are unchanged (the key carries their modification times)."""
+    hit = _BINDINGS.get(key)
+    if hit is not None and hit[0] is spark:
+        return hit[1]
+    value = build()
+    _BINDINGS[key] = (spark, value)
+    return value
+
+
 def ledger_binding(spark: SparkSession, root: str, as_of: str = LEDGER_AS_OF) -> Ledger:
     """Binding E: bills / web_bills / man_incomes / man_expenses / orders on ``events``.
 
     Rows later than ``as_of`` are cut here, once, as the reference's clock is
     the real one and its queries carry no upper bound.
     """
+    key = ("E", id(spark), root, as_of, _stamp(root, ["events"]))
+    return _reuse(key, lambda: _build_ledger(spark, root, as_of), spark)
+
+
+def _build_ledger(spark: SparkSession, root: str, as_of: str) -> Ledger:
     ev = (read_table(spark, root, "events", ["event_id", "ts", "user_id", "event_type", "value"])
           .filter(F.col("ts") <= ntz(as_of)))
     eid = F.col("event_id")
@@ -385,8 +415,12 @@ class Commerce:
             F.col("lang").alias("description"), _minutes_after_epoch(F.col("doc_id")).alias("created_at")))
 
 
+COMMERCE_TABLES = ["nation", "customer", "supplier", "part", "orders", "lineitem", "documents"]
+
+
 def commerce_binding(spark: SparkSession, root: str) -> Commerce:
-    return Commerce(spark, root)
+    key = ("C", id(spark), root, _stamp(root, COMMERCE_TABLES))
+    return _reuse(key, lambda: Commerce(spark, root), spark)
 
 
 def host_requests(c: Commerce) -> DataFrame:
