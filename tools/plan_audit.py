@@ -3,7 +3,7 @@
 usage: python tools/plan_audit.py [sf_dir] [name-substring ...]
 Reports per query: shuffle exchanges, broadcast exchanges, sort-merge / hash
 joins, and flags cartesian products, nested-loop joins, Python UDF nodes,
-single-partition exchanges and windows without a partition key.
+single-partition exchanges.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ def audit(plan: str) -> dict:
         "bhj": plan.count("BroadcastHashJoin"),
         "flags": sorted({v for k, v in FLAGS.items() if k in plan}),
     }
-    if re.search(r"Window \[[^\]]*\], \[\], ", plan):
-        out["flags"].append("unpartitioned-window")
     return out
 
 
