@@ -90,3 +90,20 @@ def test_not_in_null_rule(spark):
     got = sorted(tuple(r) for r in not_in_anti(pairs, applied, "job_id", by=["user"]).collect())
     assert got == [(10, 2), (10, 3), (12, 1), (12, 3)]          # user 11 has a NULL: nothing
     assert not_in_anti(jobs, applied.select("job_id"), "job_id").count() == 0
+
+
+def test_adaptive_buckets_prefix_sums_match_plain_window(spark):
+    from pyspark.sql import Window
+    from tillpoint.functions.ordering import adaptive_buckets
+    from tillpoint.operators.checkout import prefix_sums
+    rnd = random.Random(3)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("hot", i, t0 + dt.timedelta(seconds=rnd.randint(0, 50)), rnd.randint(1, 9)) for i in range(400)]
+    rows += [(f"k{j}", 1000 + j, t0 + dt.timedelta(seconds=j), 1) for j in range(20)]
+    df = spark.createDataFrame(rows, "key string, id long, t timestamp_ntz, v long")
+    b = adaptive_buckets(df, "key", "t", target_rows=50, cuts=16)
+    assert b.filter("key = 'hot'").select("_b").distinct().count() > 5      # the hot key is split
+    got = {r.id: r.s for r in prefix_sums(b, "key", ["t", "id"], {"s": "v"}, "_b").collect()}
+    w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
+    want = {r.id: (r.s or 0) for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
+    assert got == want

@@ -14,9 +14,11 @@ B4 fixed), without a sequential loop over carts:
   An open cart whose lines all fit under *upper* is accepted; one with a line
   that fails under *lower* is refused.  The earliest open cart always gets
   decided, usually thousands do; the loop ends when none is open;
-* running sums per product are computed on (product, time bucket) so a hot
-  product is spread over many tasks: per-bucket totals (small) carry into
-  the bucket, a window inside the bucket adds the rest;
+* running sums per product are computed on (product, bucket) so a hot
+  product is spread over many tasks: buckets are contiguous time ranges cut
+  at approximate quantiles for products with many lines
+  (``functions.ordering.adaptive_buckets``); per-bucket totals (small) carry
+  into the bucket, a window inside the bucket adds the rest;
 * the cart state is checkpointed each round (``spark.checkpoint.dir``), so
   lineage stays short and a lost executor recomputes one round at most.
 
@@ -31,6 +33,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillpoint.functions.money import MONEY_SUM, money_out
+from tillpoint.functions.ordering import adaptive_buckets
 from tillpoint.session import checkpoint_dir
 
 # Reference response codes and messages.
@@ -50,8 +53,6 @@ class CheckoutResult:
     rounds: int
 
 
-def _bucket(ts_col: str, grain: str):
-    return F.date_trunc(grain, F.col(ts_col).cast("timestamp_ntz"))
 
 
 def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str], bucket: str) -> DataFrame:
@@ -74,7 +75,7 @@ def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str
 
 
 def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame | None = None,
-             web: bool = False, grain: str = "day", max_rounds: int | None = None) -> CheckoutResult:
+             web: bool = False, bucket_rows: int = 1_000_000, max_rounds: int | None = None) -> CheckoutResult:
     """Decide a table of checkout requests against product stock.
 
     requests: cart_id, requested_at, status, payment_status, payment_method[, email]
@@ -113,10 +114,10 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
                 .join(bad_carts, "cart_id", "left_anti"))
 
     # -- lines: one per (cart, product); a line above the whole stock can never fit
-    lines = (it.join(eligible, "cart_id", "inner")
-             .groupBy("cart_id", "requested_at", "product_id")
-             .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s"))
-             .withColumn("_b", _bucket("requested_at", grain))).checkpoint()
+    lines = adaptive_buckets(it.join(eligible, "cart_id", "inner")
+                             .groupBy("cart_id", "requested_at", "product_id")
+                             .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
+                             "product_id", "requested_at", bucket_rows).checkpoint()
     never = lines.filter(F.col("q") > F.col("s")).select("cart_id").distinct()
     # the working set carries each line's cart status; refused carts leave it for good.
     # Each round only the products that still have an open cart are recomputed.
@@ -152,8 +153,8 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
     marks = (acc_lines.select("product_id", "requested_at", "cart_id", F.col("q").alias("_w"))
              .unionByName(probe.select("product_id", "requested_at", "cart_id").distinct()
                           .join(acc_lines.select("product_id", "cart_id"), ["product_id", "cart_id"], "left_anti")
-                          .withColumn("_w", F.lit(0).cast("long")))
-             .withColumn("_b", _bucket("requested_at", grain)))
+                          .withColumn("_w", F.lit(0).cast("long"))))
+    marks = adaptive_buckets(marks, "product_id", "requested_at", bucket_rows)
     before = prefix_sums(marks, "product_id", ["requested_at", "cart_id"], {"_before": "_w"}, "_b") \
         .select("product_id", "cart_id", "_before")
     w_item = Window.partitionBy("cart_id", "product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
