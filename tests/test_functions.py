@@ -75,7 +75,7 @@ def test_asof_join_matches_brute_force(spark):
     r = spark.createDataFrame(right, "k string, rid int, t timestamp_ntz")
     l_ = spark.createDataFrame(left, "k string, lid int, lt timestamp_ntz")
     got = {x.lid: (x.m.rid if x.m else None) for x in
-           asof_join(l_, r, ["k"], "lt", "t", ["rid"], ["rid"], grain_seconds=1800, name="m").collect()}
+           asof_join(l_, r, ["k"], "lt", "t", ["rid"], ["rid"], bucket_rows=20, name="m").collect()}
     want = {}
     for k, lid, lt in left:
         cands = [(t, rid) for kk, rid, t in right if kk == k and t <= lt]

@@ -22,16 +22,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def _micros(time_col: str):
+    return F.unix_micros(F.col(time_col).cast("timestamp"))
+
+
+def bucket_bounds(df: DataFrame, keys: list[str], time_col: str, target_rows: int = 1_000_000,
+                  cuts: int = 1024) -> DataFrame:
+    """(keys..., _cuts): approximate quantile cut points of the heavy keys only."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    heavy = counts.filter(F.col("_n") > target_rows).select(*keys)
+    probs = [i / cuts for i in range(1, cuts)]
+    return (df.join(heavy, keys, "left_semi")
+            .groupBy(*keys).agg(F.percentile_approx(_micros(time_col), probs, 10 * cuts).alias("_cuts")))
+
+
+def assign_buckets(df: DataFrame, bounds: DataFrame, keys: list[str], time_col: str,
+                   name: str = "_b") -> DataFrame:
+    """Bucket number = cut points at or before the row's time (0 for light keys)."""
+    t = _micros(time_col)
+    out = df.join(bounds, keys, "left")
+    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_cuts"), lambda c: c <= t)))
+    return out.withColumn(name, bucket.cast("long")).drop("_cuts")
+
+
 def adaptive_buckets(df: DataFrame, key: str, time_col: str, target_rows: int = 1_000_000,
                      cuts: int = 1024, name: str = "_b") -> DataFrame:
     """``df`` plus a LONG bucket column ``name`` ordered like ``time_col`` within each key."""
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter(F.col("_n") > target_rows).select(key)
-    probs = [i / cuts for i in range(1, cuts)]
-    bounds = (df.join(heavy, key, "left_semi")
-              .groupBy(key).agg(F.percentile_approx(t, probs, 10 * cuts).alias("_cuts")))
-    out = df.join(bounds, key, "left")
-    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-        F.size(F.filter(F.col("_cuts"), lambda c: c <= t)))
-    return out.withColumn(name, bucket.cast("long")).drop("_cuts")
+    bounds = bucket_bounds(df.select(key, time_col), [key], time_col, target_rows, cuts)
+    return assign_buckets(df, bounds, [key], time_col, name)

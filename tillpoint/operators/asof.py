@@ -2,9 +2,12 @@
 
 Spark has no as-of join.  A window over the union of both sides partitioned by
 the key alone would put a hot key (say one e-mail with a third of all rows)
-into one task, so the lookup is done on time buckets:
+into one task, so the lookup is done on order-preserving buckets:
 
-1. each side gets a bucket number ``floor(t / grain)``;
+1. both sides get the same bucket numbers: light keys keep one bucket, heavy
+   keys are cut at approximate quantiles of the union's times
+   (``functions.ordering``), so no bucket holds more than about
+   ``bucket_rows`` rows;
 2. the latest right row *per (key, bucket)* is a ``max_by`` aggregate, which
    is partially aggregated before the shuffle;
 3. a carry-in per (key, bucket) -- the latest right row of any earlier bucket
@@ -18,16 +21,14 @@ Rows at equal times: right rows count as "at or before" the left row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-
-def _bucket(c: Column, grain_seconds: int) -> Column:
-    return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(grain_seconds * 1_000_000))
+from tillpoint.functions.ordering import assign_buckets, bucket_bounds
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str,
               right_cols: list[str], right_order: list[str] | None = None,
-              grain_seconds: int = 3600, name: str = "asof") -> DataFrame:
+              bucket_rows: int = 1_000_000, name: str = "asof") -> DataFrame:
     """Left rows plus ``name``: struct of the governing right row (NULL if none).
 
     ``right_order`` breaks ties between right rows at the same time (later
@@ -37,11 +38,12 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     rstruct = F.struct(*[F.col(c) for c in right_cols])
     rkey = F.struct(F.col(right_time).alias("_t"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(right_order)])
 
-    r = right.select(*by, F.col(right_time).alias("_t"), _bucket(F.col(right_time), grain_seconds).alias("_b"),
-                     rkey.alias("_rk"), rstruct.alias("_r"))
+    r0 = right.select(*by, F.col(right_time).alias("_t"), rkey.alias("_rk"), rstruct.alias("_r"))
     lcols = left.columns
-    l_ = left.select(*by, F.col(left_time).alias("_t"), _bucket(F.col(left_time), grain_seconds).alias("_b"),
-                     F.struct(*[F.col(c) for c in lcols]).alias("_l"))
+    l0 = left.select(*by, F.col(left_time).alias("_t"), F.struct(*[F.col(c) for c in lcols]).alias("_l"))
+    bounds = bucket_bounds(r0.select(*by, "_t").unionByName(l0.select(*by, "_t")), by, "_t", bucket_rows)
+    r = assign_buckets(r0, bounds, by, "_t")
+    l_ = assign_buckets(l0, bounds, by, "_t")
 
     # 2. latest right row per (key, bucket), partially aggregated
     per_bucket = r.groupBy(*by, "_b").agg(F.max_by("_r", "_rk").alias("_last"))
