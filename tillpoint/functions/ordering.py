@@ -31,9 +31,11 @@ def bucket_bounds(df: DataFrame, keys: list[str], time_col: str, target_rows: in
     """(keys..., _cuts): approximate quantile cut points of the heavy keys only."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.filter(F.col("_n") > target_rows).select(*keys)
-    probs = [i / cuts for i in range(1, cuts)]
-    return (df.join(heavy, keys, "left_semi")
-            .groupBy(*keys).agg(F.percentile_approx(_micros(time_col), probs, 10 * cuts).alias("_cuts")))
+    probs = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
+    # one SQL expression: a Python list would become one JVM call per probability
+    quantiles = F.expr(f"percentile_approx(_m, array({probs}), {10 * cuts})")
+    return (df.join(heavy, keys, "left_semi").withColumn("_m", _micros(time_col))
+            .groupBy(*keys).agg(quantiles.alias("_cuts")))
 
 
 def assign_buckets(df: DataFrame, bounds: DataFrame, keys: list[str], time_col: str,
