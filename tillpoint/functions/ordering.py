@@ -27,10 +27,17 @@ def _micros(time_col: str):
 
 
 def bucket_bounds(df: DataFrame, keys: list[str], time_col: str, target_rows: int = 1_000_000,
-                  cuts: int = 1024) -> DataFrame:
-    """(keys..., _cuts): approximate quantile cut points of the heavy keys only."""
+                  cuts: int = 1024) -> DataFrame | None:
+    """(keys..., _cuts): approximate quantile cut points of the heavy keys only.
+
+    Returns None when no key is heavy (checked with one small job on the
+    partially aggregated counts), so callers can keep one bucket per key
+    and skip the bucket machinery altogether.
+    """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     heavy = counts.filter(F.col("_n") > target_rows).select(*keys)
+    if heavy.isEmpty():
+        return None
     probs = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
     # one SQL expression: a Python list would become one JVM call per probability
     quantiles = F.expr(f"percentile_approx(_m, array({probs}), {10 * cuts})")
@@ -38,9 +45,11 @@ def bucket_bounds(df: DataFrame, keys: list[str], time_col: str, target_rows: in
             .groupBy(*keys).agg(quantiles.alias("_cuts")))
 
 
-def assign_buckets(df: DataFrame, bounds: DataFrame, keys: list[str], time_col: str,
+def assign_buckets(df: DataFrame, bounds: DataFrame | None, keys: list[str], time_col: str,
                    name: str = "_b") -> DataFrame:
     """Bucket number = cut points at or before the row's time (0 for light keys)."""
+    if bounds is None:
+        return df.withColumn(name, F.lit(0).cast("long"))
     t = _micros(time_col)
     out = df.join(bounds, keys, "left")
     bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_cuts"), lambda c: c <= t)))

@@ -45,13 +45,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     r = assign_buckets(r0, bounds, by, "_t")
     l_ = assign_buckets(l0, bounds, by, "_t")
 
-    # 2. latest right row per (key, bucket), partially aggregated
-    per_bucket = r.groupBy(*by, "_b").agg(F.max_by("_r", "_rk").alias("_last"))
-    # 3. carry-in: latest right row of an earlier bucket, over distinct (key, bucket) pairs
-    pairs = (l_.select(*by, "_b").unionByName(r.select(*by, "_b")).distinct()
-             .join(per_bucket, [*by, "_b"], "left"))
-    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = pairs.select(*by, "_b", F.last("_last", ignorenulls=True).over(w).alias("_carry"))
+    carry = None
+    if bounds is not None:
+        # 2. latest right row per (key, bucket), partially aggregated
+        per_bucket = r.groupBy(*by, "_b").agg(F.max_by("_r", "_rk").alias("_last"))
+        # 3. carry-in: latest right row of an earlier bucket, over distinct (key, bucket) pairs
+        pairs = (l_.select(*by, "_b").unionByName(r.select(*by, "_b")).distinct()
+                 .join(per_bucket, [*by, "_b"], "left"))
+        w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        carry = pairs.select(*by, "_b", F.last("_last", ignorenulls=True).over(w).alias("_carry"))
 
     # 4. inside a bucket: latest right row at or before each left row
     both = (r.select(*by, "_b", "_t", F.lit(0).alias("_tag"), "_rk", "_r", F.lit(None).cast(l_.schema["_l"].dataType).alias("_l"))
@@ -62,5 +64,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     wb = (Window.partitionBy(*by, "_b").orderBy("_t", "_tag", "_rk")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inb = both.withColumn("_in", F.last("_r", ignorenulls=True).over(wb)).filter(F.col("_tag") == 1)
+    if carry is None:       # one bucket per key: nothing to carry in
+        return inb.select(*[F.col("_l")[c].alias(c) for c in lcols], F.col("_in").alias(name))
     out = inb.join(carry, [*by, "_b"], "left")
     return out.select(*[F.col("_l")[c].alias(c) for c in lcols], F.coalesce("_in", "_carry").alias(name))
