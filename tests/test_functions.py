@@ -101,7 +101,8 @@ def test_adaptive_buckets_prefix_sums_match_plain_window(spark):
     rows = [("hot", i, t0 + dt.timedelta(seconds=rnd.randint(0, 50)), rnd.randint(1, 9)) for i in range(400)]
     rows += [(f"k{j}", 1000 + j, t0 + dt.timedelta(seconds=j), 1) for j in range(20)]
     df = spark.createDataFrame(rows, "key string, id long, t timestamp_ntz, v long")
-    b = adaptive_buckets(df, "key", "t", target_rows=50, cuts=16)
+    b, split = adaptive_buckets(df, "key", "t", target_rows=50, cuts=16)
+    assert split
     assert b.filter("key = 'hot'").select("_b").distinct().count() > 5      # the hot key is split
     got = {r.id: r.s for r in prefix_sums(b, "key", ["t", "id"], {"s": "v"}, "_b").collect()}
     w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)

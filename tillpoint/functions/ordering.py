@@ -57,7 +57,8 @@ def assign_buckets(df: DataFrame, bounds: DataFrame | None, keys: list[str], tim
 
 
 def adaptive_buckets(df: DataFrame, key: str, time_col: str, target_rows: int = 1_000_000,
-                     cuts: int = 1024, name: str = "_b") -> DataFrame:
-    """``df`` plus a LONG bucket column ``name`` ordered like ``time_col`` within each key."""
+                     cuts: int = 1024, name: str = "_b") -> tuple[DataFrame, bool]:
+    """(``df`` plus a LONG bucket column ``name`` ordered like ``time_col`` within each key,
+    whether any key was split).  Unsplit means every key has at most ``target_rows`` rows."""
     bounds = bucket_bounds(df.select(key, time_col), [key], time_col, target_rows, cuts)
-    return assign_buckets(df, bounds, [key], time_col, name)
+    return assign_buckets(df, bounds, [key], time_col, name), bounds is not None

@@ -55,7 +55,8 @@ class CheckoutResult:
 
 
 
-def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str], bucket: str) -> DataFrame:
+def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str],
+                bucket: str | None) -> DataFrame:
     """Exclusive running sums of ``values`` per ``key`` in ``order``, skew-safe via ``bucket``.
 
     ``order`` must start with the column that ``bucket`` coarsens, so bucket
@@ -64,6 +65,9 @@ def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str
     aggregated before their shuffle, carried forward per key on that small
     table and joined back.
     """
+    if bucket is None:      # no key above the bucket threshold: one window per key is bounded
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*df.columns, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(o) for o, v in values.items()])
     w_in = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = df.select("*", *[F.sum(v).over(w_in).alias(f"_in_{o}") for o, v in values.items()])
     totals = df.groupBy(key, bucket).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
@@ -114,10 +118,11 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
                 .join(bad_carts, "cart_id", "left_anti"))
 
     # -- lines: one per (cart, product); a line above the whole stock can never fit
-    lines = adaptive_buckets(it.join(eligible, "cart_id", "inner")
-                             .groupBy("cart_id", "requested_at", "product_id")
-                             .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
-                             "product_id", "requested_at", bucket_rows).checkpoint()
+    lines, split = adaptive_buckets(it.join(eligible, "cart_id", "inner")
+                                    .groupBy("cart_id", "requested_at", "product_id")
+                                    .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
+                                    "product_id", "requested_at", bucket_rows)
+    lines = lines.checkpoint()
     never = lines.filter(F.col("q") > F.col("s")).select("cart_id").distinct()
     # the working set carries each line's cart status; refused carts leave it for good.
     # Each round only the products that still have an open cart are recomputed.
@@ -131,7 +136,8 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
         live = act.filter(F.col("st") == "open").select("product_id").distinct()
         work = (act.join(live, "product_id", "left_semi")
                 .withColumn("w_lo", F.when(F.col("st") == "acc", F.col("q")).otherwise(F.lit(0))))
-        pre_sums = prefix_sums(work, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"}, "_b")
+        pre_sums = prefix_sums(work, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"},
+                               "_b" if split else None)
         dec = (pre_sums.filter(F.col("st") == "open").groupBy("cart_id")
                .agg(F.bool_and((F.col("U") + F.col("q")) <= F.col("s")).alias("all_fit"),
                     F.bool_or((F.col("L") + F.col("q")) > F.col("s")).alias("any_fail"))
@@ -154,8 +160,9 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
              .unionByName(probe.select("product_id", "requested_at", "cart_id").distinct()
                           .join(acc_lines.select("product_id", "cart_id"), ["product_id", "cart_id"], "left_anti")
                           .withColumn("_w", F.lit(0).cast("long"))))
-    marks = adaptive_buckets(marks, "product_id", "requested_at", bucket_rows)
-    before = prefix_sums(marks, "product_id", ["requested_at", "cart_id"], {"_before": "_w"}, "_b") \
+    marks, split_m = adaptive_buckets(marks, "product_id", "requested_at", bucket_rows)
+    before = prefix_sums(marks, "product_id", ["requested_at", "cart_id"], {"_before": "_w"},
+                         "_b" if split_m else None) \
         .select("product_id", "cart_id", "_before")
     w_item = Window.partitionBy("cart_id", "product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     chk = (probe.join(before, ["product_id", "cart_id"], "left")
