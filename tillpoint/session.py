@@ -45,10 +45,7 @@ def get_session(master: str | None = None, app: str = "tillpoint",
 def ensure_session_defaults(spark: SparkSession) -> SparkSession:
     """Pin the SQL settings the operators depend on (idempotent)."""
     for k, v in SESSION_DEFAULTS.items():
-        try:
-            spark.conf.set(k, v)
-        except Exception:  # static conf on a shared session: leave it
-            pass
+        spark.conf.set(k, v)
     return spark
 
 
@@ -56,8 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
     Uses the context's folder when one is active, else the session's
-    ``spark.checkpoint.dir``; only where neither exists (a local test
-    session) a local folder is chosen.  ``spark.checkpoint.dir`` itself is a
+    ``spark.checkpoint.dir``; where neither exists, a local master gets a
+    temporary folder and any other master an error, because executors would
+    not see each other's local folders.  ``spark.checkpoint.dir`` itself is a
     core setting that cannot be changed at runtime, so it is never written.
     """
     sc = spark.sparkContext
@@ -66,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tillpoint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
