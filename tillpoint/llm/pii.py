@@ -7,8 +7,8 @@ format and its context; a proposal that coincides with a base span (at least
 four fifths of what both cover) is a positive example, every other one a
 negative, and no feature tells the trees the outcome of a check (range of a
 part, check digit).  So that they learn formats which the strict patterns
-miss, a positive example also counts as written with "(at)" for the sign, and
-without its leading plus.  On a held-out part of
+miss, a written-out sign ("(at)") has the features of the sign, and a positive
+example also counts without its leading plus.  On a held-out part of
 the examples the lowest threshold that reaches the wanted precision is
 chosen; proposals at or above it that do not overlap a base span are added,
 the higher score first where they overlap each other.
@@ -49,10 +49,13 @@ BASE = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": "[0-9](?:[ -]?[0-9]){11}", "phone": r"\+[0-9]"}
 GENERATORS = {
     "mail_like": r"[^\s@<>(),;:\"'|]{1,64} ?(?:@|\(at\)|\[at\]) ?[^\s@<>(),;:\"'|]{3,255}",
-    "number_like": r"\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,30}",
+    # neither dates nor dotted numbers
+    "number_like": r"(?<![0-9.])(?![0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9]++\.[0-9])\+?\(?[0-9](?:[ ().\-/]{0,2}[0-9]){6,30}",
+    "dotted_like": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "code_like": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}\b",
 }
 GENERATOR_HINTS = {"mail_like": r"@|[\[(]at[\])]", "number_like": "[0-9](?:[ ().\\-/]{0,2}[0-9]){6}",
+                   "dotted_like": HINTS["ip"],
                    "code_like": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]"}
 KEYWORDS = "(?i:mail|phone|tel|call|fax|card|visa|account|iban|contact|address|ip)[^a-zA-Z]{0,12}$"
 SPAN = "array<struct<start: int, kind: string, end: int>>"
@@ -84,7 +87,9 @@ def proposals(text: Column) -> Column:
 
 
 def features(c: str = "p") -> dict[str, Column]:
-    found, left, right = F.col(f"{c}.found"), F.col(f"{c}.left"), F.col(f"{c}.right")
+    left, right = F.col(f"{c}.left"), F.col(f"{c}.right")
+    # a sign that is written out counts as the sign
+    found = F.regexp_replace(F.col(f"{c}.found"), r" ?(?:\(at\)|\[at\]) ?", "@")
 
     def count(pattern: str) -> Column:
         return F.length(found) - F.length(F.regexp_replace(found, pattern, ""))
@@ -116,8 +121,7 @@ def fit(candidates: DataFrame, sample: int = SAMPLE, precision: float = PRECISIO
 
     label = F.exists("base", coincides)
     found = F.col("p.found")
-    written_as = F.when(label, F.array_distinct(F.array(found, F.regexp_replace(found, "@", " (at) "),
-                                                        F.regexp_replace(found, r"^\+", "")))).otherwise(F.array(found))
+    written_as = F.when(label, F.array_distinct(F.array(found, F.regexp_replace(found, r"^\+", "")))).otherwise(F.array(found))
     forms = (candidates.withColumn("label", label.cast("double")).withColumn("found", F.explode(written_as))
              .select("label", F.struct("p.start", "p.kind", "p.end", "found", "p.left", "p.right").alias("p")))
     h = F.xxhash64("p.found", "p.left", "p.right")
