@@ -34,6 +34,7 @@ from tillpoint.llm.common import ddl, map_batches, pick, texts
 
 SAMPLE_ROWS, SAMPLE_CHARS = 48, 800
 PIECE = 512
+PART_CHARS = 4_000_000         # characters parsed at a time
 UNKNOWN = "und"
 GAP = 1             # symbol of a run of characters that aren't letters; 0 is a letter that no sample has
 
@@ -143,41 +144,53 @@ def _predict(model: Model):
     codes = model.code_table()
     labels, bits = np.array(model.labels + [UNKNOWN], object), np.array(model.bits)
 
-    def work(batch):
-        docs = texts(batch)
+    def costs(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits per character (labels x texts), and which texts have a letter."""
         data = np.frombuffer("\n".join([*docs, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = codes[data]
-        ends = np.cumsum([len(d) + 1 for d in docs]) if docs else np.zeros(0, np.int64)
-        keep = np.append(True, (symbols[1:] != GAP) | (symbols[:-1] != GAP)) if len(symbols) else np.zeros(0, bool)
+        ends = np.cumsum([len(d) + 1 for d in docs])
+        keep = np.append(True, (symbols[1:] != GAP) | (symbols[:-1] != GAP))
         keep[ends[:-1]] = True                          # a document starts afresh
-        kept = np.concatenate(([0], np.cumsum(keep)))
+        kept = np.concatenate((np.zeros(1, np.int32), np.cumsum(keep, dtype=np.int32)))
         symbols = symbols[keep]
-        first = kept[np.concatenate(([0], ends[:-1]))] if docs else ends
-        size = kept[ends] - first if docs else ends
-        letters = np.concatenate(([0], np.cumsum(symbols != GAP)))
-        has = letters[first + size] > letters[first] if docs else np.zeros(0, bool)
+        first = kept[np.concatenate(([0], ends[:-1]))]
+        size = kept[ends] - first
+        letters = np.concatenate((np.zeros(1, np.int32), np.cumsum(symbols != GAP, dtype=np.int32)))
+        has = letters[first + size] > letters[first]
         pieces = np.where(has, -(-size // PIECE), 0)
         doc = np.repeat(np.arange(len(docs)), pieces)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         starts = first[doc] + nth * PIECE
         lengths = np.minimum(PIECE, size[doc] - nth * PIECE)
-        total = np.zeros((len(bits), len(docs)))
         order = np.argsort(-lengths, kind="stable")
-        for a in range(0, len(order), 65536):
-            o = order[a:a + 65536]
-            got = phrases(model, symbols, starts[o], lengths[o])
-            for row, n in zip(total, got):
-                row += np.bincount(doc[o], weights=n, minlength=len(docs))
-        cost = total * bits[:, None] / np.maximum(size, 1)
-        if len(bits):
-            by = np.sort(cost, axis=0)
-            best, lowest = np.argmin(cost, axis=0), by[0]
-            score = 1 - lowest / np.maximum(by[1], 1e-300) if len(bits) > 1 else np.ones(len(docs))
-        else:
-            best, lowest, score, has = np.zeros(len(docs), int), np.zeros(len(docs)), np.zeros(len(docs)), has & False
-        yield {n: batch.column(n) for n in batch.schema.names} | {
-            "_lang": labels[np.where(has, best, len(bits))].tolist(),
-            "_score": np.where(has, np.clip(score, 0, 1), 0.0), "_cost": np.where(has, lowest, 0.0)}
+        got = phrases(model, symbols, starts[order], lengths[order])
+        total = np.array([np.bincount(doc[order], weights=n, minlength=len(docs)) for n in got])
+        return total.reshape(len(bits), len(docs)) * bits[:, None] / np.maximum(size, 1), has
+
+    def parts(docs: list[str]):
+        at = 0
+        while at < len(docs):
+            end, n = at, 0
+            while end < len(docs) and (end == at or n + len(docs[end]) <= PART_CHARS):
+                n += len(docs[end])
+                end += 1
+            yield docs[at:end]
+            at = end
+
+    def work(batch):
+        found, lang, score, lowest = texts(batch), [], [], []
+        for docs in parts(found):
+            cost, has = costs(docs)
+            if not len(bits):
+                best, low, sure, has = np.zeros(len(docs), int), np.zeros(len(docs)), np.zeros(len(docs)), has & False
+            else:
+                by = np.sort(cost, axis=0)
+                best, low = np.argmin(cost, axis=0), by[0]
+                sure = 1 - low / np.maximum(by[1], 1e-300) if len(bits) > 1 else np.ones(len(docs))
+            lang += labels[np.where(has, best, len(bits))].tolist()
+            score += np.where(has, np.clip(sure, 0, 1), 0.0).tolist()
+            lowest += np.where(has, low, 0.0).tolist()
+        yield {n: batch.column(n) for n in batch.schema.names} | {"_lang": lang, "_score": score, "_cost": lowest}
     return work
 
 
