@@ -53,7 +53,8 @@ from pyspark.sql import DataFrame, functions as F
 from tillpoint.llm.common import encoded, map_batches, pick, shared_folder, texts
 
 END_TOKEN, START_TOKEN = b" end", b" start"        # no word holds a space
-RANGE_TOKENS = 8_000_000
+RANGE_TOKENS = 4_000_000
+PART_CHARS = 4_000_000         # characters scored at a time
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
@@ -359,14 +360,21 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         floor = np.log10(float(m.tokens + m.words + 1))
 
         def work(batch):
-            h, lengths = tokens(texts(batch))
-            first = np.cumsum(lengths) - lengths
-            logp, c = m.log10(h, lengths)
-            total = np.add.reduceat(logp, first) if len(first) else logp
-            base = np.add.reduceat(np.log10(c + 1.0) - floor, first) if len(first) else logp
-            known = np.add.reduceat((c > 0).astype(np.int64), first) if len(first) else lengths
-            yield {"id": batch.column("id"), "n_tokens": lengths, "n_known": known, "base_score": base, "score": total,
-                   "perplexity": 10 ** (-total / np.maximum(lengths, 1))}
+            docs, at = texts(batch), 0
+            while at < len(docs):
+                end, n = at, 0
+                while end < len(docs) and (end == at or n + len(docs[end]) <= PART_CHARS):
+                    n += len(docs[end])
+                    end += 1
+                h, lengths = tokens(docs[at:end])
+                first = np.cumsum(lengths) - lengths
+                logp, c = m.log10(h, lengths)
+                total = np.add.reduceat(logp, first)
+                yield {"id": batch.column("id").slice(at, end - at), "n_tokens": lengths,
+                       "n_known": np.add.reduceat((c > 0).astype(np.int64), first),
+                       "base_score": np.add.reduceat(np.log10(c + 1.0) - floor, first), "score": total,
+                       "perplexity": 10 ** (-total / lengths)}
+                at = end
         return work
 
     return map_batches(own, start, f"id {own.dtypes[0][1]}, n_tokens long, n_known long, base_score double,"
