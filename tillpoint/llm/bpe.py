@@ -3,19 +3,22 @@
 Encoding merges bytes inside one pre-token at a time, so a pre-token has the
 same ids wherever it stands.  Documents are read in blocks:
 
-1. each block lists its distinct pre-tokens; (word, block, number in the
-   block) rows are shuffled by word, so all uses of a word in the corpus meet
-   in one task, which encodes it once and hands the ids to each block;
+1. each block lists its distinct pre-tokens, most frequent first; they are
+   dealt by a hash of the word into parts, packed one row per block and part,
+   so all uses of a word in the corpus meet in one task, which encodes it once
+   and hands the ids to each block;
 2. each block sends the order of its words, packed, to the same place as its
    words' ids, where the ids are put together by position.
 
-A word has one row per block that holds it, so the most frequent word of all
-is no more than one row per block.  A block's words fit in memory (about
-``block_chars`` characters of text, or one document if that is longer).
+A word is sent once per block that holds it, so the most frequent word of all
+is no more than one entry per block.  The parts grow in number with the
+corpus, so that a part has about ``part_chars`` characters of text behind it.
+A block's words fit in memory (``block_chars`` characters, or one document if
+that is longer).
 
 The two reads of a block must see the same documents; a block's name is a
-digest of its texts, and a word that is missing when a block is put together
-raises an error.
+digest of its texts, and words that are missing when a block is put together
+raise an error.
 
 Pre-tokens: the pattern is applied to distinct chunks only.  A chunk is a run
 of spaces and line ends with the run of other characters behind it; no match
@@ -36,13 +39,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -51,7 +55,9 @@ from tillpoint.llm.common import ddl, map_batches, pick, record_batch, texts
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # White space other than the space and the line end.
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 4_000_000
+PART_CHARS = 16_000_000
+DECODE_IDS = 1_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,49 +66,91 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+class Numbers(dict):
+    """Numbers of distinct keys in order of appearance."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def pretokens(chunks: list[str], pattern) -> tuple[list[str], np.ndarray]:
+    """All matches of the pattern in some distinct chunks, in order, and the number of them in each chunk.
+
+    Chunks that begin with white space and end with another character are matched as one text: what follows
+    such a chunk begins with white space again, so matches end where chunks end.
+    """
+    joins = [c[0] in " \n" and c[-1] not in " \n" for c in chunks]
+    found: list[str] = []
+    counts = np.zeros(len(chunks), np.int64)
+    at = 0
+    while at < len(chunks):
+        end = at
+        while end < len(chunks) and joins[end]:
+            end += 1
+        if end > at:
+            got = pattern.findall("".join(chunks[at:end]))
+            stops = np.cumsum([len(c) for c in chunks[at:end]])
+            counts[at:end] = np.diff(np.searchsorted(np.cumsum([len(g) for g in got]), stops, side="right"), prepend=0)
+            found += got
+            at = end
+        if at < len(chunks) and not joins[at]:
+            got = pattern.findall(chunks[at])
+            counts[at] = len(got)
+            found += got
+            at += 1
+    return found, counts
+
+
 class Block:
-    """Documents of a block as numbers of distinct pre-tokens."""
+    """Documents of a block as numbers of distinct pre-tokens, the most frequent first."""
 
     def __init__(self, docs: list[str], pattern):
-        numbers: dict[str, int] = {}            # pre-token -> number
-        chunks: dict[str, int] = {}             # chunk -> row of ``parts``
-        parts: list[list[int]] = []
+        chunks, odd = Numbers(), []
         runs = []
-        for text in docs:
-            pieces = [text] if ODD_SPACE.search(text) else CHUNK.findall(text)
-            rows = []
-            for c in pieces:
-                r = chunks.get(c)
-                if r is None:
-                    r = chunks[c] = len(parts)
-                    parts.append([numbers.setdefault(w, len(numbers)) for w in pattern.findall(c)])
-                rows.append(r)
-            runs.append(np.array(rows, np.int64))
-        size = np.array([len(p) for p in parts], np.int64)
-        flat = np.array([x for p in parts for x in p], np.int64)
+        for i, text in enumerate(docs):
+            if ODD_SPACE.search(text):
+                odd.append(i)
+                runs.append(np.zeros(0, np.int32))
+            else:
+                pieces = CHUNK.findall(text)
+                runs.append(np.fromiter(map(chunks.__getitem__, pieces), np.int32, len(pieces)))
+        numbers = Numbers()
+        found, size = pretokens(list(chunks), pattern)
+        flat = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
         begin = np.cumsum(size) - size
-        every = np.concatenate(runs) if runs else np.zeros(0, np.int64)
-        n = size[every] if len(every) else every
-        order = (flat[np.repeat(begin[every] - np.cumsum(n) + n, n) + np.arange(n.sum())] if len(every) else every)
-        self.lengths = [int(size[r].sum()) if len(r) else 0 for r in runs]
-        # the most frequent words get the smallest numbers: the packed order is then mostly small bytes
-        freq = np.bincount(order, minlength=len(numbers))
+        orders = []
+        for run in runs:
+            n = size[run]
+            orders.append(flat[np.repeat(begin[run] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        for i in odd:
+            got = pattern.findall(docs[i])
+            orders[i] = np.fromiter(map(numbers.__getitem__, got), np.int32, len(got))
+        self.lengths = [len(o) for o in orders]
+        order = np.concatenate(orders) if orders else np.zeros(0, np.int32)
         rank = np.empty(len(numbers), np.int64)
-        rank[np.argsort(-freq, kind="stable")] = np.arange(len(numbers))
+        rank[np.argsort(-np.bincount(order, minlength=len(numbers)), kind="stable")] = np.arange(len(numbers))
         self.order = rank[order].astype(np.uint32)
         self.words = [b""] * len(numbers)
-        for w, i in numbers.items():
-            self.words[rank[i]] = w.encode("utf-8", "surrogatepass")
+        for w, r in zip(numbers, rank.tolist()):
+            self.words[r] = w.encode("utf-8", "surrogatepass")
 
+    def parts(self, parts: int) -> np.ndarray:
+        """The part of each word; the words of a part keep their order."""
+        return np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % parts
 
-def pack(order: np.ndarray) -> bytes:
-    planes = order.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
+def pack(numbers: np.ndarray, rest: bytes = b"") -> bytes:
+    """32-bit numbers byte by byte, so that small ones compress well, and some more bytes."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(len(numbers).to_bytes(8, "little") + planes.tobytes() + rest)
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(raw, np.uint8, 4 * n, 8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel(), raw[8 + 4 * n:]
 
 
 def blocks_of(batch: pa.RecordBatch, block_chars: int):
@@ -122,37 +170,46 @@ def blocks_of(batch: pa.RecordBatch, block_chars: int):
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           carry: list[str] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
+           carry: list[str] = (), block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
     """(id, ids array<int>) and the ``carry`` columns."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = pick(docs, **{"id": id_col, "text": text_col} | {f"c_{i}": c for i, c in enumerate(carry)})
     kept = [c for c in rows.columns if c != "text"]
     types = dict(rows.dtypes)
+    parts = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars)
 
     def list_words():
         compiled = regex.compile(pattern)
 
         def work(batch):
             for _, own, name in blocks_of(batch, block_chars):
-                found = Block(own, compiled).words
-                for a in range(0, len(found), 100_000):
-                    part = found[a:a + 100_000]
-                    yield {"word": part, "block": np.full(len(part), name),
-                           "number": np.arange(a, a + len(part), dtype=np.int32)}
+                block = Block(own, compiled)
+                part = block.parts(parts)
+                order = np.argsort(part, kind="stable")
+                for p, at in zip(*np.unique(part[order], return_index=True)):
+                    some = [block.words[i] for i in order[at:np.searchsorted(part[order], p, side="right")]]
+                    yield {"part": [p], "block": [name],
+                           "words": [pack(np.array([len(w) for w in some]), b"".join(some))]}
         return work
 
-    def encode_words():
+    def encode_part(table: pa.Table) -> pa.Table:
         merges = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
-        last: list = [None, b""]
-
-        def work(batch):
-            ids = []
-            for w in batch.column("word").to_pylist():
-                if w != last[0]:        # rows are sorted: each distinct word is encoded once
-                    last[:] = w, np.array(merges._encode_single_piece(w), "<u4").tobytes()
-                ids.append(last[1])
-            yield {"block": batch.column("block"), "number": batch.column("number"), "ids": ids}
-        return work
+        known: dict[bytes, list[int]] = {}          # each distinct word is encoded once
+        out = []
+        for data in table.column("words"):
+            sizes, raw = unpack(data.as_py())
+            ends = np.cumsum(sizes).tolist()
+            got = []
+            for a, b in zip([0, *ends], ends):
+                w = raw[a:b]
+                ids = known.get(w)
+                if ids is None:
+                    ids = known[w] = merges._encode_single_piece(w)
+                got.append(ids)
+            flat = np.array([i for ids in got for i in ids], np.uint32)
+            out.append(pack(np.concatenate((np.array([len(x) for x in got], np.uint32), flat)),
+                            len(got).to_bytes(8, "little")))
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary())})
 
     def list_order():
         compiled = regex.compile(pattern)
@@ -160,62 +217,80 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         def work(batch):
             for at, own, name in blocks_of(batch, block_chars):
                 block = Block(own, compiled)
-                yield {"block": [name], "order": [pack(block.order)], "lengths": [block.lengths]} | {
+                yield {"block": [name], "order": [pack(block.order)], "parts": [pack(block.parts(parts))],
+                       "lengths": [block.lengths]} | {
                     c: pa.array([batch.column(c).slice(at, len(own)).to_pylist()],
                                 type=pa.list_(batch.schema.field(c).type)) for c in kept}
         return work
 
-    word_ids = map_batches(map_batches(rows, list_words, "word binary, block long, number int")
-                           .repartition("word").sortWithinPartitions("word"), encode_words,
-                           "block long, number int, ids binary")
-    orders = map_batches(rows, list_order, "block long, order binary, lengths array<long>, "
+    word_ids = (map_batches(rows, list_words, "part int, block long, words binary").groupBy("part")
+                .applyInArrow(encode_part, "block long, part int, ids binary"))
+    orders = map_batches(rows, list_order, "block long, order binary, parts binary, lengths array<long>, "
                          + ", ".join(f"{c} array<{types[c]}>" for c in kept))
     out_schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", ids array<int>"
     out_arrow = to_arrow_schema(StructType.fromDDL(out_schema))
 
-    def assemble(words_of: pa.Table, order_of: pa.Table) -> pa.Table:
-        n = words_of.num_rows
-        number = words_of.column("number").to_numpy()
-        ids = words_of.column("ids").to_pylist()
-        by = np.argsort(number, kind="stable")
-        size = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-        size[number] = [len(x) // 4 for x in ids]
-        if n and len(np.unique(number)) != len(size):
-            raise ValueError("a block was read with other words than before; its input must not change between reads")
-        seen = np.ones(n, bool)
-        seen[1:] = number[by][1:] != number[by][:-1]        # a block that stands twice lists its words twice
-        flat = np.frombuffer(b"".join(ids[i] for i in by[seen]), "<u4").astype(np.int32)
-        begin = np.cumsum(size) - size
+    def assemble(order_of: pa.Table, words_of: pa.Table) -> pa.Table:
+        # a block that stands twice lists its words twice
+        packed = dict(zip(words_of.column("part").to_pylist(), words_of.column("ids").to_pylist()))
+        sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for p in sorted(packed):
+            numbers, tail = unpack(packed[p])
+            n = int.from_bytes(tail, "little")
+            sizes.append(numbers[:n].astype(np.int64))
+            flats.append(numbers[n:].astype(np.int32))
+        listed, flat = np.concatenate(sizes), np.concatenate(flats)
         batches = []
         for row in order_of.to_pylist():
-            order = unpack(row["order"])
-            if len(order) and int(order.max()) >= len(size):
+            part = unpack(row["parts"])[0]
+            if len(part) != len(listed):
                 raise ValueError("a block was read with other words than before; its input must not change between reads")
+            by = np.argsort(part, kind="stable")        # the words as the parts list them
+            size, begin = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+            size[by], begin[by] = listed, np.cumsum(listed) - listed
+            order = unpack(row["order"])[0]
+            ends = np.concatenate(([0], np.cumsum(size[order])))
             lengths = np.array(row["lengths"], np.int64)
             at = np.concatenate(([0], np.cumsum(lengths)))
-            take = size[order]
-            ends = np.concatenate(([0], np.cumsum(take)))
-            tokens = flat[np.repeat(begin[order] - ends[:-1], take) + np.arange(ends[-1])]
-            offsets = ends[at].astype(np.int32)
+            tokens = np.empty(int(ends[-1]), np.int32)
+            for a in range(0, len(order), DECODE_IDS):
+                o = order[a:a + DECODE_IDS]
+                lo, hi = int(ends[a]), int(ends[a + len(o)])
+                tokens[lo:hi] = flat[np.repeat(begin[o] - ends[a:a + len(o)] + lo, size[o]) + np.arange(hi - lo)]
             batches.append(record_batch({c: row[c] for c in kept} | {
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))}, out_arrow))
+                "ids": pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(tokens))}, out_arrow))
         return pa.Table.from_batches(batches, schema=out_arrow)
 
-    out = orders.groupBy("block").cogroup(word_ids.groupBy("block")).applyInArrow(
-        lambda left, right: assemble(right, left), out_schema)
+    out = orders.groupBy("block").cogroup(word_ids.groupBy("block")).applyInArrow(assemble, out_schema)
     return out.selectExpr(f"id `{id_col}`", "ids", *[f"c_{i} `{c}`" for i, c in enumerate(carry)])
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes of its ids; null ids are null."""
-    shared = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def start():
-        token = shared.value.__getitem__
+        by_id = sorted((i, b) for b, i in shared.value.items())
+        data = np.frombuffer(b"".join(b for _, b in by_id), np.uint8)
+        size = np.zeros(by_id[-1][0] + 1, np.int64)
+        size[[i for i, _ in by_id]] = [len(b) for _, b in by_id]
+        begin = np.cumsum(size) - size
+
+        def one(ids: np.ndarray) -> bytes:
+            out = []
+            for a in range(0, len(ids), DECODE_IDS):
+                part = ids[a:a + DECODE_IDS]
+                n = size[part]
+                if not n.all():
+                    raise ValueError(f"ids that are not in the vocabulary: {part[n == 0][:5].tolist()}")
+                out.append(data[np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+            return b"".join(out)
 
         def work(batch):
-            ids = batch.column(ids_col).to_pylist()
-            yield {n: batch.column(n) for n in batch.schema.names} | {
-                out_col: [None if x is None else b"".join(map(token, x)) for x in ids]}
+            column = batch.column(ids_col)
+            values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            decoded = [None if null else one(values[a:b])
+                       for a, b, null in zip(ends, ends[1:], column.is_null().to_pylist())]
+            yield {n: batch.column(n) for n in batch.schema.names} | {out_col: decoded}
         return work
     return map_batches(encoded, start, ddl(encoded) + f", `{out_col}` binary")
