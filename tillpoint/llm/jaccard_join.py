@@ -93,9 +93,10 @@ def allocate(band: int, num: int, den: int, sets: int) -> Plan:
         segments = units - deleted
         each = size / segments
         rows = segments + deleted * (each + 1)
-        # two sets match in a segment by accident if both have nothing in it, or nothing but the deleted element
-        chance = math.exp(-2 * each)
-        cost = rows + sets * chance * (segments + deleted * 2 * each)
+        # sets that have nothing in a segment match in it by accident; the spare units leave out most of these
+        empty = segments * math.exp(-each)
+        left = max(0.0, empty + 3 * math.sqrt(empty) - spare)
+        cost = rows + sets * math.exp(-each) * left
         if best is None or cost < best[0]:
             best = cost, Plan(segments, deleted, spare)
     return best[1]
@@ -224,13 +225,18 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     classes = written(signed.filter("n > 0").groupBy("print").agg(
         F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
+    # a signature, and its band, segment and kind in one number; the band and the segment are part of the signature
     exact = signed.select("id", F.explode("exact").alias("x")).select(
-        "id", "x.band", F.posexplode("x.sigs").alias("seg", "sig"), F.lit(True).alias("whole"))
-    less = signed.select("id", F.explode("deleted").alias("x")).select("id", "x.band", "x.seg", "x.sig", F.lit(False).alias("whole"))
-    every = exact.unionByName(less)
+        "id", "x.band", F.posexplode("x.sigs").alias("seg", "sig"), F.lit(1).alias("whole"))
+    less = signed.select("id", F.explode("deleted").alias("x")).select("id", "x.band", "x.seg", "x.sig", F.lit(0).alias("whole"))
+    what = F.shiftleft(F.col("band").cast("long"), 40) + F.shiftleft(F.col("seg").cast("long"), 1) + F.col("whole")
+    every = exact.unionByName(less).select("sig", "id", what.alias("what"))
     # ids that share a signature; a signature of one id alone has no pair
-    same = Window.partitionBy("sig", "band")
-    shared = (every.withColumn("freq", F.count(F.lit(1)).over(same)).filter("freq > 1"))
+    same = Window.partitionBy("sig")
+    shared = (every.withColumn("freq", F.count(F.lit(1)).over(same)).filter("freq > 1")
+              .select("sig", "id", "freq", F.shiftright("what", 40).cast("int").alias("band"),
+                      F.shiftright("what", 1).bitwiseAND(F.lit((1 << 39) - 1)).alias("seg"),
+                      (F.col("what") % 2 == 1).alias("whole")))
     prints = signed.filter("n > 0").select("id", "print", "n").distinct()
     found = written(shared.join(prints.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")))
                     .groupBy("sig", "band", "seg", "whole", "print", "n").agg(F.max("freq").alias("freq")), "shared")
