@@ -1,0 +1,242 @@
+"""Operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import re
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+from tillpoint.llm import bpe, decontaminate, jaccard_join, kneser_ney, langid, license_scan, pii, secrets, sharding, topk
+from tests.conftest import SF_SMALL
+
+EDGES = [(1, None), (2, ""), (3, "   \n"), (4, "one"), (5, "same words here again and again"), (5, "same words here again and again"),
+         (None, "null id words"), (7, "é ß 漢字 😀 Ünïcode"), (8, "word " * 3000), (9, "a\tb\x0bc\xa0d\r\n\n e")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    real = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    edge = spark.createDataFrame([(None if i is None else i + 10**6, t) for i, t in EDGES], "doc_id long, text string")
+    # columns whose names the operators use themselves
+    return real.unionByName(edge).selectExpr("doc_id", "text", "1 as id", "'x' as spans", "2 as block", "'y' as lang")
+
+
+def empty(docs):
+    return docs.filter("false")
+
+
+def letter_words(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+
+
+def test_decontamination_finds_every_window(spark, docs):
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").unionByName(spark.createDataFrame(
+        [(900, "one"), (901, None), (902, "!!"), (None, "same words here")], "item_id long, text string"))
+    windows = {}
+    for item, text in bench.collect():
+        w = letter_words(text)
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i:i + 10]), set()).add("null" if item is None else str(item))
+    sizes = {len(w) for w in windows}
+    for block_chars in (1 << 24, 3000):
+        got = decontaminate.decontaminate(docs, bench, block_chars=block_chars, carry=["text"]).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            w, hit, items = letter_words(r["text"]), set(), set()
+            for n in sizes:
+                for i in range(len(w) - n + 1):
+                    if tuple(w[i:i + n]) in windows:
+                        hit |= set(range(i, i + n))
+                        items |= windows[tuple(w[i:i + n])]
+            assert {x for s in r["spans"] for x in range(s["start_word"], s["end_word"])} == hit
+            assert r["items"] == sorted(items) and r["n_words"] == len(w)
+            for s in r["spans"]:
+                assert letter_words(r["text"][s["start"]:s["end"]]) == w[s["start_word"]:s["end_word"]]
+    assert decontaminate.decontaminate(empty(docs), bench).count() == 0
+    assert not decontaminate.decontaminate(docs, bench.filter("false")).filter("size(spans) > 0").count()
+
+
+def test_suffix_array_and_search():
+    rng = np.random.default_rng(3)
+    symbols = np.append(0, rng.integers(0, 4, 400))
+    symbols[-1] = 0
+    index = decontaminate.FMIndex(symbols)
+    for n in (1, 2, 5):
+        phrases = rng.integers(1, 4, (20, n))
+        low, high = index.search(phrases)
+        for p, a, b in zip(phrases, low, high):
+            places = [i for i in range(len(symbols) - n + 1) if (symbols[i:i + n] == p).all()]
+            assert sorted(index.locate(np.arange(a, b))) == places
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/../sf0.01/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.fit(docs, ~held)
+    right = langid.predict(docs, model, carry=["lang"]).filter(held).agg(
+        F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right > 0.97
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", None), (3, "12 !!", "en"), (4, "the of and", None)],
+                                "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] == "en"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.fit(docs.filter("false")).labels == []
+    assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(docs.filter("false"))).collect()} == {"und"}
+
+
+def test_phrases_equal_a_plain_parse():
+    rng = np.random.default_rng(5)
+    sample = rng.integers(2, 6, 200).tolist()
+    text = rng.integers(2, 7, 300)
+    model = langid.Model({"x": ["ab"]})
+    model.width, table = 8, langid.suffix_automaton(sample, 8)
+    model.table = np.concatenate((np.zeros(8, np.int32), np.where(table > 0, (table + 1) * 8, 0).ravel()))
+    model.roots = [8]
+    joined, n, i = bytes(sample), 0, 0
+    while i < len(text):
+        k = 1
+        while i + k < len(text) and bytes(text[i:i + k + 1].tolist()) in joined and bytes(text[i:i + 1].tolist()) in joined:
+            k += 1
+        n, i = n + 1, i + k
+    assert langid.phrases(model, text.astype(np.uint8), np.array([0]), np.array([300]))[0][0] == n
+
+
+def test_top_k_with_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8]) for i in range(120)]
+    rows += [(i, [0.25, 0.25, 0.25, 0.25]) for i in range(200, 260)]
+    rows += [(300, None), (301, [None, 1.0, 1.0, 1.0]), (302, [float("nan")] * 4), (303, [float("inf")] * 4), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows
+            if i is not None and v and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, v in good:
+        if q % 50 == 0:
+            best = sorted((-int(v @ c), i) for i, c in good if i != q)[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for block_rows in (2048, 2):
+        got = topk.top_k(df, block_rows=block_rows)
+        assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
+    assert topk.top_k(df.filter("false")).count() == 0
+    assert topk.top_k(df.filter("vec_id in (0, 1, 2)")).count() == 2
+
+
+def test_license_notices_with_edits(spark, docs):
+    notices = [(1, "x. Licensed under the Apache\nLicense, Version 2.0. y", "apache-2"), (2, "licenced under the apache license version 2.0", "apache-2"),
+               (3, "licensed under the apache license version 1.1", ""), (4, "Licensed under CC BY-NC 4.0", "cc-by-nc"),
+               (5, "Licensed under CC BY-SA 4.0", "cc-by-sa"), (6, None, ""), (7, "release under the mit licence", "mit")]
+    got = license_scan.scan(spark.createDataFrame([x[:2] for x in notices], "doc_id long, text string")).collect()
+    for r in got:
+        text, label = next(x[1:] for x in notices if x[0] == r["doc_id"])
+        assert ",".join(sorted({n["label"] for n in r["notices"]})) == label
+        for n in r["notices"]:
+            assert text[n["start"]:n["end"]].lower().startswith(("licen", "releas"))
+    for r in license_scan.scan(docs).join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).collect():
+        w = letter_words(r["text"])
+        want = [(i, label) for p, label in license_scan.BASE_PHRASES.items() for i in range(len(w))
+                if w[i:i + len(p.split())] == [x.encode() for x in p.split()]]
+        assert sorted((b["word"], b["label"]) for b in r["base"]) == sorted(want) and r["n_words"] == len(w)
+    assert license_scan.scan(empty(docs)).count() == 0
+
+
+def test_bpe_round_trip(docs):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, carry=["text"], block_chars=30_000, part_chars=50_000), ranks).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert list(r["ids"]) == plain.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
+    assert bpe.encode(empty(docs), ranks, public_tokenizers.PATTERN).count() == 0
+
+
+def test_jaccard_components(spark, docs):
+    base = [f"w{i}" for i in range(60)]
+    near = [(2 * 10**6 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(0, 60, 4)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near + [(3 * 10**6, " ".join(base))], "doc_id long, text string"))
+    plain = [(r["doc_id"], set(jaccard_join.shingles(r["text"] or "", 4))) for r in rows.collect()]
+    low = list(range(len(plain)))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    for i, (_, a) in enumerate(plain):
+        for j in range(i):
+            b = plain[j][1]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                low[root(i)] = root(j)
+    by = {}
+    for i, (d, _) in enumerate(plain):
+        by.setdefault(root(i), []).append(d)
+    want = sorted(((d or -1), len(s), min((x for x in by[root(i)] if x is not None), default=-1))
+                  for i, (d, s) in enumerate(plain))
+    got = sorted((r["doc_id"] or -1, r["n_shingles"], -1 if r["component_id"] is None else r["component_id"])
+                 for r in jaccard_join.jaccard_components(rows).collect())
+    assert [(0 if d == -1 else d, n, c) for d, n, c in got if c >= 0] == [(0 if d == -1 else d, n, c) for d, n, c in want if c >= 0]
+    assert jaccard_join.jaccard_components(empty(docs)).count() == 0
+
+
+def test_ledger_scans_only_what_is_new(spark):
+    docs = spark.createDataFrame([(1, 'token = "abcdef123456"'), (2, 'token = "abcdef123456"'), (3, None), (4, "x AKIA" + "A" * 16),
+                                  (5, "secret=token :abcdefgh"), (None, "f" * 30)], "doc_id long, text string")
+    rules = secrets.BASE_RULES
+    ledger = secrets.scan_new(docs, rules=rules).cache()
+    assert ledger.count() == 5 * len(rules)                 # five distinct blobs
+    assert secrets.scan_new(docs, ledger, rules).count() == 0
+    newer = [*rules, secrets.Rule("word", "token", version=2)]
+    assert {r["rule"] for r in secrets.scan_new(docs, ledger, newer).collect()} == {"word/2"}
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.findings(docs, ledger, rules).collect()}
+    assert got == {1: [("assign", 0, 21)], 2: [("assign", 0, 21)], 3: [], 4: [("access", 2, 22)], 5: [], None: [("hex", 0, 30)]}
+    assert secrets.scan_new(docs.filter("false")).count() == 0
+    cut = docs.filter("doc_id = 1").select(secrets.redacted(F.col("text"), F.expr("array(named_struct('start', 9, 'kind', 'a', 'end', 21))")))
+    assert cut.first()[0] == 'token = "[secret]"'
+
+
+def test_shards_move_only_into_the_new_one(docs):
+    got = sharding.assign_shards(docs, 16).collect()
+
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * (2**31 / ((key >> 33) + 1)))
+        return b
+    slots = {}
+    for r in got:
+        key = int(hashlib.md5(("" if r["doc_id"] is None else str(r["doc_id"])).encode()).hexdigest()[:16], 16)
+        assert (r["shard"], r["grown_shard"]) == (jump(key, 16), jump(key, 17))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(got) == docs.count() and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.assign_shards(empty(docs)).count() == 0
+
+
+def test_kneser_ney_sums_to_one_and_beats_words(spark, docs):
+    model = kneser_ney.train(docs, range_tokens=20_000)
+    got = kneser_ney.score(docs, model).collect()
+    assert len(got) == docs.count() and sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+    plain = [[*(t or "").encode().lower().split(), b" end"] for (t,) in docs.select("text").collect()]
+    assert model.tokens == sum(map(len, plain)) and model.words == len({w for s in plain for w in s})
+    vocabulary = sorted({w for s in plain for w in s})
+    h = kneser_ney.hash_words(vocabulary)
+    context = kneser_ney.hash_words([b"word"])[0]
+    pairs = np.empty(2 * len(h), np.uint64)
+    pairs[::2], pairs[1::2] = context, h
+    logp, _ = model.log10(pairs, np.full(len(h), 2))
+    assert abs((10 ** logp[1::2]).sum() - 1) < 0.01         # the rest is for unknown words
+    blank = kneser_ney.train(empty(docs))
+    assert blank.tokens == 0 and kneser_ney.score(docs, blank).count() == docs.count()
+
+
+def test_personal_data_base_spans(spark, docs):
+    text = "mail a.b+c@x-y.example.com, ip 10.0.255.001 not 1.2.3.256, card 4111 1111-1111 1111 bad 4111111111111112, +1 (017) 555-7713 x"
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(77, text)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in pii.find(rows, sample=500).collect()}
+    spans = {(s["kind"], text[s["start"]:s["end"]]) for s in got[77]["base"]}
+    assert spans == {("email", "a.b+c@x-y.example.com"), ("ip", "10.0.255.001"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (017) 555-7713")}
+    long_run = spark.createDataFrame([(1, "a" * 200_000 + "@"), (2, "1." * 50_000), (3, None)], "doc_id long, text string")
+    assert pii.find(long_run).filter("size(base) > 0 and doc_id != 2").count() == 0
+    assert pii.find(empty(docs)).count() == 0
