@@ -43,6 +43,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
@@ -57,7 +58,7 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BLOCK_CHARS = 4_000_000
 PART_CHARS = 16_000_000
-DECODE_IDS = 1_000_000
+DECODE_IDS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -154,18 +155,19 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
 
 
 def blocks_of(batch: pa.RecordBatch, block_chars: int):
-    """(first row, texts, name) of the blocks of a batch."""
-    docs = texts(batch)
+    """(first row, texts, name) of the blocks of a batch; one block's texts are held at a time."""
+    sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
     at = 0
-    while at < len(docs):
+    while at < len(sizes):
         end, size = at, 0
-        while end < len(docs) and (end == at or size + len(docs[end]) <= block_chars):
-            size += len(docs[end])
+        while end < len(sizes) and (end == at or size + sizes[end] <= block_chars):
+            size += sizes[end]
             end += 1
+        docs = texts(batch.slice(at, end - at))
         digest = hashlib.blake2b(digest_size=8)
-        for t in docs[at:end]:
+        for t in docs:
             digest.update(len(t).to_bytes(8, "little") + t.encode("utf-8", "surrogatepass"))
-        yield at, docs[at:end], int.from_bytes(digest.digest(), "little", signed=True)
+        yield at, docs, int.from_bytes(digest.digest(), "little", signed=True)
         at = end
 
 
