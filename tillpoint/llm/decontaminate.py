@@ -53,7 +53,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Order of the suffixes; each 0 is a separator of its own that ends a suffix, separators sorted by position."""
     n = len(symbols)
     bits = max(1, int(symbols.max(initial=0)).bit_length())
-    depth = max(1, (63 - n.bit_length()) // bits)
+    depth = min(n, max(1, (63 - n.bit_length()) // bits))
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for d in range(depth):
         ahead = np.zeros(n, np.int64)
