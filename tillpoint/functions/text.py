@@ -25,5 +25,5 @@ def first_label(host: Column) -> Column:
 
 
 def conflict_labels(pairs: list[tuple[Column, str]]) -> Column:
-    """', '-joined names of the conditions that hold (employee.js-style conflict text)."""
+    """', '-joined names of the conditions that hold (conflict text)."""
     return F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in pairs])), ", ")

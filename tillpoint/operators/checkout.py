@@ -79,7 +79,7 @@ def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str
 
 
 def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame | None = None,
-             web: bool = False, bucket_rows: int = 1_000_000, max_rounds: int | None = None) -> CheckoutResult:
+             web: bool = False, bucket_rows: int = 1_000_000) -> CheckoutResult:
     """Decide a table of checkout requests against product stock.
 
     requests: cart_id, requested_at, status, payment_status, payment_method[, email]
@@ -112,7 +112,7 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
     stock = products.select(F.col("id").alias("product_id"), F.col("quantity").alias("_stock"))
     it = items.join(stock, "product_id", "left").withColumn(
         "_static", F.when(F.col("_stock").isNull(), F.lit(404))
-                    .when((F.col("quantity") <= 0) | (F.col("unit_price") < 0), F.lit(500)))
+                    .when(F.col("quantity").isNull() | F.col("unit_price").isNull() | (F.col("quantity") <= 0) | (F.col("unit_price") < 0), F.lit(500)))
     bad_carts = it.filter(F.col("_static").isNotNull()).select("cart_id").distinct()
     eligible = (req.filter(F.col("_pre").isNull()).select("cart_id", "requested_at")
                 .join(bad_carts, "cart_id", "left_anti"))
@@ -127,11 +127,14 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
     # the working set carries each line's cart status; refused carts leave it for good.
     # Each round only the products that still have an open cart are recomputed.
     act = lines.join(never, "cart_id", "left_anti").withColumn("st", F.lit("open")).checkpoint()
-    rounds = 0
+    rounds, before = 0, None
     while True:
         n_open = act.filter(F.col("st") == "open").count()
-        if n_open == 0 or (max_rounds is not None and rounds >= max_rounds):
+        if n_open == 0:
             break
+        if n_open == before:        # the earliest open line is always decided
+            raise RuntimeError(f"a checkout round decided none of {n_open} open lines")
+        before = n_open
         rounds += 1
         live = act.filter(F.col("st") == "open").select("product_id").distinct()
         work = (act.join(live, "product_id", "left_semi")

@@ -106,7 +106,8 @@ def account_gate(requests: DataFrame, issues: DataFrame, outcomes: DataFrame, ta
     Order of checks as in the reference: e-mail already registered -> 409;
     no verification row at the request time -> 400 unknown; e-mail (and
     phone) not verified by then -> 400 not_verified; else 201 created.  Two
-    accepted requests for one e-mail: the first wins, the later one is 409.
+    accepted requests for one e-mail: the first wins; any later request for that
+    e-mail is 409, because the e-mail test comes first.
     """
     ver = verified_at(outcomes)
     g = asof_join(requests, issues, ["email"], "requested_at", "created_at", ["issue_id"], ["issue_id"],
@@ -123,8 +124,8 @@ def account_gate(requests: DataFrame, issues: DataFrame, outcomes: DataFrame, ta
     first = (decided.filter(F.col("_d") == "created").groupBy("email")
              .agg(F.min(F.struct("requested_at", "request_id")).alias("_w")))
     out = decided.join(first, "email", "left")
-    is_first = (F.col("_w.request_id") == F.col("request_id"))
-    decision = F.when((F.col("_d") == "created") & ~is_first, F.lit("taken")).otherwise(F.col("_d"))
+    after = F.col("_w").isNotNull() & (F.struct("requested_at", "request_id") > F.col("_w"))
+    decision = F.when(after, F.lit("taken")).otherwise(F.col("_d"))
     code = F.when(decision == "created", 201).when(decision == "taken", 409).otherwise(400)
     return out.select(*requests.columns, decision.alias("decision"), code.alias("http_code"))
 
@@ -136,14 +137,21 @@ def phone_patch(rows: DataFrame, patches: DataFrame, mode: str = "overwrite") ->
     phone), 'match' (market user: only where the stored phone equals the new
     one).  The phone flag is reset where the row is patched.
     """
-    # the last patch per e-mail wins (sequential requests); max_by is a partial aggregate
-    p = patches.groupBy("email").agg(F.max_by("phone", "request_id").alias("_new"))
+    # requests are sequential: the last patch of an e-mail overwrites, the first one fills an empty phone,
+    # and any patch may match; all three are partial aggregates
+    if mode == "match":
+        stored = rows.select("email", F.col("phone").alias("_stored"))
+        p = patches.join(stored, "email").groupBy("email").agg(F.max(F.col("phone") == F.col("_stored")).alias("_hit"))
+    elif mode == "coalesce":
+        given = F.when(F.col("phone").isNotNull(), F.col("request_id"))
+        p = patches.groupBy("email").agg(F.min_by("phone", given).alias("_new"), F.lit(True).alias("_hit"))
+    else:
+        p = patches.groupBy("email").agg(F.max_by("phone", "request_id").alias("_new"), F.lit(True).alias("_hit"))
     j = rows.join(p, "email", "left")
-    hit = F.col("_new").isNotNull()
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
     if mode == "coalesce":
-        phone = F.when(hit, F.coalesce(F.col("phone"), F.col("_new"))).otherwise(F.col("phone"))
+        phone = F.coalesce(F.col("phone"), F.col("_new"))
     elif mode == "match":
-        hit = hit & (F.col("phone") == F.col("_new"))
         phone = F.col("phone")
     else:
         phone = F.when(hit, F.col("_new")).otherwise(F.col("phone"))
@@ -154,9 +162,17 @@ def phone_patch(rows: DataFrame, patches: DataFrame, mode: str = "overwrite") ->
 
 
 def register_customers(requests: DataFrame, stores: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customer sign-up: the store must exist (404) and the e-mail be unused in it (409)."""
+    """Customer sign-up: the store must exist (404) and the e-mail be unused in any store (409).
+
+    Requests are sequential by request_id: the first accepted one takes the e-mail.
+    """
     s = stores.select("client_id").distinct().withColumn("_store", F.lit(True))
-    c = customers.select("client_id", "email").distinct().withColumn("_used", F.lit(True))
-    j = requests.join(s, "client_id", "left").join(c, ["client_id", "email"], "left")
-    code = F.when(F.col("_store").isNull(), 404).when(F.col("_used").isNotNull(), 409).otherwise(201)
+    asked = requests.select("email").distinct()
+    c = customers.select("email").join(asked, "email", "left_semi").distinct().withColumn("_used", F.lit(True))
+    j = requests.join(s, "client_id", "left").join(c, "email", "left")
+    free = F.col("_store").isNotNull() & F.col("_used").isNull()
+    first = j.filter(free).groupBy("email").agg(F.min("request_id").alias("_first"))
+    j = j.join(first, "email", "left")
+    code = (F.when(F.col("_store").isNull(), 404)
+             .when(free & ((F.col("request_id") == F.col("_first")) | F.col("email").isNull()), 201).otherwise(409))
     return j.select(*requests.columns, code.alias("http_code"))

@@ -227,8 +227,7 @@ _LABELS = {"email": "Email", "phone": "Phone", "bank_account_number": "Bank Acco
 
 # ---------------------------------------------------------------- M11: inserts with unique keys
 
-def first_wins_unique(requests: DataFrame, existing: DataFrame, keys: list[str],
-                      max_rounds: int | None = None) -> DataFrame:
+def first_wins_unique(requests: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
     """Sequential insert with UNIQUE keys: (request_id, conflict label text or NULL).
 
     A request is refused when a key value is held by the table or by an
@@ -255,9 +254,7 @@ def first_wins_unique(requests: DataFrame, existing: DataFrame, keys: list[str],
         e = F.col(f"_ex_{k}").isNotNull()
         ex_any = e if ex_any is None else (ex_any | e)
     state = base.select("request_id", F.when(ex_any, F.lit("rej")).otherwise(F.lit("open")).alias("st")).checkpoint()
-    rounds = 0
-    while state.filter(F.col("st") == "open").count() > 0 and (max_rounds is None or rounds < max_rounds):
-        rounds += 1
+    while state.filter(F.col("st") == "open").count() > 0:      # each round decides the earliest open request
         cur = base.join(state, "request_id")
         up_any, lo_any = None, None
         for k in keys:
