@@ -1,6 +1,6 @@
 """Regression guard on the physical plans of the registered queries."""
 
-import __spark_entry__ as E
+from tillpoint.plans import catalog
 from tests.conftest import SF_SMALL
 from tools.plan_audit import audit
 
@@ -11,7 +11,7 @@ EXECUTE_ON_BUILD = {"checkout_pos", "checkout_web", "sale_ledger_rows", "stock_a
 
 def test_no_cartesian_nested_loop_or_python_in_any_plan(spark):
     bad = {}
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         if name in EXECUTE_ON_BUILD:
             continue
         plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()

@@ -14,7 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from tillpoint.plans import catalog  # noqa: E402
 from tillpoint.session import get_session  # noqa: E402
 
 FLAGS = {
@@ -42,7 +42,7 @@ def main():
     pats = sys.argv[2:]
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
-    for name, fn in E.queries().items():
+    for name, fn in catalog.queries().items():
         if pats and not any(p in name for p in pats):
             continue
         df = fn(spark, sf)
