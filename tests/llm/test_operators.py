@@ -180,6 +180,16 @@ def test_jaccard_components(spark, docs):
     assert jaccard_join.jaccard_components(empty(docs)).count() == 0
 
 
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(2)
+    for size in (1, 40, 700):
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for gone in (0, 1, size // 5, size):
+            y = np.unique(np.concatenate((x[gone:], rng.integers(0, 2**63, gone).astype(np.uint64))))
+            bits = np.bitwise_count(jaccard_join.parities(x) ^ jaccard_join.parities(y)).sum()
+            assert bits <= len(np.setxor1d(x, y))
+
+
 def test_ledger_scans_only_what_is_new(spark):
     docs = spark.createDataFrame([(1, 'token = "abcdef123456"'), (2, 'token = "abcdef123456"'), (3, None), (4, "x AKIA" + "A" * 16),
                                   (5, "secret=token :abcdefgh"), (None, "f" * 30)], "doc_id long, text string")

@@ -21,12 +21,16 @@ Cost-based allocation, in two places:
 Signatures that only one set has are dropped at once.  In a bucket of equal
 signatures not all pairs are emitted: a few hubs per bucket are verified
 against the other members, linked sets are joined into components, and only
-members of different components are compared in the next round, with four
+members of different components are compared in the next round, with sixteen
 times as many hubs; a bucket ends when its members are in one component or
 all have been hubs.  Every pair of a bucket is thus verified or already in one
 component, and components are exact.
 
-Verification compares the shingle sets of the two whole texts.
+Two steps decide a pair.  The parities of a set's elements in 512 hash classes
+differ in no more classes than two sets differ in elements, so a pair whose
+parities differ in more than h classes is no link; this is tested where the
+pair is made, and such a pair is never stored.  Verification of the others
+compares the shingle sets of the two whole texts.
 
 Equal sets are one class, whatever the number of their copies.
 
@@ -53,7 +57,8 @@ from tillpoint.llm.components import components
 
 BAND = 1.4              # the sizes of a band differ by this factor at most
 SPARE = 0.12            # units beyond h + 1, as a share of them
-HUB_GROWTH = 4
+HUB_GROWTH = 16
+PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
 
 
 def bands(n: int) -> int:
@@ -139,6 +144,13 @@ def shingle_hashes(docs: list[str], n: int) -> list[np.ndarray]:
     return out
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of elements in each hash class is odd, 64 classes to a number."""
+    bits = 64 * len(PARITIES)
+    odd = np.bincount((mixed(hashes, 11) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(hashes: np.ndarray, band: int, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Exact signatures of all segments; segment and signature of every one-deletion neighbour."""
     where = (mixed(hashes, 101 + band) >> np.uint64(11)).astype(np.float64) * (plan.segments / 2.0 ** 53)
@@ -159,12 +171,13 @@ def _sign(n: int, num: int, den: int, sets: int):
 
     def work(batch):
         seen.clear()                    # copies in one batch are signed once
-        sizes, prints, exact, deleted = [], [], [], []
+        sizes, prints, exact, deleted, parity = [], [], [], [], []
         for h in shingle_hashes(texts(batch), n):
             size = len(h)
             print_ = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if size else None
             sizes.append(size)
             prints.append(print_)
+            parity.append(parities(h))
             own, dels = [], []
             if size and print_ not in seen:
                 seen.add(print_)
@@ -176,7 +189,9 @@ def _sign(n: int, num: int, den: int, sets: int):
                         dels += [{"band": band, "seg": s, "sig": g} for s, g in zip(seg.tolist(), gone.view(np.int64).tolist())]
             exact.append(own)
             deleted.append(dels)
-        yield {"id": batch.column("id"), "n": sizes, "print": prints, "exact": exact, "deleted": deleted}
+        columns = np.array(parity, np.int64).reshape(-1, len(PARITIES)).T
+        yield {"id": batch.column("id"), "n": sizes, "print": prints, "exact": exact, "deleted": deleted,
+               **{k: np.ascontiguousarray(c) for k, c in zip(PARITIES, columns)}}
     return work
 
 
@@ -220,9 +235,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     total = rows.count()
     sets = max(1, total // 8)                       # sets of one band, for the cost of accidental matches
     signed = written(map_batches(rows, lambda: _sign(shingle, num, den, sets), f"""id {id_type}, n int, print binary,
+        {", ".join(f"{k} long" for k in PARITIES)},
         exact array<struct<band: int, sigs: array<long>>>,
         deleted array<struct<band: int, seg: int, sig: long>>"""), "signatures")
-    classes = written(signed.filter("n > 0").groupBy("print").agg(
+    classes = written(signed.filter("n > 0").groupBy("print", *PARITIES).agg(
         F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
 
     # a signature, and its band, segment and kind in one number; the band and the segment are part of the signature
@@ -264,19 +280,25 @@ def _similar_sizes(x: Column, y: Column, num: int, den: int) -> Column:
     return (F.least(x, y) * den) >= (F.greatest(x, y) * num)
 
 
+def _may_link(num: int, den: int) -> Column:
+    """False where the parities of a set and of the hub differ more than two similar sets can."""
+    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"hub.{k}"))) for k in PARITIES), F.lit(0))
+    return apart * (den + num) <= (F.col("n") + F.col("hub.n")) * (den - num)
+
+
 def _links(members: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
     """Verified links (a, b) that connect all sets that a chain of similar pairs connects."""
     live = _unsettled(members.withColumn("comp", F.col("print")))
-    live = written(live, "buckets")
+    live = written(live.join(classes.select("print", *PARITIES), "print"), "buckets")
     links, tested, hubs = None, None, 1
     while not live.isEmpty():
         salt = F.pmod(F.xxhash64("print"), F.lit(hubs))
         hub = (live.groupBy("sig", "band", salt.alias("salt"))
-               .agg(F.min(F.struct("print", "n", "whole", "probe", "comp")).alias("hub")).select("sig", "band", "hub"))
+               .agg(F.min(F.struct("print", "n", "whole", "probe", "comp", *PARITIES)).alias("hub")).select("sig", "band", "hub"))
         pairs = (live.join(hub, ["sig", "band"])
                  .filter((F.col("hub.print") != F.col("print")) & (F.col("hub.comp") != F.col("comp"))
                          & (F.col("hub.probe") | F.col("probe")) & (F.col("hub.whole") | F.col("whole"))
-                         & _similar_sizes(F.col("n"), F.col("hub.n"), num, den))
+                         & _similar_sizes(F.col("n"), F.col("hub.n"), num, den) & _may_link(num, den))
                  .select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
