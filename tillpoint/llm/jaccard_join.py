@@ -288,8 +288,12 @@ def _may_link(num: int, den: int) -> Column:
 
 def _links(members: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
     """Verified links (a, b) that connect all sets that a chain of similar pairs connects."""
-    live = _unsettled(members.withColumn("comp", F.col("print")))
-    live = written(live.join(classes.select("print", *PARITIES), "print"), "buckets")
+    parity = classes.select("print", *PARITIES)
+
+    def bucket_table(rest: DataFrame) -> DataFrame:
+        return written(_unsettled(rest).join(parity, "print"), "buckets")
+
+    live = bucket_table(members.withColumn("comp", F.col("print")))
     links, tested, hubs = None, None, 1
     while not live.isEmpty():
         salt = F.pmod(F.xxhash64("print"), F.lit(hubs))
@@ -302,15 +306,17 @@ def _links(members: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int
                  .select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
         checked = written(verified(pairs, rows, classes, shingle, num, den), "checked")
         tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
         new = checked.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        rest = live.join(hub.select("sig", "band", F.col("hub.print").alias("print")), ["sig", "band", "print"], "left_anti")
+        been = live.groupBy("sig", "band", salt.alias("salt")).agg(F.min("print").alias("print")).drop("salt")
+        rest = live.drop(*PARITIES).join(been, ["sig", "band", "print"], "left_anti")
         if not new.isEmpty():
             comps = components(links).withColumnRenamed("node", "print").withColumnRenamed("comp", "now")
             rest = rest.join(comps, "print", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-        live = written(_unsettled(rest.select(live.columns)), "buckets")
+        live = bucket_table(rest)
         hubs *= HUB_GROWTH
     return links
 
@@ -327,7 +333,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int
     """(a, b, linked) of pairs of set prints, decided on the texts of one document of each."""
     reps = classes.select("print", "rep")
     wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
-    who = reps.join(wanted, "print", "left_semi")
+    # written, so that its size is known: while it is below Spark's limit for broadcasts, the texts are not shuffled
+    who = written(reps.join(wanted, "print", "left_semi"), "wanted")
     own = (rows.join(who, F.col("id").eqNullSafe(F.col("rep")))
            .withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).select("print", "text"))
     found = written(_matching(own, shingle), "texts")
