@@ -190,6 +190,33 @@ def test_parities_never_differ_more_than_the_sets():
             assert bits <= len(np.setxor1d(x, y))
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_similar_sets_share_a_signature(num):
+    r = np.random.default_rng(num)
+    plans = {b: jaccard_join.allocate(b, num, 100, 10 ** 6) for b in range(28)}
+
+    def signed(x):
+        out = set()
+        for b in range(jaccard_join.bands(len(x)), jaccard_join.bands(len(x) * 100 // num) + 1):
+            first = jaccard_join.signed_segments(len(x), b, plans[b], num, 100)
+            if first:
+                out |= set(jaccard_join.signatures(x, b, plans[b], first).tolist())
+        return out
+    tried = 0
+    for _ in range(1500):
+        n = int(np.exp(r.uniform(1.5, 7.5)))
+        x = np.unique(r.integers(0, 2 ** 64, n, dtype=np.uint64))
+        lose = int(r.integers(0, n * (100 - num) // 100 + 1))
+        most = (100 * (n - lose) - num * n) // num               # new elements that keep the pair similar
+        more = r.integers(0, 2 ** 64, max(0, most), dtype=np.uint64)
+        y = np.unique(np.concatenate((r.permutation(x)[lose:], more)))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= num * (len(x) + len(y) - both) and not np.array_equal(x, y):
+            tried += 1
+            assert signed(x) & signed(y)
+    assert tried > 500
+
+
 def test_ledger_scans_only_what_is_new(spark):
     docs = spark.createDataFrame([(1, 'token = "abcdef123456"'), (2, 'token = "abcdef123456"'), (3, None), (4, "x AKIA" + "A" * 16),
                                   (5, "secret=token :abcdefgh"), (None, "f" * 30)], "doc_id long, text string")

@@ -9,16 +9,16 @@ segment compared with one-deletion neighbourhoods absorbs one; if segments
 with a + b signatures give (exact) 1 and (one deletion) 2 units, and the units
 exceed h, then some segment of x and y must match (pigeonhole).
 
-Cost-based allocation, in two places:
-
-* per band, the number of exact and of one-deletion segments is the cheapest
-  by expected signatures and expected accidental matches (``allocate``), with
-  spare units beyond h + 1;
-* per set, the segments whose signatures turned out most frequent in the
-  corpus are left out of the probes, as many as the band's spare units allow.
-  Every set still indexes all its segments, so no pair is lost.
-
-Signatures that only one set has are dropped at once.  In a bucket of equal
+Cost-based allocation: per band, the number of exact and of one-deletion
+segments and of spare units is the cheapest by expected signatures and expected
+accidental matches (``allocate``).  A set signs only the first segments of a
+band, as many as its own size and that of its largest partner ask for.  Empty
+segments are the usual accidental match: a set with no more of them than the
+spare units allow signs none of them.  A pair loses a match by this only where
+both sets are empty, and at most the spare units in all, so no pair is lost.
+
+Signatures that only one set has are dropped at once; copies of one set share
+one key, so that they don't make a signature shared.  In a bucket of equal
 signatures not all pairs are emitted: a few hubs per bucket are verified
 against the other members, linked sets are joined into components, and only
 members of different components are compared in the next round, with sixteen
@@ -28,9 +28,12 @@ component, and components are exact.
 
 Two steps decide a pair.  The parities of a set's elements in 512 hash classes
 differ in no more classes than two sets differ in elements, so a pair whose
-parities differ in more than h classes is no link; this is tested where the
-pair is made, and such a pair is never stored.  Verification of the others
-compares the shingle sets of the two whole texts.
+parities differ in more than h classes is no link; this is tested on distinct
+pairs before they are stored.  Verification of the others compares the shingle
+sets of the two whole texts.
+
+In buckets a set goes by a number of 8 bytes; classes and links go by digests
+of 16 bytes, so that two sets with one number stay two classes.
 
 Equal sets are one class, whatever the number of their copies.
 
@@ -49,6 +52,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -56,7 +60,7 @@ from tillpoint.llm.common import encoded, map_batches, pick, texts, written
 from tillpoint.llm.components import components
 
 BAND = 1.4              # the sizes of a band differ by this factor at most
-SPARE = 0.12            # units beyond h + 1, as a share of them
+SPARES = (0.03, 0.06, 0.12, 0.25)       # units beyond h + 1, as a share of them
 HUB_GROWTH = 16
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
 
@@ -88,25 +92,32 @@ class Plan:
 def allocate(band: int, num: int, den: int, sets: int) -> Plan:
     """Segments of a band: the cheapest mix for about ``sets`` sets in it."""
     end = band_end(band)
-    size = max(1.0, end / math.sqrt(BAND))
+    size = max(1.0, end / BAND)
     h = most_different(2 * end, num, den)
-    spare = math.ceil(SPARE * (h + 1)) if h else 0
-    units = h + 1 + spare
     best = None
-    for share in (0, 0.1, 0.25, 0.5, 1):
-        deleted = int(share * units / 2)
-        segments = units - deleted
-        each = size / segments
-        rows = segments + deleted * (each + 1)
-        # sets that have nothing in a segment match in it by accident; the spare units leave out most of these
-        empty = segments * math.exp(-each)
-        left = max(0.0, empty + 3 * math.sqrt(empty) - spare)
-        cost = rows + sets * math.exp(-each) * left
-        if best is None or cost < best[0]:
-            best = cost, Plan(segments, deleted, spare)
+    for spare in sorted({math.ceil(s * (h + 1)) for s in SPARES}) if h else (0,):
+        units = h + 1 + spare
+        for share in (0, 0.1, 0.25, 0.5, 1):
+            deleted = int(share * units / 2)
+            segments = units - deleted
+            each = size / segments
+            rows = segments + deleted * (each + 1)
+            # sets that have nothing in a segment match in it by accident; no such one is signed up to the spare units
+            empty = segments * math.exp(-each)
+            left = max(0.0, empty + 3 * math.sqrt(empty) - spare)
+            cost = rows + sets * math.exp(-each) * left
+            if best is None or cost < best[0]:
+                best = cost, Plan(segments, deleted, spare)
     return best[1]
 
 
+def signed_segments(n: int, band: int, plan: Plan, num: int, den: int) -> int:
+    """How many segments, from the first, a set of size n signs in a band; 0 if only equal sets are that similar."""
+    h = most_different(n + min(band_end(band), n * den // num), num, den)
+    units = h + 1 + plan.spare
+    return min(plan.segments, max((units + 1) // 2, units - plan.deleted)) if h else 0
+
+
 def shingles(text: str, n: int) -> list[tuple[bytes, ...]]:
     w = encoded(text).lower().split()
     if not w:
@@ -151,18 +162,23 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signatures(hashes: np.ndarray, band: int, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Exact signatures of all segments; segment and signature of every one-deletion neighbour."""
+def signatures(hashes: np.ndarray, band: int, plan: Plan, first: int) -> np.ndarray:
+    """Signatures of the first segments, exact and of all one-deletion neighbours."""
     where = (mixed(hashes, 101 + band) >> np.uint64(11)).astype(np.float64) * (plan.segments / 2.0 ** 53)
     where = where.astype(np.int64)
-    value = mixed(hashes, 7)
+    inside = where < first
+    where, value = where[inside], mixed(hashes[inside], 7)
     order = np.argsort(where, kind="stable")
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value[order])))
-    ends = np.cumsum(np.bincount(where, minlength=plan.segments))
-    sums = total[ends] - total[np.concatenate(([0], ends[:-1]))]
-    salt = mixed(np.arange(plan.segments, dtype=np.uint64), 1009 + band)
+    many = np.bincount(where, minlength=first)
+    ends = np.cumsum(many)
+    sums = total[ends] - total[ends - many]
+    salt = mixed(np.arange(first, dtype=np.uint64), 1009 + band)
     gone = where < plan.deleted
-    return (mixed(sums + salt, 3), where[gone], mixed(sums[where[gone]] - value[gone] + salt[where[gone]], 3))
+    empty = many == 0
+    empty[:plan.deleted] = False
+    signed = ~empty if np.count_nonzero(empty) <= plan.spare else slice(None)
+    return mixed(np.concatenate(((sums + salt)[signed], sums[where[gone]] - value[gone] + salt[where[gone]])), 3)
 
 
 def _sign(n: int, num: int, den: int, sets: int):
@@ -171,62 +187,47 @@ def _sign(n: int, num: int, den: int, sets: int):
 
     def work(batch):
         seen.clear()                    # copies in one batch are signed once
-        sizes, prints, exact, deleted, parity = [], [], [], [], []
+        sizes, prints, sigs, parity = [], [], [], []
         for h in shingle_hashes(texts(batch), n):
             size = len(h)
             print_ = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if size else None
             sizes.append(size)
             prints.append(print_)
             parity.append(parities(h))
-            own, dels = [], []
+            own = []
             if size and print_ not in seen:
                 seen.add(print_)
                 for band in range(bands(size), bands(size * den // num) + 1):
-                    plan = plans.setdefault(band, allocate(band, num, den, sets))
-                    if most_different(2 * band_end(band), num, den):        # else only equal sets are that similar
-                        sig, seg, gone = signatures(h, band, plan)
-                        own.append({"band": band, "sigs": sig.view(np.int64)})
-                        dels += [{"band": band, "seg": s, "sig": g} for s, g in zip(seg.tolist(), gone.view(np.int64).tolist())]
-            exact.append(own)
-            deleted.append(dels)
+                    plan = plans.get(band) or plans.setdefault(band, allocate(band, num, den, sets))
+                    first = signed_segments(size, band, plan, num, den)
+                    if first:
+                        own.append(signatures(h, band, plan, first).view(np.int64))
+            sigs.append(np.concatenate(own) if own else np.zeros(0, np.int64))
         columns = np.array(parity, np.int64).reshape(-1, len(PARITIES)).T
-        yield {"id": batch.column("id"), "n": sizes, "print": prints, "exact": exact, "deleted": deleted,
+        ends = np.cumsum([0] + [len(x) for x in sigs]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate([*sigs, np.zeros(0, np.int64)]))
+        yield {"id": batch.column("id"), "n": sizes, "print": prints, "sigs": lists,
                **{k: np.ascontiguousarray(c) for k, c in zip(PARITIES, columns)}}
     return work
 
 
 def _verify(n: int, num: int, den: int):
     """map_batches function: pairs whose texts' sets are similar enough; rows sorted by the first of the pair."""
-    last: list = [None, set(), b""]
-
-    def sets(text: str):
-        s = set(shingles(text, n))
-        return s
+    last: list = [None, set()]
 
     def work(batch):
         keep = []
         ta, tb = texts(batch, "ta"), texts(batch, "tb")
         for a, x, y in zip(batch.column("a").to_pylist(), ta, tb):
             if last[0] != (a, x):
-                last[0], last[1] = (a, x), sets(x)
-            sx, sy = last[1], sets(y)
+                last[0], last[1] = (a, x), set(shingles(x, n))
+            sx, sy = last[1], set(shingles(y, n))
             both = len(sx & sy)
             keep.append(den * both >= num * (len(sx) + len(sy) - both))
         yield {"a": batch.column("a"), "b": batch.column("b"), "linked": keep}
     return work
 
 
-def _skips(members: DataFrame, plans: dict[int, Plan]) -> DataFrame:
-    """(print, band, seg) of the probes that each set leaves out: its most frequent segments, up to the spare units."""
-    spare = F.create_map(*[F.lit(x) for b, p in plans.items() for x in (b, p.spare)])
-    cut = F.create_map(*[F.lit(x) for b, p in plans.items() for x in (b, p.deleted)])
-    segs = members.groupBy("print", "band", "seg").agg(F.sum("freq").alias("cost"))
-    units = F.when(F.col("seg") < F.element_at(cut, F.col("band")), 2).otherwise(1)
-    upto = Window.partitionBy("print", "band").orderBy(F.desc("cost"), "seg")
-    return (segs.withColumn("units", F.sum(units).over(upto))
-            .filter(F.col("units") <= F.element_at(spare, F.col("band"))).select("print", "band", "seg"))
-
-
 def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): sets with den * intersection >= num * union are linked."""
@@ -235,35 +236,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     total = rows.count()
     sets = max(1, total // 8)                       # sets of one band, for the cost of accidental matches
     signed = written(map_batches(rows, lambda: _sign(shingle, num, den, sets), f"""id {id_type}, n int, print binary,
-        {", ".join(f"{k} long" for k in PARITIES)},
-        exact array<struct<band: int, sigs: array<long>>>,
-        deleted array<struct<band: int, seg: int, sig: long>>"""), "signatures")
-    classes = written(signed.filter("n > 0").groupBy("print", *PARITIES).agg(
-        F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-
-    # a signature, and its band, segment and kind in one number; the band and the segment are part of the signature
-    exact = signed.select("id", F.explode("exact").alias("x")).select(
-        "id", "x.band", F.posexplode("x.sigs").alias("seg", "sig"), F.lit(1).alias("whole"))
-    less = signed.select("id", F.explode("deleted").alias("x")).select("id", "x.band", "x.seg", "x.sig", F.lit(0).alias("whole"))
-    what = F.shiftleft(F.col("band").cast("long"), 40) + F.shiftleft(F.col("seg").cast("long"), 1) + F.col("whole")
-    every = exact.unionByName(less).select("sig", "id", what.alias("what"))
-    # ids that share a signature; a signature of one id alone has no pair
+        {", ".join(f"{k} long" for k in PARITIES)}, sigs array<long>"""), "signatures")
+    classes = written(signed.filter("n > 0").groupBy("print").agg(
+        F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in PARITIES])
+        .withColumn("key", F.xxhash64("print")), "classes")
+    # sets that share a signature; a signature of one set alone has no pair
     same = Window.partitionBy("sig")
-    shared = (every.withColumn("freq", F.count(F.lit(1)).over(same)).filter("freq > 1")
-              .select("sig", "id", "freq", F.shiftright("what", 40).cast("int").alias("band"),
-                      F.shiftright("what", 1).bitwiseAND(F.lit((1 << 39) - 1)).alias("seg"),
-                      (F.col("what") % 2 == 1).alias("whole")))
-    prints = signed.filter("n > 0").select("id", "print", "n").distinct()
-    found = written(shared.join(prints.withColumnRenamed("id", "i"), F.col("id").eqNullSafe(F.col("i")))
-                    .groupBy("sig", "band", "seg", "whole", "print", "n").agg(F.max("freq").alias("freq")), "shared")
-    top = found.agg(F.max("band")).first()[0]
-    links = None
-    if top is not None:
-        plans = {b: allocate(b, num, den, sets) for b in range(top + 1)}
-        members = (found.join(_skips(found, plans).withColumn("skip", F.lit(True)), ["print", "band", "seg"], "left")
-                   .select("sig", "band", "print", "n", "whole", F.col("skip").isNull().alias("probe"))
-                   .groupBy("sig", "band", "print", "n").agg(F.max("whole").alias("whole"), F.max("probe").alias("probe")))
-        links = _links(members, rows, classes, shingle, num, den)
+    every = signed.filter("n > 0").select(F.explode("sigs").alias("sig"), F.xxhash64("print").alias("key"))
+    shared = (every.withColumn("lo", F.min("key").over(same)).withColumn("hi", F.max("key").over(same))
+              .filter("lo < hi").select("sig", "key").distinct())
+    links = _links(written(shared.withColumn("comp", F.col("key")), "buckets"), rows, classes, shingle, num, den)
     if links is None:
         labels = classes.select("print", F.col("rep").alias("low"))
     else:
@@ -276,57 +258,48 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
                       F.coalesce("low", "id").alias("component_id"))
 
 
-def _similar_sizes(x: Column, y: Column, num: int, den: int) -> Column:
-    return (F.least(x, y) * den) >= (F.greatest(x, y) * num)
-
-
 def _may_link(num: int, den: int) -> Column:
-    """False where the parities of a set and of the hub differ more than two similar sets can."""
-    apart = sum((F.bit_count(F.col(k).bitwiseXOR(F.col(f"hub.{k}"))) for k in PARITIES), F.lit(0))
-    return apart * (den + num) <= (F.col("n") + F.col("hub.n")) * (den - num)
+    """False where sizes, or the parities of two sets, differ more than those of two similar sets can."""
+    n, m = F.col("x.n"), F.col("y.n")
+    apart = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in PARITIES), F.lit(0))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
 
 
-def _links(members: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
-    """Verified links (a, b) that connect all sets that a chain of similar pairs connects."""
-    parity = classes.select("print", *PARITIES)
-
-    def bucket_table(rest: DataFrame) -> DataFrame:
-        return written(_unsettled(rest).join(parity, "print"), "buckets")
-
-    live = bucket_table(members.withColumn("comp", F.col("print")))
+def _links(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
+    """Verified links (a, b) of set prints that connect all sets that a chain of similar pairs connects."""
     links, tested, hubs = None, None, 1
     while not live.isEmpty():
-        salt = F.pmod(F.xxhash64("print"), F.lit(hubs))
-        hub = (live.groupBy("sig", "band", salt.alias("salt"))
-               .agg(F.min(F.struct("print", "n", "whole", "probe", "comp", *PARITIES)).alias("hub")).select("sig", "band", "hub"))
-        pairs = (live.join(hub, ["sig", "band"])
-                 .filter((F.col("hub.print") != F.col("print")) & (F.col("hub.comp") != F.col("comp"))
-                         & (F.col("hub.probe") | F.col("probe")) & (F.col("hub.whole") | F.col("whole"))
-                         & _similar_sizes(F.col("n"), F.col("hub.n"), num, den) & _may_link(num, den))
-                 .select(F.least("print", "hub.print").alias("a"), F.greatest("print", "hub.print").alias("b")).distinct())
+        salted = live.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(hubs)))
+        hub = (salted.groupBy("sig", "salt").agg(F.min("key").alias("hub"), F.min_by("comp", "key").alias("hub_comp"))
+               .drop("salt"))
+        pairs = (live.join(hub, "sig").filter((F.col("hub") != F.col("key")) & (F.col("hub_comp") != F.col("comp")))
+                 .select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        checked = written(verified(pairs, rows, classes, shingle, num, den), "checked")
-        tested = checked.select("a", "b") if tested is None else tested.unionByName(checked.select("a", "b"))
+        # written only with prints, of pairs that the parities leave
+        near = (pairs.join(classes.alias("x"), F.col("a") == F.col("x.key"))
+                .join(classes.alias("y"), F.col("b") == F.col("y.key")).filter(_may_link(num, den)))
+        pairs = written(near.select("a", "b", F.col("x.print").alias("pa"), F.col("y.print").alias("pb")), "pairs")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        checked = written(verified(pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b")), rows, classes,
+                                   shingle, num, den), "checked")
         new = checked.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        been = live.groupBy("sig", "band", salt.alias("salt")).agg(F.min("print").alias("print")).drop("salt")
-        rest = live.drop(*PARITIES).join(been, ["sig", "band", "print"], "left_anti")
+        rest = live.join(hub.select("sig", F.col("hub").alias("key")), ["sig", "key"], "left_anti")
         if not new.isEmpty():
-            comps = components(links).withColumnRenamed("node", "print").withColumnRenamed("comp", "now")
-            rest = rest.join(comps, "print", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-        live = bucket_table(rest)
+            comps = (components(links).join(classes, F.col("node") == F.col("print"))
+                     .groupBy("key").agg(F.min(F.xxhash64("comp")).alias("now")))
+            rest = rest.join(comps, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+        live = written(_unsettled(rest), "buckets")
         hubs *= HUB_GROWTH
     return links
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold two components, one of them with a probe."""
-    open_ = (members.groupBy("sig", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                                F.max("probe").alias("any"))
-             .filter((F.col("lo") != F.col("hi")) & F.col("any")).select("sig", "band"))
-    return members.join(open_, ["sig", "band"], "left_semi")
+    """Members of the buckets that still hold two components."""
+    same = Window.partitionBy("sig")
+    return (members.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
+            .filter("lo < hi").drop("lo", "hi"))
 
 
 def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
