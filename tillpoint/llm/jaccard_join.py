@@ -14,8 +14,14 @@ segments and of spare units is the cheapest by expected signatures and expected
 accidental matches (``allocate``).  A set signs only the first segments of a
 band, as many as its own size and that of its largest partner ask for.  Empty
 segments are the usual accidental match: a set with no more of them than the
-spare units allow signs none of them.  A pair loses a match by this only where
-both sets are empty, and at most the spare units in all, so no pair is lost.
+spare units allow signs none of them.  What is left of its spare units a set
+uses to drop the signatures that most sets of the corpus have, such as those of
+common passages.  Empty segments first, then signatures by falling frequency, is
+one order for all sets, so the matches that one set of a pair drops and those
+that the other drops are both the first ones of their common matches: together
+they are no more than the spare units, and no pair is lost.  (A set with too
+many empty segments drops nothing, and signatures that have one-deletion
+neighbours are never dropped.)
 
 Signatures that only one set has are dropped at once; copies of one set share
 one key, so that they don't make a signature shared.  In a bucket of equal
@@ -28,8 +34,8 @@ component, and components are exact.
 
 Two steps decide a pair.  The parities of a set's elements in 512 hash classes
 differ in no more classes than two sets differ in elements, so a pair whose
-parities differ in more than h classes is no link; this is tested on distinct
-pairs before they are stored.  Verification of the others compares the shingle
+parities differ in more than h classes is no link; this is tested where
+the pair is made, and such a pair is never stored.  Verification of the others compares the shingle
 sets of the two whole texts.
 
 In buckets a set goes by a number of 8 bytes; classes and links go by digests
@@ -60,8 +66,9 @@ from tillpoint.llm.common import encoded, map_batches, pick, texts, written
 from tillpoint.llm.components import components
 
 BAND = 1.4              # the sizes of a band differ by this factor at most
-SPARES = (0.03, 0.06, 0.12, 0.25)       # units beyond h + 1, as a share of them
+SPARES = (0.12, 0.25)       # units beyond h + 1, as a share of them
 HUB_GROWTH = 16
+BAND_BITS = 6           # a signature's low bits: its band, then whether it may be dropped
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
 
 
@@ -162,8 +169,8 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signatures(hashes: np.ndarray, band: int, plan: Plan, first: int) -> np.ndarray:
-    """Signatures of the first segments, exact and of all one-deletion neighbours."""
+def signatures(hashes: np.ndarray, band: int, plan: Plan, first: int) -> tuple[np.ndarray, int]:
+    """Signatures of the first segments, exact and of all one-deletion neighbours; how many may be dropped."""
     where = (mixed(hashes, 101 + band) >> np.uint64(11)).astype(np.float64) * (plan.segments / 2.0 ** 53)
     where = where.astype(np.int64)
     inside = where < first
@@ -177,8 +184,13 @@ def signatures(hashes: np.ndarray, band: int, plan: Plan, first: int) -> np.ndar
     gone = where < plan.deleted
     empty = many == 0
     empty[:plan.deleted] = False
-    signed = ~empty if np.count_nonzero(empty) <= plan.spare else slice(None)
-    return mixed(np.concatenate(((sums + salt)[signed], sums[where[gone]] - value[gone] + salt[where[gone]])), 3)
+    left = plan.spare - int(np.count_nonzero(empty))
+    signed = ~empty if left >= 0 else np.ones(first, bool)
+    sigs = mixed(np.concatenate(((sums + salt)[signed], sums[where[gone]] - value[gone] + salt[where[gone]])), 3)
+    droppable = np.zeros(len(sigs), np.uint64)
+    droppable[:np.count_nonzero(signed)] = np.flatnonzero(signed) >= plan.deleted
+    low = np.uint64(BAND_BITS + 1)
+    return sigs >> low << low | droppable << np.uint64(BAND_BITS) | np.uint64(band), max(0, left)
 
 
 def _sign(n: int, num: int, den: int, sets: int):
@@ -187,26 +199,29 @@ def _sign(n: int, num: int, den: int, sets: int):
 
     def work(batch):
         seen.clear()                    # copies in one batch are signed once
-        sizes, prints, sigs, parity = [], [], [], []
+        sizes, prints, sigs, drops, parity = [], [], [], [], []
         for h in shingle_hashes(texts(batch), n):
             size = len(h)
             print_ = hashlib.blake2b(h.tobytes(), digest_size=16).digest() if size else None
             sizes.append(size)
             prints.append(print_)
             parity.append(parities(h))
-            own = []
+            own, drop = [], []
             if size and print_ not in seen:
                 seen.add(print_)
                 for band in range(bands(size), bands(size * den // num) + 1):
                     plan = plans.get(band) or plans.setdefault(band, allocate(band, num, den, sets))
                     first = signed_segments(size, band, plan, num, den)
                     if first:
-                        own.append(signatures(h, band, plan, first).view(np.int64))
+                        found, left = signatures(h, band, plan, first)
+                        own.append(found.view(np.int64))
+                        drop.append({"band": band, "left": left})
             sigs.append(np.concatenate(own) if own else np.zeros(0, np.int64))
+            drops.append(drop)
         columns = np.array(parity, np.int64).reshape(-1, len(PARITIES)).T
         ends = np.cumsum([0] + [len(x) for x in sigs]).astype(np.int32)
         lists = pa.ListArray.from_arrays(ends, np.concatenate([*sigs, np.zeros(0, np.int64)]))
-        yield {"id": batch.column("id"), "n": sizes, "print": prints, "sigs": lists,
+        yield {"id": batch.column("id"), "n": sizes, "print": prints, "sigs": lists, "drops": drops,
                **{k: np.ascontiguousarray(c) for k, c in zip(PARITIES, columns)}}
     return work
 
@@ -236,7 +251,8 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     total = rows.count()
     sets = max(1, total // 8)                       # sets of one band, for the cost of accidental matches
     signed = written(map_batches(rows, lambda: _sign(shingle, num, den, sets), f"""id {id_type}, n int, print binary,
-        {", ".join(f"{k} long" for k in PARITIES)}, sigs array<long>"""), "signatures")
+        {", ".join(f"{k} long" for k in PARITIES)}, sigs array<long>,
+        drops array<struct<band: int, left: int>>"""), "signatures")
     classes = written(signed.filter("n > 0").groupBy("print").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in PARITIES])
         .withColumn("key", F.xxhash64("print")), "classes")
@@ -244,8 +260,11 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     same = Window.partitionBy("sig")
     every = signed.filter("n > 0").select(F.explode("sigs").alias("sig"), F.xxhash64("print").alias("key"))
     shared = (every.withColumn("lo", F.min("key").over(same)).withColumn("hi", F.max("key").over(same))
-              .filter("lo < hi").select("sig", "key").distinct())
-    links = _links(written(shared.withColumn("comp", F.col("key")), "buckets"), rows, classes, shingle, num, den)
+              .filter("lo < hi").select("sig", "key").distinct().withColumn("freq", F.count(F.lit(1)).over(same)))
+    drops = (signed.filter(F.size("drops") > 0).select(F.xxhash64("print").alias("key"), F.inline("drops"))
+             .groupBy("key", "band").agg(F.min("left").alias("left")))
+    live = _rarer(shared, drops).withColumn("comp", F.col("key"))
+    links = _links(written(_unsettled(live), "buckets"), rows, classes, shingle, num, den)
     if links is None:
         labels = classes.select("print", F.col("rep").alias("low"))
     else:
@@ -258,6 +277,16 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
                       F.coalesce("low", "id").alias("component_id"))
 
 
+def _rarer(shared: DataFrame, drops: DataFrame) -> DataFrame:
+    """Without the most frequent signatures of each set, as many as its spare units leave."""
+    low = 1 << BAND_BITS
+    kind = shared.withColumn("band", F.col("sig").bitwiseAND(F.lit(low - 1)).cast("int")).withColumn(
+        "may", F.col("sig").bitwiseAND(F.lit(low)) != 0)
+    rank = F.row_number().over(Window.partitionBy("key", "band").orderBy(F.desc("may"), F.desc("freq"), "sig"))
+    return (kind.join(drops, ["key", "band"]).withColumn("rank", rank)
+            .filter(~F.col("may") | (F.col("rank") > F.col("left"))).select("sig", "key"))
+
+
 def _may_link(num: int, den: int) -> Column:
     """False where sizes, or the parities of two sets, differ more than those of two similar sets can."""
     n, m = F.col("x.n"), F.col("y.n")
@@ -267,25 +296,25 @@ def _may_link(num: int, den: int) -> Column:
 
 def _links(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
     """Verified links (a, b) of set prints that connect all sets that a chain of similar pairs connects."""
+    facts = classes.drop("rep")
     links, tested, hubs = None, None, 1
     while not live.isEmpty():
         salted = live.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(hubs)))
-        hub = (salted.groupBy("sig", "salt").agg(F.min("key").alias("hub"), F.min_by("comp", "key").alias("hub_comp"))
+        hub = (salted.groupBy("sig", "salt").agg(F.min("key").alias("key"), F.min_by("comp", "key").alias("comp"))
                .drop("salt"))
-        pairs = (live.join(hub, "sig").filter((F.col("hub") != F.col("key")) & (F.col("hub_comp") != F.col("comp")))
-                 .select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct())
+        x, y = live.join(facts, "key").alias("x"), hub.join(facts, "key").alias("y")
+        # sizes and parities are tested where the pair is made; no other pair is ever a row
+        pairs = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") != F.col("y.key"))
+                        & (F.col("x.comp") != F.col("y.comp")) & _may_link(num, den))
+                 .select(F.least("x.print", "y.print").alias("a"), F.greatest("x.print", "y.print").alias("b")).distinct())
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        # written only with prints, of pairs that the parities leave
-        near = (pairs.join(classes.alias("x"), F.col("a") == F.col("x.key"))
-                .join(classes.alias("y"), F.col("b") == F.col("y.key")).filter(_may_link(num, den)))
-        pairs = written(near.select("a", "b", F.col("x.print").alias("pa"), F.col("y.print").alias("pb")), "pairs")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        checked = written(verified(pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b")), rows, classes,
-                                   shingle, num, den), "checked")
+        pairs = written(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        checked = written(verified(pairs, rows, classes, shingle, num, den), "checked")
         new = checked.filter("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
-        rest = live.join(hub.select("sig", F.col("hub").alias("key")), ["sig", "key"], "left_anti")
+        rest = live.join(hub.select("sig", "key"), ["sig", "key"], "left_anti")
         if not new.isEmpty():
             comps = (components(links).join(classes, F.col("node") == F.col("print"))
                      .groupBy("key").agg(F.min(F.xxhash64("comp")).alias("now")))
