@@ -68,6 +68,7 @@ from tillpoint.llm.components import components
 BAND = 1.4              # the sizes of a band differ by this factor at most
 SPARES = (0.12, 0.25)       # units beyond h + 1, as a share of them
 HUB_GROWTH = 16
+FILTER_WORDS = 1 << 18  # 64 bits each, for the ids whose texts are verified
 BAND_BITS = 6           # a signature's low bits: its band, then whether it may be dropped
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
 
@@ -335,9 +336,8 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int
     """(a, b, linked) of pairs of set prints, decided on the texts of one document of each."""
     reps = classes.select("print", "rep")
     wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
-    # written, so that its size is known: while it is below Spark's limit for broadcasts, the texts are not shuffled
     who = written(reps.join(wanted, "print", "left_semi"), "wanted")
-    own = (rows.join(who, F.col("id").eqNullSafe(F.col("rep")))
+    own = (_mostly(rows, who).join(who, F.col("id").eqNullSafe(F.col("rep")))
            .withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).select("print", "text"))
     found = written(_matching(own, shingle), "texts")
     both = (pairs.join(found.select(F.col("print").alias("b"), F.col("text").alias("tb")), "b")
@@ -346,6 +346,21 @@ def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int
                        lambda: _verify(shingle, num, den), "a binary, b binary, linked boolean")
 
 
+def _mostly(rows: DataFrame, who: DataFrame) -> DataFrame:
+    """Rows whose id's bit is set by a wanted id, so that few other texts are shuffled to the exact join.
+
+    The broadcast side has at most FILTER_WORDS rows of two numbers, 4 MB, at any size of the tables.
+    """
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS))
+
+    def bit(c: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast(pmod(shiftright(xxhash64({c}), 40), 64) as int))")
+    bits = who.groupBy(slot("rep").alias("slot")).agg(F.bit_or(bit("rep")).alias("bits"))
+    return (rows.withColumn("slot", slot("id")).join(F.broadcast(bits), "slot")
+            .filter(F.col("bits").bitwiseAND(bit("id")) != 0).select("id", "text"))
+
+
 def _matching(own: DataFrame, shingle: int) -> DataFrame:
     """One text for each print: where an id stands for several texts, only one with that print is kept."""
     def start():
