@@ -105,6 +105,25 @@ def test_phrases_equal_a_plain_parse():
     assert langid.phrases(model, text.astype(np.uint8), np.array([0]), np.array([300]))[0][0] == n
 
 
+def test_language_of_large_alphabets(spark):
+    rng = np.random.default_rng(3)
+    # code points of the letters; the last labels have by far the shortest samples or the highest code points
+    scripts = {"ru": range(0x430, 0x450), "ja": range(0x3041, 0x3090), "zh": range(0x4E00, 0x5300), "ko": range(0xAC00, 0xB000)}
+    words = {k: ["".join(chr(c) for c in rng.choice(list(v), 2)) for _ in range(150)] for k, v in scripts.items()}
+    # two labels of the same letters, which only their words tell apart
+    words["k2"] = ["".join(chr(c) for c in rng.choice(list(scripts["ko"]), 2)) for _ in range(150)]
+
+    def text(k, n):
+        return " ".join(rng.choice(words[k], n))
+    size = {"ru": 40, "ja": 120, "zh": 150, "ko": 150, "k2": 150}
+    train = [(i, text(k, size[k]), k) for k in words for i in range(10)]
+    model = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert all(c in model.symbol for _, t, _ in train for c in t if c != " ")
+    held = [(i, text(k, 60), k) for i, k in enumerate([*words] * 8)]
+    got = langid.predict(spark.createDataFrame(held, "doc_id long, text string, lang string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: k for i, _, k in held}
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 4) / 8]) for i in range(120)]

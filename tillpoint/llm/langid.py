@@ -48,8 +48,8 @@ def fold(c: str) -> str:
     return low if len(low) == 1 else c
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transition table (states x width); state 0 is the start, entry 0 is no transition."""
+def transitions(symbols: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton: the transitions of each state; state 0 is the start."""
     step: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -76,6 +76,12 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return step
+
+
+def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+    """The same as a full table (states x width) for a small alphabet; entry 0 is no transition."""
+    step = transitions(symbols)
     table = np.zeros((len(step), width), np.int32)
     for s, moves in enumerate(step):
         for c, t in moves.items():
@@ -83,36 +89,73 @@ def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
     return table
 
 
+class Sparse:
+    """Targets by key (row offset + symbol), 0 where there is none: open addressing, at most half full.
+
+    It is as large as the number of transitions, however many symbols there are.
+    """
+
+    def __init__(self, keys: np.ndarray, targets: np.ndarray):
+        self.bits = max(1, int(2 * len(keys)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.int64)         # no key is 0
+        self.targets = np.zeros(1 << self.bits, np.int64)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.targets[slot[put]] = keys[put], targets[put]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, targets, slot = keys[left], targets[left], (slot[left] + 1) & (len(self.keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        flat = np.ascontiguousarray(keys, np.int64).ravel()
+        slot = self._slot(flat)
+        held = self.keys[slot]
+        out = np.where(held == flat, self.targets[slot], 0)
+        on = np.flatnonzero((held != flat) & (held != 0))
+        while len(on):
+            slot_on = slot[on] = (slot[on] + 1) & (len(self.keys) - 1)
+            held = self.keys[slot_on]
+            hit = held == flat[on]
+            out[on[hit]] = self.targets[slot_on[hit]]
+            on = on[~hit & (held != 0)]
+        return out.reshape(keys.shape)
+
+
 class Model:
     """Automata of all labels in one table of row offsets; offset 0 is a row without transitions."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.labels = sorted(samples)
         letters = sorted({fold(c) for ts in samples.values() for t in ts for c in t if is_letter(c)})
-        # symbols are bytes: letters beyond 254 count as unknown ones
-        symbol = {c: i + 2 for i, c in enumerate(letters[:253])}
+        self.symbol = symbol = {c: i + 2 for i, c in enumerate(letters)}
         self.width = len(symbol) + 2
-        self.symbol = symbol
         self.bits, self.roots = [], []
-        tables, at = [np.zeros((1, self.width), np.int32)], 1
+        keys, targets, at = [], [], 1
         for label in self.labels:
             seq: list[int] = []
             for t in samples[label]:
                 for c in t + " ":
-                    s = symbol.get(fold(c), 0) if is_letter(c) else GAP
+                    s = symbol[fold(c)] if is_letter(c) else GAP
                     if s != GAP or (seq and seq[-1] != GAP):
                         seq.append(s)
-            table = suffix_automaton(seq, self.width)
-            table[:, 0] = 0
-            tables.append(np.where(table > 0, (table + at) * self.width, 0).astype(np.int32))
+            step = transitions(seq)
+            for n, moves in enumerate(step, at):
+                keys += [n * self.width + c for c in moves]
+                targets += [(at + t) * self.width for t in moves.values()]
             self.roots.append(at * self.width)
             self.bits.append(np.log2(max(2, len(seq))))
-            at += len(table)
-        self.table = np.concatenate(tables).ravel()
+            at += len(step)
+        self.table = Sparse(np.array(keys, np.int64), np.array(targets, np.int64))
 
     def code_table(self) -> np.ndarray:
         """Symbol of each code point; 0 for letters without one."""
-        out = np.full(0x110000, GAP, np.uint8)
+        out = np.full(0x110000, GAP, np.min_scalar_type(self.width))
         for i in range(0x110000):
             c = chr(i)
             if is_letter(c):
@@ -122,7 +165,7 @@ class Model:
 
 def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases (labels x pieces) of the pieces of a symbol sequence; pieces sorted by falling length."""
-    roots = np.array(model.roots, np.int32)[:, None]
+    roots = np.array(model.roots, np.int64)[:, None]
     state = np.broadcast_to(roots, (len(roots), len(starts))).copy()
     count = np.zeros(state.shape, np.int32)
     live = len(starts)
@@ -132,11 +175,12 @@ def phrases(model: Model, symbols: np.ndarray, starts: np.ndarray, lengths: np.n
         s = symbols[starts[:live] + t]
         now = state[:, :live]
         ahead = model.table[now + s]
-        miss = ahead == 0
-        fresh = model.table[roots + s]
-        count[:, :live] += miss & (now != roots)
-        count[:, :live] += miss & (fresh == 0)
-        state[:, :live] = np.where(miss, np.where(fresh == 0, roots, fresh), ahead)
+        row, col = np.nonzero(ahead == 0)
+        root = roots[row, 0]
+        fresh = model.table[root + s[col]]
+        count[row, col] += (now[row, col] != root).astype(np.int32) + (fresh == 0)
+        ahead[row, col] = np.where(fresh == 0, root, fresh)
+        state[:, :live] = ahead
     return count + (state != roots)
 
 
