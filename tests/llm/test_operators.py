@@ -306,3 +306,25 @@ def test_personal_data_base_spans(spark, docs):
     long_run = spark.createDataFrame([(1, "a" * 200_000 + "@"), (2, "1." * 50_000), (3, None)], "doc_id long, text string")
     assert pii.find(long_run).filter("size(base) > 0 and doc_id != 2").count() == 0
     assert pii.find(empty(docs)).count() == 0
+
+
+def test_personal_data_in_other_formats(spark):
+    rng = np.random.default_rng(11)
+    d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    known = []
+    for i in range(150):
+        known += [f"call +49 ({d(3)}) {d(3)}-{d(4)} today", f"you may phone +{d(2)} {d(3)} {d(4)} {d(3)}", f"mail {'xyz'[i % 3]}{d(3)}@host{d(2)}.example.org now",
+                  f"order 9{d(7)} was sent", f"on {i % 28 + 1}/{i % 12 + 1}/20{i % 30:02} it came", f"item 8{d(10)} is here", f"years 19{i % 90 + 10}-20{i % 90 + 10}",
+                  f"release 3{d(2)}.4{d(2)}.1.7 is out", f"see u{d(2)} @ noon or w{d(3)}@home"]
+    off = {"call 49 151 2345 6789 today": "49 151 2345 6789", "you may phone 44-207-9460-958": "44-207-9460-958",
+           "mail ann7 (at) host12.example.org now": "ann7 (at) host12.example.org"}
+    clean = ["order 91234567 was sent", "on 24/12/2021 it came", "item 81234567890 is here", "meet u12 (at) noon", "release 312.412.1.7 is out", None]
+    rows = [*off, *clean, *known]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(df).collect()}
+    for i, (text, want) in enumerate(off.items()):
+        assert not got[i]["base"] and [text[m["start"]:m["end"]] for m in got[i]["more"]] == [want]
+    assert not any(got[len(off) + i]["base"] or got[len(off) + i]["more"] for i in range(len(clean)))
+    code = spark.createDataFrame([("code_like", c, "") for c in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013001", "GB82WEST12345698765432")],
+                                 "kind string, found string, left string").select(F.struct("*").alias("p"))
+    assert [r[0] for r in code.select(pii.rejected()).collect()] == [False, True, False]
