@@ -67,6 +67,19 @@ def test_nest_splits_hot_keys_without_dropping(spark):
     assert t.select(nested_text("xs", ["i", "s"])).collect()[0][0] == "1|a; 2|null"
 
 
+def test_nest_has_one_layout_at_every_size(spark):
+    hot = spark.range(60_000).selectExpr("1 as k", "cast(id % 40000 as int) as v")
+    rows = hot.unionByName(spark.createDataFrame([(2, 7), (None, 8)], "k int, v int"))
+    whole = {r.k: [x.v for x in r["items"]] for r in nest(rows, ["k"], ["v"], "items").collect()}
+    assert nest(rows, ["k"], ["v"], "items").count() == 3
+    assert whole == {1: sorted(i % 40_000 for i in range(60_000)), 2: [7], None: [8]}
+    same = rows.unionByName(spark.range(2_500).selectExpr("3 as k", "5 as v"))
+    parts = nest(same, ["k"], ["v"], "items", max_items=1_000).collect()
+    sizes = {k: sorted((r.part_no, len(r["items"])) for r in parts if r.k == k) for k in (1, 2, 3, None)}
+    assert sizes == {1: [(i, 1_000) for i in range(60)], 2: [(0, 1)], 3: [(0, 1_000), (1, 1_000), (2, 500)], None: [(0, 1)]}
+    assert sorted(x.v for r in parts if r.k == 1 for x in r["items"]) == whole[1]
+
+
 def test_asof_join_matches_brute_force(spark):
     rnd = random.Random(7)
     t0 = dt.datetime(2024, 1, 1)

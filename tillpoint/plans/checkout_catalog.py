@@ -43,12 +43,12 @@ def q_cart_totals(spark, sf_dir):
     """
     from pyspark.sql import functions as F
     from tillpoint.functions.money import items_total, money_out
-    from tillpoint.functions.nesting import nest
+    from tillpoint.functions.nesting import nest_parts
     ensure_session_defaults(spark)
     c = commerce_binding(spark, sf_dir)
     _, items = checkout_requests(c)
-    arrays = nest(items.select("cart_id", "product_id", "quantity", "unit_price"), ["cart_id"],
-                  ["product_id", "quantity", "unit_price"], "items")
+    arrays = nest_parts(items.select("cart_id", "product_id", "quantity", "unit_price"), ["cart_id"],
+                        ["product_id", "quantity", "unit_price"], "items")
     return (arrays.groupBy("cart_id").agg(F.sum(items_total("items")).alias("_t"), F.sum(F.size("items")).alias("n_items"))
             .select("cart_id", money_out("_t").alias("total_price"), F.col("n_items").cast("long").alias("n_items")))
 
