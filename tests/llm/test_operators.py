@@ -172,6 +172,23 @@ def test_bpe_round_trip(docs):
     assert bpe.encode(empty(docs), ranks, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_spreads_blocks_of_the_same_copies(spark):
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    copies = spark.range(0, 400, 1, 4).selectExpr("id % 300 as doc_id", "'the same words here again' as text")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # blocks of ten copies; the last step has 8 tasks
+        got = (bpe.encode(copies, ranks, public_tokenizers.PATTERN, block_chars=250)
+               .withColumn("task", F.spark_partition_id()).collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    want = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert sorted(r["doc_id"] for r in got) == sorted(i % 300 for i in range(400))
+    assert {tuple(r["ids"]) for r in got} == {tuple(want.encode_ordinary("the same words here again"))}
+    assert len({r["task"] for r in got}) > 1
+
+
 def test_jaccard_components(spark, docs):
     base = [f"w{i}" for i in range(60)]
     near = [(2 * 10**6 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(0, 60, 4)]

@@ -16,8 +16,10 @@ corpus, so that a part has about ``part_chars`` characters of text behind it.
 A block's words fit in memory (``block_chars`` characters, or one document if
 that is longer).
 
-The two reads of a block must see the same documents; a block's name is a
-digest of its texts, and words that are missing when a block is put together
+The two reads of a block must see the same documents in the same places; a
+block's name is a digest of its texts, its partition and its place in it, so
+blocks of the same copies have names of their own and a hot group of copies is
+spread over the tasks.  Words that are missing when a block is put together
 raise an error.
 
 Pre-tokens: the pattern is applied to distinct chunks only.  A chunk is a run
@@ -38,8 +40,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,7 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -154,8 +159,12 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel(), raw[8 + 4 * n:]
 
 
-def blocks_of(batch: pa.RecordBatch, block_chars: int):
-    """(first row, texts, name) of the blocks of a batch; one block's texts are held at a time."""
+def blocks_of(batch: pa.RecordBatch, block_chars: int, nth: Iterator[int]):
+    """(first row, texts, name) of the blocks of a batch; one block's texts are held at a time.
+
+    ``nth`` counts the blocks of the partition.
+    """
+    partition = TaskContext.get().partitionId()
     sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
     at = 0
     while at < len(sizes):
@@ -164,7 +173,7 @@ def blocks_of(batch: pa.RecordBatch, block_chars: int):
             size += sizes[end]
             end += 1
         docs = texts(batch.slice(at, end - at))
-        digest = hashlib.blake2b(digest_size=8)
+        digest = hashlib.blake2b(f"{partition},{next(nth)},".encode(), digest_size=8)
         for t in docs:
             digest.update(len(t).to_bytes(8, "little") + t.encode("utf-8", "surrogatepass"))
         yield at, docs, int.from_bytes(digest.digest(), "little", signed=True)
@@ -181,10 +190,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     parts = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars)
 
     def list_words():
-        compiled = regex.compile(pattern)
+        compiled, nth = regex.compile(pattern), itertools.count()
 
         def work(batch):
-            for _, own, name in blocks_of(batch, block_chars):
+            for _, own, name in blocks_of(batch, block_chars, nth):
                 block = Block(own, compiled)
                 part = block.parts(parts)
                 order = np.argsort(part, kind="stable")
@@ -214,10 +223,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
         return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary())})
 
     def list_order():
-        compiled = regex.compile(pattern)
+        compiled, nth = regex.compile(pattern), itertools.count()
 
         def work(batch):
-            for at, own, name in blocks_of(batch, block_chars):
+            for at, own, name in blocks_of(batch, block_chars, nth):
                 block = Block(own, compiled)
                 yield {"block": [name], "order": [pack(block.order)], "parts": [pack(block.parts(parts))],
                        "lengths": [block.lengths]} | {
@@ -233,7 +242,6 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
     out_arrow = to_arrow_schema(StructType.fromDDL(out_schema))
 
     def assemble(order_of: pa.Table, words_of: pa.Table) -> pa.Table:
-        # a block that stands twice lists its words twice
         packed = dict(zip(words_of.column("part").to_pylist(), words_of.column("ids").to_pylist()))
         sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for p in sorted(packed):
