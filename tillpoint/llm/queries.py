@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tillpoint.llm import bpe, decontaminate, jaccard_join, kneser_ney, langid, license_scan, pii, secrets, sharding, topk
+from tillpoint.llm import (bpe, collocations, decontaminate, hard_negatives, html_text, jaccard_join, kneser_ney, langid,
+                           license_scan, pii, secrets, sharding, topk)
 from tillpoint.llm.common import table
 from tillpoint.llm.spans import spans_text
 
@@ -111,9 +112,27 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                         spans_text(every, PII_KINDS).alias("spans"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of each positive of the vectors whose id is divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), label=moved)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of 2 to 5 words of each language, from all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages."""
+    pages = table(spark, sf_dir, "pages")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op_queries() -> dict:
     own = [op1_decontaminate, op2_language, op3_top_k, op4_licenses, op5_bpe, op6_jaccard, op7_secrets, op8_shards,
-           op9_lm_score, op10_pii]
+           op9_lm_score, op10_pii, op11_hard_negatives, op12_collocations, op13_html_text]
     return {f.__name__: f for f in own}
 
 
@@ -225,5 +244,48 @@ FROM d JOIN j USING (rid) JOIN c USING (rid)
 
 OP8_SQL = _shards_sql()
 
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, CAST(vec_id AS BIGINT) AS id,
+                  CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS MATERIALIZED (SELECT a.rid AS anchor, a.id AS anchor_id, b.rid, b.id, a.label = b.label AS alike,
+             CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.rid <> b.rid AND a.id % 100 = 0),
+p AS (SELECT anchor, anchor_id, rid, id AS positive_id, score AS positive_score FROM s WHERE alike
+      QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id, rid) <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor, p.rid ORDER BY s.score DESC, s.id, s.rid) AS rank
+      FROM p JOIN s ON p.anchor = s.anchor AND NOT s.alike AND 80 * p.positive_score <= 100 * s.score
+                   AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM n WHERE rank <= 5
+"""
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+           FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+      FROM w, unnest(range(1, 6)) AS sizes(k), unnest(range(1, greatest(len(ws) - k + 2, 1))) AS places(i) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+cand AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 100),
+inside AS (SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(a) AS longer
+           FROM cand, unnest(range(1, k + 1)) AS first(i), unnest(range(i, k + 1)) AS last(j)
+           WHERE j - i + 1 < k GROUP BY ALL),
+kept AS (SELECT cand.* FROM cand LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+cut AS (SELECT kept.lang, kept.phrase, a, x.f AS l, y.f AS r, n, c,
+               (1000 * CAST(a AS HUGEINT) * n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+        FROM kept JOIN total USING (lang), unnest(range(1, kept.k)) AS cuts(c)
+        JOIN g x ON x.lang = kept.lang AND x.k = c AND x.phrase = array_to_string(ws[1:c], ' ')
+        JOIN g y ON y.lang = kept.lang AND y.k = kept.k - c AND y.phrase = array_to_string(ws[c + 1:kept.k], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 2000
+"""
+
 ORACLE = {"op1_decontaminate": OP1_SQL, "op3_top_k": OP3_SQL, "op6_jaccard": OP6_SQL, "op7_secrets": OP7_SQL,
-          "op8_shards": OP8_SQL}
+          "op8_shards": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL}
