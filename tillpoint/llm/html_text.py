@@ -158,8 +158,8 @@ class Page:
         """The zones around this place; whether one of them holds is known when they have been closed."""
         return self._stack[-1][1] if self._stack else [False]
 
-    def _tag(self, name: str) -> None:
-        self.items.append([1, name, self.block, self._zone(), False, self._depth["mark"] > 0])
+    def _tag(self, name: str, zone: list | None = None) -> None:
+        self.items.append([1, name, self.block, self._zone() if zone is None else zone, False, self._depth["mark"] > 0])
 
     def _start(self, name: str, attrs: str) -> None:
         if name in CLOSES_P:
@@ -186,9 +186,9 @@ class Page:
         if name == "article" and self._main and not zone and self._depth["zone"] == 0:
             self._unmark(self._main)                # the article inside main is the mark
             mark = True
-        self._tag("hgroup" if name == "header" and in_article else name)     # an article's own header is no page header
         around = self._zone()
         own = [None, around] if zone else around    # [whether it holds, the zone around]
+        self._tag("hgroup" if name == "header" and in_article else name, own)   # an article's own header is no page header
         if mark:
             self.marks += 1
             self._depth["mark"] += 1
@@ -245,7 +245,7 @@ class Page:
             self._main = None
         if name in ("article", "a"):
             self._depth[name] -= 1
-        self._tag("hgroup" if name == "header" and self._depth["article"] else name)
+        self._tag("hgroup" if name == "header" and self._depth["article"] else name, own)
         if is_block:
             self.block += 1
 
