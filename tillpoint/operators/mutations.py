@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tillpoint.functions.text import conflict_labels
+from tillpoint.operators.sequential import last_set, replay_unique
 
 # Allowed sets checked by the reference's handlers.
 TRANSACTION_TYPES = ["income", "expense"]
@@ -176,49 +177,34 @@ def patch_rows(table: DataFrame, patches: DataFrame, key: str, fields: list[str]
                touch_col: str | None = "updated_at", touch_value: Column | None = None) -> Applied:
     """M9: only the fields named in ``provided`` change; absent and NULL differ.
 
-    With ``conflict_keys`` a patch that sets a unique value held by *another*
-    row (before the batch) is refused with 409 and the reference's label text
-    ('Email, Phone' ...).  No provided field -> 400.  Last patch per key wins.
+    With ``conflict_keys`` a patch that sets a unique value which *another* row holds when its
+    turn comes is refused with 409 and the reference's label text ('Email, Phone' ...); earlier
+    patches of the batch take and free values.  No provided field -> 400.  Of several accepted
+    patches of a row the last one that provides a field wins, field by field.
     """
-    p = patches
+    p = patches.join(table.select(key).distinct().withColumn("_found", F.lit(True)), key, "left")
     none = F.size(F.col(provided_col)) == 0
-    outcome_code = F.when(none, 400)
-    outcome_msg = F.when(none, F.lit("No fields provided for update"))
+    lab = F.lit("")
     if conflict_keys:
-        labels = []
-        for k in conflict_keys:
-            holders = table.select(F.col(k).alias("_v"), F.col(key).alias("_holder")).filter(F.col("_v").isNotNull())
-            hit = (p.filter(F.array_contains(provided_col, k)).select("request_id", key, F.col(k).alias("_v"))
-                   .join(holders, "_v", "inner").filter(F.col("_holder") != F.col(key))
-                   .select("request_id").distinct().withColumn(f"_c_{k}", F.lit(True)))
-            p = p.join(hit, "request_id", "left")
-            labels.append((F.col(f"_c_{k}").isNotNull(), k))
-        lab = conflict_labels([(c, _LABELS.get(k, k)) for c, k in labels])
-        conflict = F.length(lab) > 0
-        outcome_code = outcome_code.when(conflict, 409)
-        outcome_msg = outcome_msg.when(conflict, F.concat(lab, F.lit(" already exists for another employee.")))
-        p = p.withColumn("_conflict", conflict)
-    else:
-        p = p.withColumn("_conflict", F.lit(False))
-    exists = table.select(key).distinct().withColumn("_found", F.lit(True))
-    p = p.join(exists, key, "left")
-    outcome_code = outcome_code.when(F.col("_found").isNull(), 404).otherwise(200)
-    outcome_msg = outcome_msg.when(F.col("_found").isNull(), F.lit("not found")).otherwise(F.lit("updated"))
-    outcome = _outcome(p, outcome_code, outcome_msg)
-    good = p.filter(~none & ~F.col("_conflict") & F.col("_found").isNotNull())
-    last = latest_per_key(good.select("request_id", key, provided_col, *fields), key)
-    j = table.join(last.select(key, provided_col, *[F.col(f).alias(f"_n_{f}") for f in fields]), key, "left")
+        taken = replay_unique(table, p, key, conflict_keys, F.col(provided_col), F.col("_found"))
+        p = p.join(taken, "request_id", "left")
+        lab = conflict_labels([(F.array_contains("taken", k), _LABELS.get(k, k)) for k in conflict_keys])
+    conflict = F.length(lab) > 0
+    code = F.when(none, 400).when(conflict, 409).when(F.col("_found").isNull(), 404).otherwise(200)
+    message = (F.when(none, F.lit("No fields provided for update"))
+               .when(conflict, F.concat(lab, F.lit(" already exists for another employee.")))
+               .when(F.col("_found").isNull(), F.lit("not found")).otherwise(F.lit("updated")))
+    last = last_set(p.filter(code == 200), key, fields, F.col(provided_col)).withColumn("_hit", F.lit(True))
+    j = table.join(last, key, "left")
     cols = []
     for c in table.columns:
         if c in fields:
-            cols.append(F.when(F.coalesce(F.array_contains(provided_col, c), F.lit(False)), F.col(f"_n_{c}"))
-                        .otherwise(F.col(c)).alias(c))
+            cols.append(F.when(F.coalesce(F.col(f"_s_{c}"), F.lit(False)), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c))
         elif touch_col and c == touch_col and touch_value is not None:
-            cols.append(F.when(F.col(provided_col).isNotNull(), touch_value).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(F.col("_hit"), touch_value).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(c))
-    after = j.select(*cols)
-    return Applied(after, None, outcome)
+    return Applied(j.select(*cols), None, _outcome(p, code, message))
 
 
 _LABELS = {"email": "Email", "phone": "Phone", "bank_account_number": "Bank Account Number",
@@ -459,23 +445,19 @@ def update_order_status(orders: DataFrame, web_bills: DataFrame, requests: DataF
 
 
 def set_subdomains(clients: DataFrame, requests: DataFrame) -> Applied:
-    """Change a client's subdomain; a value held by another client (before the batch or
-    taken by an earlier request) -> 400; the last accepted request per client wins."""
-    other = clients.select(F.col("subdomain").alias("_v"), F.col("client_id").alias("_holder"))
-    r = requests.withColumn("_v", F.col("subdomain"))
-    clash = (r.join(other, "_v", "inner").filter(F.col("_holder") != F.col("client_id"))
-             .select("request_id").distinct().withColumn("_clash", F.lit(True)))
-    earlier = (r.groupBy("_v").agg(F.min(F.struct("request_id", "client_id")).alias("_f")))
-    o = r.join(clash, "request_id", "left").join(earlier, "_v", "left")
-    taken = F.col("_clash").isNotNull() | (F.col("_f.client_id") != F.col("client_id"))
-    code = F.when(taken, 400).otherwise(200)
-    msg = F.when(taken, F.lit("Subdomain already exists for another client.")).otherwise(
-        F.lit("Subdomain saved successfully"))
-    ok = latest_per_key(o.filter(~taken).select("request_id", "client_id", F.col("subdomain").alias("_new")),
-                        "client_id")
-    after = clients.join(ok.select("client_id", "_new"), "client_id", "left").select(
-        *[F.coalesce(F.col("_new"), F.col("subdomain")).alias("subdomain") if c == "subdomain" else F.col(c)
-          for c in clients.columns])
+    """Change a client's subdomain; a value that another client holds when the request's turn
+    comes -> 400 (earlier requests take and free names); an unknown client -> 401; the last
+    accepted request per client wins."""
+    r = requests.join(clients.select("client_id").withColumn("_known", F.lit(True)), "client_id", "left")
+    o = r.join(replay_unique(clients, r, "client_id", ["subdomain"], acts=F.col("_known")), "request_id", "left")
+    code = F.when(F.col("_known").isNull(), 401).when(F.col("taken").isNotNull(), 400).otherwise(200)
+    msg = (F.when(code == 401, F.lit("Invalid client ID. Unauthorized access."))
+            .when(code == 400, F.lit("Subdomain already exists for another client."))
+            .otherwise(F.lit("Subdomain saved successfully")))
+    last = last_set(o.filter(code == 200), "client_id", ["subdomain"])
+    after = clients.join(last, "client_id", "left").select(
+        *[F.when(F.coalesce("_s_subdomain", F.lit(False)), F.col("_n_subdomain")).otherwise(F.col(c)).alias(c)
+          if c == "subdomain" else F.col(c) for c in clients.columns])
     return Applied(after, None, _outcome(o, code, msg))
 
 
@@ -507,18 +489,19 @@ def _parse_product_fields(requests: DataFrame) -> tuple[DataFrame, Column]:
 
 def update_products(products: DataFrame, requests: DataFrame, as_of_ts: Column) -> Applied:
     """Replace name, category, quantity, barcode, price, type, status and stamp updated_at;
-    invalid data -> 400, unknown id -> 404 (last request per id wins)."""
+    invalid data -> 400, unknown id -> 404, a barcode that another product holds when the
+    request's turn comes -> 500; the last accepted request per id wins."""
     r, bad = _parse_product_fields(requests)
-    r = r.withColumn("updated_at", as_of_ts).withColumn("_bad", bad)
-    fields = ["name", "category", "quantity", "barcode", "price", "type", "status", "updated_at"]
-    out = update_rows(products, r.filter(~F.col("_bad")).select("request_id", "id", *fields), "id", fields,
-                      not_found="Product not found")
-    known = products.select("id").withColumn("_found", F.lit(True))
-    o = r.join(known, "id", "left")
-    code = F.when(F.col("_bad"), 400).when(F.col("_found").isNull(), 404).otherwise(200)
+    r = (r.withColumn("updated_at", as_of_ts).withColumn("_bad", bad)
+         .join(products.select("id").withColumn("_found", F.lit(True)), "id", "left"))
+    r = r.join(replay_unique(products, r.filter(~F.col("_bad")), "id", ["barcode"], acts=F.col("_found")), "request_id", "left")
+    code = (F.when(F.col("_bad"), 400).when(F.col("_found").isNull(), 404).when(F.col("taken").isNotNull(), 500)
+            .otherwise(200))
     msg = (F.when(F.col("_bad"), F.lit("Invalid product data")).when(code == 404, F.lit("Product not found"))
-            .otherwise(F.lit("Product updated")))
-    return Applied(out.table, out.returned, _outcome(o, code, msg))
+            .when(code == 500, F.lit("Failed to update product")).otherwise(F.lit("Product updated")))
+    fields = ["name", "category", "quantity", "barcode", "price", "type", "status", "updated_at"]
+    out = update_rows(products, r.filter(code == 200).select("request_id", "id", *fields), "id", fields)
+    return Applied(out.table, out.returned, _outcome(r, code, msg))
 
 
 def update_manual_transactions(incomes: DataFrame, expenses: DataFrame, requests: DataFrame) -> Applied:

@@ -22,6 +22,8 @@ from tillpoint.plans.identity_catalog import IDENTITY_QUERIES
 from tillpoint.plans.audit_catalog import AUDIT_QUERIES
 from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
 from tillpoint.plans.mutations_catalog import MUTATION_QUERIES
+from tillpoint.plans.sequential_catalog import SEQUENTIAL_QUERIES
+from tillpoint.plans.sequential_oracle import sequential_sql
 from tillpoint.plans.streaming_catalog import STREAMING_QUERIES
 from tillpoint.plans.extras_catalog import EXTRA_QUERIES
 
@@ -83,6 +85,7 @@ def queries() -> dict[str, Query]:
     q.update(AUDIT_QUERIES)
     q.update(CHECKOUT_QUERIES)
     q.update(MUTATION_QUERIES)
+    q.update(SEQUENTIAL_QUERIES)
     q.update(STREAMING_QUERIES)
     q.update(EXTRA_QUERIES)
     return q
@@ -96,6 +99,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.identity_sql())
     o.update(O.audit_sql())
     o.update(O.mutation_sql())
+    o.update(sequential_sql())
     o.update(O.streaming_sql())
     o.update(O.extras_sql())
     return o
