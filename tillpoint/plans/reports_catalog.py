@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillpoint.functions.nesting import nested_text
+from tillpoint.operators import jobboard as JB
 from tillpoint.operators import ledger as L
 from tillpoint.operators import reports as R
 from tillpoint.session import ensure_session_defaults
@@ -91,6 +92,19 @@ def q_open_jobs_for_users(spark, sf_dir):
     return R.open_jobs_for(c.job_user, c.job_list, c.job_apply)
 
 
+def applications_with_gaps(c):
+    """Applications; those to every 499th job have lost their job (NULL)."""
+    return c.job_apply.select("job_user_id", F.when(F.col("job_id") % 499 != 0, F.col("job_id")).alias("job_id"))
+
+
+def q_open_job_bits(spark, sf_dir):
+    """Every user's open jobs, as bitmaps by chunk beside the shared one."""
+    c = _c(spark, sf_dir)
+    found = JB.open_job_bits(c.job_list, applications_with_gaps(c))
+    return found.select("job_user_id", "chunk", F.coalesce(JB.n_jobs(F.col("words")), F.lit(0)).alias("n_open"),
+                        F.coalesce(JB.hex_words(F.col("words")), F.lit("")).alias("open_jobs"))
+
+
 def q_applied_jobs(spark, sf_dir):
     c = _c(spark, sf_dir)
     return R.applied_jobs(c.job_apply, c.job_user, c.job_list)
@@ -130,6 +144,7 @@ REPORT_QUERIES = {
     "employee_register": q_employee_register,
     "documents_list": q_documents_list,
     "open_jobs_for_users": q_open_jobs_for_users,
+    "open_job_bits": q_open_job_bits,
     "applied_jobs": q_applied_jobs,
     "jobs_with_applicants": q_jobs_with_applicants,
     "tenant_resolution": q_tenant_resolution,
