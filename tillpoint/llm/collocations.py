@@ -19,13 +19,14 @@ words as edges between the overlapping nodes, weighted by their occurrences.
    length, so what lies between a phrase and a longer one with this share of
    its count has this share as well.
 
-A phrase can be frequent only if its words and its pairs of words are.  A
+A phrase can be frequent only if its words and its shorter phrases are.  A
 first pass counts words and pairs in a table of hashed slots (saturating
 bytes, summed over all tasks); its slots that reach the least count become a
-bit table, and a gram ends before a word or behind a pair whose bit is not
-set, as at a piece end.  Slots never count too little, so no count of a
+bit table.  A second pass counts the longer phrases whose pairs all have their
+bit in a table of its own.  A gram then ends where its next longer one has no
+bit, as at a piece end.  Slots never count too little, so no count of a
 frequent phrase changes; slots that are full by accident only cost time.  The
-table grows with the corpus up to ``MOST_SLOTS`` (16 MB of bits to the
+tables grow with the corpus up to ``MOST_SLOTS`` (16 MB of bits each to the
 driver and to the workers at any size of the corpus).
 
 Defined results: null text is empty; a null language is ``und``; a text of
@@ -53,7 +54,7 @@ PIECE_ENDS, WORD_ENDS = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 TABLE = bytes(10 if b in PIECE_ENDS else 32 if b in WORD_ENDS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 UNKNOWN = "und"
 
-PART_BYTES = 6_000_000          # of text that a task looks at at a time
+PART_BYTES = 4_000_000          # of text that a task looks at at a time
 EMIT_ROWS = 50_000
 FEWEST_SLOTS, MOST_SLOTS, SLOT_CHARS, CHUNK_SLOTS = 1 << 20, 1 << 27, 32, 1 << 17
 RANGE_BYTES = 32 << 20          # of text behind one range of grams
@@ -111,12 +112,24 @@ class Part:
         salt = np.uint64(zlib.crc32(encoded(lang)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
         self.hashes = mixed(pd.util.hash_array(self.distinct, categorize=False) ^ salt) if len(self.words) else np.zeros(0, np.uint64)
 
-    def word_slots(self, slots: int) -> np.ndarray:
-        return (self.hashes % np.uint64(slots)).astype(np.int64)
+    def gram_hashes(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the grams of k words that begin at these places."""
+        h = self.hashes[self.code[at]]
+        for i in range(1, k):
+            h = mixed(h * np.uint64(3) + self.hashes[self.code[at + i]] + np.uint64(1))
+        return h
 
-    def pair_slots(self, slots: int, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        h = mixed(self.hashes[first] * np.uint64(3) + self.hashes[second] + np.uint64(1))
-        return (h % np.uint64(slots)).astype(np.int64)
+    def known_pairs(self, bits: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which words, and which pairs with the next word of the piece, have their bit."""
+        known = bit(bits, slot(self.hashes, slots))[self.code]
+        pair = np.append(self.joined & known[:-1] & known[1:], False)
+        at = np.flatnonzero(pair)
+        pair[at] = bit(bits, slot(self.gram_hashes(at, 2), slots))
+        return known, pair
+
+
+def slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes % np.uint64(slots)).astype(np.int64)
 
 
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
@@ -129,26 +142,30 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(out, schema)
 
 
-def frequent_slots(rows: DataFrame, least: int, slots: int, tasks: int) -> np.ndarray:
-    """Bit table of the slots that words and pairs of words fill ``least`` times or more."""
+def frequent_slots(rows: DataFrame, least: int, slots: int, tasks: int, longest: int, bits=None) -> np.ndarray:
+    """Bit table of the slots that words and pairs fill ``least`` times or more; given that one, that of longer grams."""
     top = min(least, 127)               # bytes saturate above it; slots that reach ``top`` count as full
 
     def count(batches):
         table = np.zeros(slots, np.uint8)
 
-        def add(at: np.ndarray, n: np.ndarray) -> None:
-            at, back = np.unique(at, return_inverse=True)
-            n = np.bincount(back, n, len(at))
+        def add(hashes: np.ndarray) -> None:
+            at, n = np.unique(slot(hashes, slots), return_counts=True)
             table[at] = np.minimum(table[at] + n, top).astype(np.uint8)
         for batch in batches:
             for lang, data in parts_of(batch):
                 part = Part(lang, data)
                 if not part.words:
                     continue
-                many = len(part.distinct)
-                add(part.word_slots(slots), np.bincount(part.code, minlength=many))
-                pair, found = pd.factorize((part.code[:-1] * many + part.code[1:])[part.joined])
-                add(part.pair_slots(slots, found // many, found % many), np.bincount(pair, minlength=len(found)))
+                if bits is None:
+                    add(part.hashes[part.code])
+                    add(part.gram_hashes(np.flatnonzero(part.joined), 2))
+                    continue
+                pair = part.known_pairs(bits.value, slots)[1]
+                more = pair
+                for k in range(3, longest + 1):
+                    more = more[:-1] & pair[k - 2:]         # places where k words go on by known pairs
+                    add(part.gram_hashes(np.flatnonzero(more), k))
         pack = zstandard.ZstdCompressor(level=1).compress
         for i, chunk in enumerate(table.reshape(-1, CHUNK_SLOTS)):
             if chunk.any():
@@ -188,7 +205,7 @@ def plain(word: bytes) -> bytes:
     return word.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1") if b"\1" in word else word
 
 
-def longest_grams(rows: DataFrame, bits, slots: int, longest: int) -> DataFrame:
+def longest_grams(rows: DataFrame, bits, long_bits, slots: int, longest: int) -> DataFrame:
     """(lang, gram, n): the longest gram from every position, counted per part; and, under an empty gram, all words."""
     def run(batches):
         for batch in batches:
@@ -199,16 +216,17 @@ def longest_grams(rows: DataFrame, bits, slots: int, longest: int) -> DataFrame:
                     continue
                 yield {"lang": [lang], "gram": [b""], "n": [total]}
                 code, many = part.code, len(part.distinct)
-                known = bit(bits.value, part.word_slots(slots))[code]
-                pair = np.append(part.joined & known[:-1] & known[1:], False)
-                at = np.flatnonzero(pair)
-                pair[at] = bit(bits.value, part.pair_slots(slots, code[at], code[at + 1]))
+                known, pair = part.known_pairs(bits.value, slots)
                 words = escaped(part.words)
                 at = np.flatnonzero(known)
-                node, nodes = code[at], many            # numbers of the grams of k words that begin at ``at``
-                more = pair.copy()                      # whether a gram of k words goes on
+                node = code[at]                         # numbers of the grams of k words that begin at ``at``
                 for k in range(1, longest + 1):
-                    on = more[at] if k < longest else np.zeros(len(at), bool)
+                    on = np.zeros(len(at), bool)            # whether a gram of k words goes on
+                    if k < longest:
+                        on = pair[at + k - 1]
+                        if k > 1:
+                            go = np.flatnonzero(on)
+                            on[go] = bit(long_bits.value, slot(part.gram_hashes(at[go], k + 1), slots))
                     gone = ~on
                     ends, found = pd.factorize(node[gone])
                     counts = np.bincount(ends, minlength=len(found))
@@ -221,8 +239,6 @@ def longest_grams(rows: DataFrame, bits, slots: int, longest: int) -> DataFrame:
                         break
                     at, node = at[on], node[on]
                     node, found = pd.factorize(node * many + code[at + k])
-                    more[:-k] &= pair[k:]
-                    more[-k:] = False
     return arrow_map(rows, run, "lang string, gram binary, n long")
 
 
@@ -290,8 +306,10 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (chars // SLOT_CHARS).bit_length()))
     ranges = max(1, chars // RANGE_BYTES)
-    bits = spark.sparkContext.broadcast(frequent_slots(rows, least, slots, min(64, ranges)))
-    grams = written(longest_grams(rows, bits, slots, longest), "grams")
+    tasks = min(64, ranges)
+    bits = spark.sparkContext.broadcast(frequent_slots(rows, least, slots, tasks, longest))
+    long_bits = spark.sparkContext.broadcast(frequent_slots(rows, least, slots, tasks, longest, bits))
+    grams = written(longest_grams(rows, bits, long_bits, slots, longest), "grams")
     return flow(grams, least, longest, ranges)
 
 
