@@ -88,7 +88,7 @@ def test_asof_join_matches_brute_force(spark):
     r = spark.createDataFrame(right, "k string, rid int, t timestamp_ntz")
     l_ = spark.createDataFrame(left, "k string, lid int, lt timestamp_ntz")
     got = {x.lid: (x.m.rid if x.m else None) for x in
-           asof_join(l_, r, ["k"], "lt", "t", ["rid"], ["rid"], bucket_rows=20, name="m").collect()}
+           asof_join(l_, r, ["k"], "lt", "t", ["rid"], ["rid"], ranges=12, name="m").collect()}
     want = {}
     for k, lid, lt in left:
         cands = [(t, rid) for kk, rid, t in right if kk == k and t <= lt]
@@ -105,19 +105,22 @@ def test_not_in_null_rule(spark):
     assert not_in_anti(jobs, applied.select("job_id"), "job_id").count() == 0
 
 
-def test_adaptive_buckets_prefix_sums_match_plain_window(spark):
+def test_range_prefix_sums_match_plain_window(spark):
     from pyspark.sql import Window
-    from tillpoint.functions.ordering import adaptive_buckets
+    from tillpoint.functions.ordering import border_keys, in_ranges
     from tillpoint.operators.checkout import prefix_sums
     rnd = random.Random(3)
     t0 = dt.datetime(2024, 1, 1)
     rows = [("hot", i, t0 + dt.timedelta(seconds=rnd.randint(0, 50)), rnd.randint(1, 9)) for i in range(400)]
     rows += [(f"k{j}", 1000 + j, t0 + dt.timedelta(seconds=j), 1) for j in range(20)]
     df = spark.createDataFrame(rows, "key string, id long, t timestamp_ntz, v long")
-    b, split = adaptive_buckets(df, "key", "t", target_rows=50, cuts=16)
-    assert split
-    assert b.filter("key = 'hot'").select("_b").distinct().count() > 5      # the hot key is split
-    got = {r.id: r.s for r in prefix_sums(b, "key", ["t", "id"], {"s": "v"}, "_b").collect()}
+    df = df.unionByName(spark.createDataFrame([("same", 2000 + i, t0, 1) for i in range(300)], df.schema))     # one time
+    b = in_ranges(df, ["key"], ["t", "id"], 16)
+    for key in ("hot", "same"):
+        assert b.filter(F.col("key") == key).select("_b").distinct().count() > 4        # the hot keys are split
+    borders = border_keys(b, ["key"])
+    assert {"hot", "same"} <= {r.key for r in borders.collect()} and borders.count() <= 16
+    got = {r.id: r.s for r in prefix_sums(b, "key", ["t", "id"], {"s": "v"}, borders).collect()}
     w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = {r.id: (r.s or 0) for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
     assert got == want

@@ -1,64 +1,52 @@
-"""Order-preserving buckets for running sums and as-of lookups on skewed keys.
+"""Ranges in key order for running sums and as-of lookups on skewed keys.
 
 A running sum per key needs the key's rows in order.  A window over the key
-alone puts a key with a third of all rows into one task, so rows are cut into
-contiguous (key, bucket) ranges that are processed in parallel, and only the
-small per-bucket totals are carried along the key.  Fixed time buckets do not
-bound the rows of a bucket (a hot key on one busy day is still one bucket), so
-heavy keys get data-driven cut points instead:
-
-* rows per key are counted (a partial aggregate);
-* only keys above ``target_rows`` -- few by construction -- get approximate
-  quantiles of the order time (``percentile_approx``), i.e. up to ``cuts``
-  cut points;
-* a row's bucket is the number of its key's cut points at or before its time,
-  which never decreases along the order, so buckets are contiguous ranges.
-
-Light keys keep a single bucket.  Rows with one identical time stay together.
+alone puts a key with a third of all rows into one task, so rows are dealt by
+range over (key, order): a key with many rows spans several ranges, whatever
+the times of its rows, as the order ends with an id.  Inside a range a window
+does the work; what goes over from one range to the next concerns only the
+keys that stand on a border, at most one per border.
+
+The same way is taken at every size.  The dealt rows are checkpointed, so the
+number of a row's range is fixed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tillpoint.session import checkpoint_dir
 
-def _micros(time_col: str):
-    return F.unix_micros(F.col(time_col).cast("timestamp"))
 
+def in_ranges(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None, name: str = "_b") -> DataFrame:
+    """``df`` with the number of its range as a LONG column, which never falls along (keys, order)."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *keys, *order).withColumn(name, F.spark_partition_id().cast("long")).checkpoint()
 
-def bucket_bounds(df: DataFrame, keys: list[str], time_col: str, target_rows: int = 1_000_000,
-                  cuts: int = 1024) -> DataFrame | None:
-    """(keys..., _cuts): approximate quantile cut points of the heavy keys only.
 
-    Returns None when no key is heavy (checked with one small job on the
-    partially aggregated counts), so callers can keep one bucket per key
-    and skip the bucket machinery altogether.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    heavy = counts.filter(F.col("_n") > target_rows).select(*keys)
-    if heavy.isEmpty():
-        return None
-    probs = ", ".join(f"{i / cuts!r}D" for i in range(1, cuts))
-    # one SQL expression: a Python list would become one JVM call per probability
-    quantiles = F.expr(f"percentile_approx(_m, array({probs}), {10 * cuts})")
-    return (df.join(heavy, keys, "left_semi").withColumn("_m", _micros(time_col))
-            .groupBy(*keys).agg(quantiles.alias("_cuts")))
+def border_keys(dealt: DataFrame, keys: list[str], name: str = "_b") -> DataFrame:
+    """The keys that stand in more than one range: at most one row per range."""
+    key = F.struct(*keys)
+    ends = dealt.groupBy(name).agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    both = ends.select(name, F.col("lo").alias("k")).unionByName(ends.select(name, F.col("hi").alias("k")))
+    return (both.groupBy("k").agg(F.min(name).alias("a"), F.max(name).alias("z")).filter("a < z").select("k.*").checkpoint())
 
 
-def assign_buckets(df: DataFrame, bounds: DataFrame | None, keys: list[str], time_col: str,
-                   name: str = "_b") -> DataFrame:
-    """Bucket number = cut points at or before the row's time (0 for light keys)."""
-    if bounds is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    t = _micros(time_col)
-    out = df.join(bounds, keys, "left")
-    bucket = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_cuts"), lambda c: c <= t)))
-    return out.withColumn(name, bucket.cast("long")).drop("_cuts")
+def of_borders(dealt: DataFrame, borders: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of the keys on borders; ``borders`` has at most one row per range, so it is broadcast."""
+    b = borders.select(*[F.col(k).alias(f"_border_{k}") for k in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_border_{k}"))
+    return dealt.join(F.broadcast(b), on, "left_semi")
 
 
-def adaptive_buckets(df: DataFrame, key: str, time_col: str, target_rows: int = 1_000_000,
-                     cuts: int = 1024, name: str = "_b") -> tuple[DataFrame, bool]:
-    """(``df`` plus a LONG bucket column ``name`` ordered like ``time_col`` within each key,
-    whether any key was split).  Unsplit means every key has at most ``target_rows`` rows."""
-    bounds = bucket_bounds(df.select(key, time_col), [key], time_col, target_rows, cuts)
-    return assign_buckets(df, bounds, [key], time_col, name), bounds is not None
+def with_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` left joined with what each (keys) has carried in: at most two rows per range, so it is broadcast."""
+    c = carry.select(*[F.col(k).alias(f"_carry_{k}") for k in keys], *[x for x in carry.columns if x not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_carry_{k}"))
+    return rows.join(F.broadcast(c), on, "left").drop(*[f"_carry_{k}" for k in keys])

@@ -14,11 +14,10 @@ B4 fixed), without a sequential loop over carts:
   An open cart whose lines all fit under *upper* is accepted; one with a line
   that fails under *lower* is refused.  The earliest open cart always gets
   decided, usually thousands do; the loop ends when none is open;
-* running sums per product are computed on (product, bucket) so a hot
-  product is spread over many tasks: buckets are contiguous time ranges cut
-  at approximate quantiles for products with many lines
-  (``functions.ordering.adaptive_buckets``); per-bucket totals (small) carry
-  into the bucket, a window inside the bucket adds the rest;
+* running sums per product are computed on (product, range) so a hot
+  product is spread over many tasks: lines are dealt by range over (product,
+  time, cart) once (``functions.ordering``); the totals of the products on
+  borders carry into the range, a window inside the range adds the rest;
 * the cart state is checkpointed each round (``spark.checkpoint.dir``), so
   lineage stays short and a lost executor recomputes one round at most.
 
@@ -33,7 +32,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillpoint.functions.money import MONEY_SUM, money_out
-from tillpoint.functions.ordering import adaptive_buckets
+from tillpoint.functions.ordering import border_keys, in_ranges, of_borders, with_carry
 from tillpoint.session import checkpoint_dir
 
 # Reference response codes and messages.
@@ -55,31 +54,25 @@ class CheckoutResult:
 
 
 
-def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str],
-                bucket: str | None) -> DataFrame:
-    """Exclusive running sums of ``values`` per ``key`` in ``order``, skew-safe via ``bucket``.
+def prefix_sums(df: DataFrame, key: str, order: list[str], values: dict[str, str], borders: DataFrame) -> DataFrame:
+    """Exclusive running sums of ``values`` per ``key`` in ``order``.
 
-    ``order`` must start with the column that ``bucket`` coarsens, so bucket
-    order agrees with row order.  The rows are shuffled once, on (key,
-    bucket), for the in-bucket window; bucket totals are partially
-    aggregated before their shuffle, carried forward per key on that small
-    table and joined back.
+    ``df`` is dealt by range (column ``_b``); ``borders`` are the keys that stand in several ranges.  The rows are
+    shuffled once, on (key, range), for the window inside the range; the totals that are carried from range to range
+    are those of the few keys on borders.
     """
-    if bucket is None:      # no key above the bucket threshold: one window per key is bounded
-        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(*df.columns, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(o) for o, v in values.items()])
-    w_in = Window.partitionBy(key, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    inside = df.select("*", *[F.sum(v).over(w_in).alias(f"_in_{o}") for o, v in values.items()])
-    totals = df.groupBy(key, bucket).agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    w_b = Window.partitionBy(key).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(key, bucket, *[F.sum(f"_t_{o}").over(w_b).alias(f"_c_{o}") for o in values])
-    out = inside.join(carry, [key, bucket], "left")
+    inside = Window.partitionBy(key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.select("*", *[F.sum(v).over(inside).alias(f"_in_{o}") for o, v in values.items()])
+    totals = of_borders(df, borders, [key]).groupBy(key, "_b").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(key, "_b", *[F.sum(f"_t_{o}").over(before).alias(f"_c_{o}") for o in values])
+    out = with_carry(sums, carry, [key, "_b"])
     return out.select(*df.columns, *[(F.coalesce(F.col(f"_c_{o}"), F.lit(0)) + F.coalesce(F.col(f"_in_{o}"), F.lit(0)))
                                      .alias(o) for o in values])
 
 
 def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users: DataFrame | None = None,
-             web: bool = False, bucket_rows: int = 1_000_000) -> CheckoutResult:
+             web: bool = False, ranges: int | None = None) -> CheckoutResult:
     """Decide a table of checkout requests against product stock.
 
     requests: cart_id, requested_at, status, payment_status, payment_method[, email]
@@ -118,11 +111,10 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
                 .join(bad_carts, "cart_id", "left_anti"))
 
     # -- lines: one per (cart, product); a line above the whole stock can never fit
-    lines, split = adaptive_buckets(it.join(eligible, "cart_id", "inner")
-                                    .groupBy("cart_id", "requested_at", "product_id")
-                                    .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
-                                    "product_id", "requested_at", bucket_rows)
-    lines = lines.checkpoint()
+    lines = in_ranges(it.join(eligible, "cart_id", "inner").groupBy("cart_id", "requested_at", "product_id")
+                      .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
+                      ["product_id"], ["requested_at", "cart_id"], ranges)
+    borders = border_keys(lines, ["product_id"])
     never = lines.filter(F.col("q") > F.col("s")).select("cart_id").distinct()
     # the working set carries each line's cart status; refused carts leave it for good.
     # Each round only the products that still have an open cart are recomputed.
@@ -139,8 +131,7 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
         live = act.filter(F.col("st") == "open").select("product_id").distinct()
         work = (act.join(live, "product_id", "left_semi")
                 .withColumn("w_lo", F.when(F.col("st") == "acc", F.col("q")).otherwise(F.lit(0))))
-        pre_sums = prefix_sums(work, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"},
-                               "_b" if split else None)
+        pre_sums = prefix_sums(work, "product_id", ["requested_at", "cart_id"], {"U": "q", "L": "w_lo"}, borders)
         dec = (pre_sums.filter(F.col("st") == "open").groupBy("cart_id")
                .agg(F.bool_and((F.col("U") + F.col("q")) <= F.col("s")).alias("all_fit"),
                     F.bool_or((F.col("L") + F.col("q")) > F.col("s")).alias("any_fail"))
@@ -163,10 +154,9 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
              .unionByName(probe.select("product_id", "requested_at", "cart_id").distinct()
                           .join(acc_lines.select("product_id", "cart_id"), ["product_id", "cart_id"], "left_anti")
                           .withColumn("_w", F.lit(0).cast("long"))))
-    marks, split_m = adaptive_buckets(marks, "product_id", "requested_at", bucket_rows)
+    marks = in_ranges(marks, ["product_id"], ["requested_at", "cart_id"], ranges)
     before = prefix_sums(marks, "product_id", ["requested_at", "cart_id"], {"_before": "_w"},
-                         "_b" if split_m else None) \
-        .select("product_id", "cart_id", "_before")
+                         border_keys(marks, ["product_id"])).select("product_id", "cart_id", "_before")
     w_item = Window.partitionBy("cart_id", "product_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     chk = (probe.join(before, ["product_id", "cart_id"], "left")
            .withColumn("_cum", F.sum("quantity").over(w_item))

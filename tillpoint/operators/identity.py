@@ -58,7 +58,7 @@ def upsert_latest(current: DataFrame, incoming: DataFrame, key: str, order_cols:
 
 
 def verification_outcome(issues: DataFrame, attempts: DataFrame, lifetime: dt.timedelta | None = None,
-                         bucket_rows: int = 1_000_000) -> DataFrame:
+                         ranges: int | None = None) -> DataFrame:
     """Outcome of every code attempt, evaluated as the reference does sequentially.
 
     issues:   (email, issue_id, code, created_at[, expires_at])
@@ -73,7 +73,7 @@ def verification_outcome(issues: DataFrame, attempts: DataFrame, lifetime: dt.ti
             F.lit(life.days), F.lit(0), F.lit(0), F.lit(life.seconds)))
     g = asof_join(attempts, issues.withColumnRenamed("code", "issued_code"), ["email"], "attempted_at",
                   "created_at", ["issue_id", "issued_code", "expires_at"], ["issue_id"],
-                  bucket_rows=bucket_rows, name="issue")
+                  ranges=ranges, name="issue")
     g = g.select("*", F.col("issue.issue_id").alias("issue_id"), F.col("issue.issued_code").alias("issued_code"),
                  F.col("issue.expires_at").alias("expires_at")).drop("issue")
     expired = F.col("attempted_at") > F.col("expires_at")
@@ -100,7 +100,7 @@ def verified_at(outcomes: DataFrame) -> DataFrame:
 
 
 def account_gate(requests: DataFrame, issues: DataFrame, outcomes: DataFrame, taken: DataFrame,
-                 phone_verified: Column | None = None, bucket_rows: int = 1_000_000) -> DataFrame:
+                 phone_verified: Column | None = None, ranges: int | None = None) -> DataFrame:
     """Decide account-creation requests (request_id, email, requested_at).
 
     Order of checks as in the reference: e-mail already registered -> 409;
@@ -111,7 +111,7 @@ def account_gate(requests: DataFrame, issues: DataFrame, outcomes: DataFrame, ta
     """
     ver = verified_at(outcomes)
     g = asof_join(requests, issues, ["email"], "requested_at", "created_at", ["issue_id"], ["issue_id"],
-                  bucket_rows=bucket_rows, name="issue")
+                  ranges=ranges, name="issue")
     g = g.withColumn("issue_id", F.col("issue.issue_id")).drop("issue")
     g = g.join(ver, ["email", "issue_id"], "left")
     used = taken.select("email").distinct().withColumn("_taken", F.lit(True))
