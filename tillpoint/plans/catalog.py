@@ -24,6 +24,7 @@ from tillpoint.plans.checkout_catalog import CHECKOUT_QUERIES
 from tillpoint.plans.mutations_catalog import MUTATION_QUERIES
 from tillpoint.plans.sequential_catalog import SEQUENTIAL_QUERIES
 from tillpoint.plans.sequential_oracle import sequential_sql
+from tillpoint.plans.checkout_oracle import checkout_sql
 from tillpoint.plans.streaming_catalog import STREAMING_QUERIES
 from tillpoint.plans.extras_catalog import EXTRA_QUERIES
 
@@ -100,6 +101,7 @@ def oracle_sql() -> dict[str, str]:
     o.update(O.audit_sql())
     o.update(O.mutation_sql())
     o.update(sequential_sql())
+    o.update(checkout_sql())
     o.update(O.streaming_sql())
     o.update(O.extras_sql())
     return o

@@ -1,5 +1,4 @@
-"""Registered checkout queries (M1-M3).  No SQL oracle: the sequential
-allocation is checked against a one-cart-at-a-time replay in tests."""
+"""Registered checkout queries (M1-M3); the SQL is a fold over all carts in order (``checkout_oracle``)."""
 
 from __future__ import annotations
 
