@@ -124,3 +124,12 @@ def test_range_prefix_sums_match_plain_window(spark):
     w = Window.partitionBy("key").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = {r.id: (r.s or 0) for r in df.select("id", F.sum("v").over(w).alias("s")).collect()}
     assert got == want
+
+
+def test_name_uuid_is_version_5(spark):
+    import uuid
+    from tillpoint.functions.ids import NAMESPACE, name_uuid
+    rows = spark.createDataFrame([(i, f"é{i}") for i in range(300)] + [(None, None)], "a long, b string")
+    for r in rows.select("a", "b", name_uuid("t", F.col("a"), F.col("b")).alias("id")).collect():
+        name = f"t/{'' if r.a is None else r.a}/{r.b or ''}"
+        assert r.id == str(uuid.uuid5(NAMESPACE, name))

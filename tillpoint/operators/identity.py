@@ -16,6 +16,8 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tillpoint.functions.ids import name_uuid
+from tillpoint.functions.money import apply_defaults
 from tillpoint.functions.timefn import ntz, parse_ts
 from tillpoint.operators.asof import asof_join
 
@@ -33,6 +35,13 @@ def ttl_purge(issues: DataFrame, as_of, lifetime: dt.timedelta = DEFAULT_LIFETIM
     return issues.filter(F.col(created_col) >= ntz(parse_ts(as_of) - lifetime))
 
 
+def verification_rows(issues: DataFrame) -> DataFrame:
+    """Rows of users_verification for issued codes: a retry-stable id (F19), flags by their column defaults."""
+    rows = issues.select(name_uuid("users_verification", F.col("issue_id")).alias("id"), "email",
+                         F.col("code").alias("email_otp"), "created_at", "expires_at")
+    return apply_defaults(rows, {"is_email_verified": False, "is_phone_verified": False})
+
+
 def keep_latest(df: DataFrame, key: str, order_cols: list[str]) -> DataFrame:
     """The newest row per key by ``order_cols`` (a partially aggregated max_by)."""
     cols = [c for c in df.columns if c != key]

@@ -21,6 +21,12 @@ def q_verification_outcome(spark, sf_dir):
     return _outcomes(spark, sf_dir)
 
 
+def q_verification_rows(spark, sf_dir):
+    """The verification row written for every issued code."""
+    ensure_session_defaults(spark)
+    return I.verification_rows(B.code_issues(spark, sf_dir))
+
+
 def q_ttl_purge(spark, sf_dir):
     """Codes the purge trigger keeps at as_of with the binding's one-day lifetime."""
     ensure_session_defaults(spark)
@@ -46,6 +52,7 @@ def q_account_gate(spark, sf_dir):
 
 IDENTITY_QUERIES = {
     "verification_outcome": q_verification_outcome,
+    "verification_rows": q_verification_rows,
     "ttl_purge": q_ttl_purge,
     "upsert_latest": q_upsert_latest,
     "account_gate": q_account_gate,
