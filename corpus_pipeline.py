@@ -76,7 +76,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminated),
           ("secrets", without_secrets), ("tokens", tokens)]
 
-# Language identification and byte-pair merges are no SQL; tests compare run() with a plain version.
+# Language identification and byte-pair merges are no SQL.  The operators of the stages have tests; run() as a whole has none yet.
 ORACLE_SQL = None
 
 
