@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillpoint.llm.spans import match_spans
+from tillpoint.llm.spans import bound, fold, match_spans, slices
 
 SPAN = "array<struct<start: int, kind: string, end: int>>"
 
@@ -121,13 +121,22 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: list[Rule] | None =
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
     """The text with every span replaced by a mark; overlapping spans share one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    # where the kept text in front of each mark lies; a span that begins inside the one before it only moves the end
+    place = "array<struct<a: int, b: int>>"
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        kept = F.concat(s["out"], F.substring(text, s["at"] + 1, F.greatest(x["start"] - s["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, kept).otherwise(s["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        cut = F.array(F.struct(at.alias("a"), x["start"].alias("b")))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, cut).otherwise(F.expr(f"cast(array() as {place})"))
 
-    done = F.aggregate(F.array_sort(spans), begin, step,
-                       lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    spans_ = F.array_sort(spans)
+    ends = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    # the pieces of a slice are cut from the text between its first and its last one, not from the whole text
+    def pieces(some: Column) -> Column:
+        first = F.element_at(some, 1)["a"]
+        block = F.substring(text, first + 1, F.element_at(some, -1)["b"] - first)
+        return bound(F.struct(first.alias("first"), block.alias("block")), lambda k: F.array_join(F.transform(
+            some, lambda p: F.concat(F.substring(k["block"], p["a"] - k["first"] + 1, p["b"] - p["a"]), F.lit(mark))), ""))
+
+    head = F.array_join(F.transform(slices(fold(spans_, F.expr(f"cast(array() as {place})"), step), 512), pieces), "")
+    return F.when(F.size(spans) > 0, F.concat(head, F.substring(text, ends + 1, F.length(text)))).otherwise(text)
