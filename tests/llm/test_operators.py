@@ -189,6 +189,18 @@ def test_bpe_spreads_blocks_of_the_same_copies(spark):
     assert len({r["task"] for r in got}) > 1
 
 
+def test_bpe_of_rows_that_change_places(spark):
+    """Rows in another order, and in other partitions, whenever they are read."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    rows = (spark.range(0, 600, 1, 4).selectExpr("id as doc_id", "if(id % 50 = 0, null, concat('w', id, repeat(' x', id % 9))) as text")
+            .repartition(5, F.rand()).orderBy(F.rand()))
+    plain = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.encode(rows, ranks, public_tokenizers.PATTERN, block_chars=200, part_chars=300).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {
+        i: plain.encode_ordinary("" if i % 50 == 0 else f"w{i}" + " x" * (i % 9)) for i in range(600)}
+    assert len(got) == 600
+
+
 def test_jaccard_components(spark, docs):
     base = [f"w{i}" for i in range(60)]
     near = [(2 * 10**6 + i, " ".join(base[:i] + [f"x{i}"] + base[i + 1:])) for i in range(0, 60, 4)]

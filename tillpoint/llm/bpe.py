@@ -3,12 +3,14 @@
 Encoding merges bytes inside one pre-token at a time, so a pre-token has the
 same ids wherever it stands.  Documents are read in blocks:
 
-1. each block lists its distinct pre-tokens, most frequent first; they are
-   dealt by a hash of the word into parts, packed one row per block and part,
-   so all uses of a word in the corpus meet in one task, which encodes it once
-   and hands the ids to each block;
-2. each block sends the order of its words, packed, to the same place as its
-   words' ids, where the ids are put together by position.
+1. each block is split into pre-tokens once; it lists its distinct ones, most
+   frequent first, and packs the order they stand in, with the lengths and the
+   columns of its documents, into a file of its task in the shared folder;
+2. the distinct words are dealt by a hash of the word into parts, packed one
+   row per block and part, so all uses of a word in the corpus meet in one
+   task, which encodes it once and hands the ids to each block;
+3. the ids of a block's words meet in one task, which reads the order back
+   from the file and puts the ids together by position.
 
 A word is sent once per block that holds it, so the most frequent word of all
 is no more than one entry per block.  The parts grow in number with the
@@ -16,11 +18,12 @@ corpus, so that a part has about ``part_chars`` characters of text behind it.
 A block's words fit in memory (``block_chars`` characters, or one document if
 that is longer).
 
-The two reads of a block must see the same documents in the same places; a
-block's name is a digest of its texts, its partition and its place in it, so
-blocks of the same copies have names of their own and a hot group of copies is
-spread over the tasks.  Words that are missing when a block is put together
-raise an error.
+A block goes by the place of its order, a file that no other task has written
+and the bytes in it, so blocks of the same copies have names of their own and
+a hot group of copies is spread over the tasks.  Texts are read once: input
+whose rows come in another order when a task runs again is no harm, the new
+task has a new file.  The shared folder must be mounted on all workers
+(``mount`` maps its URI to a local path if it isn't one).
 
 Pre-tokens: the pattern is applied to distinct chunks only.  A chunk is a run
 of spaces and line ends with the run of other characters behind it; no match
@@ -39,9 +42,9 @@ if named in ``carry``.  An id that is not in the vocabulary raises an error.
 from __future__ import annotations
 
 import base64
-import hashlib
-import itertools
+import os
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -51,12 +54,11 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tillpoint.llm.common import ddl, map_batches, pick, record_batch, texts
+from tillpoint.llm.common import ddl, local_path, map_batches, pick, record_batch, shared_folder, texts
 
 CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 # White space other than the space and the line end.
@@ -159,12 +161,8 @@ def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel(), raw[8 + 4 * n:]
 
 
-def blocks_of(batch: pa.RecordBatch, block_chars: int, nth: Iterator[int]):
-    """(first row, texts, name) of the blocks of a batch; one block's texts are held at a time.
-
-    ``nth`` counts the blocks of the partition.
-    """
-    partition = TaskContext.get().partitionId()
+def blocks_of(batch: pa.RecordBatch, block_chars: int) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of the blocks of a batch; one block's texts are held at a time."""
     sizes = pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()
     at = 0
     while at < len(sizes):
@@ -172,35 +170,71 @@ def blocks_of(batch: pa.RecordBatch, block_chars: int, nth: Iterator[int]):
         while end < len(sizes) and (end == at or size + sizes[end] <= block_chars):
             size += sizes[end]
             end += 1
-        docs = texts(batch.slice(at, end - at))
-        digest = hashlib.blake2b(f"{partition},{next(nth)},".encode(), digest_size=8)
-        for t in docs:
-            digest.update(len(t).to_bytes(8, "little") + t.encode("utf-8", "surrogatepass"))
-        yield at, docs, int.from_bytes(digest.digest(), "little", signed=True)
+        yield at, texts(batch.slice(at, end - at))
         at = end
 
 
+class OrderFile:
+    """What a task keeps of its blocks for the time after the shuffle of words: one file in the shared folder."""
+
+    def __init__(self, folder: str):
+        os.makedirs(folder, exist_ok=True)
+        self.name = uuid.uuid4().hex
+        self.file = open(f"{folder}/{self.name}", "xb")
+
+    def add(self, order: np.ndarray, parts: np.ndarray, docs: pa.RecordBatch) -> str:
+        """Name of a block: file, first byte and number of bytes."""
+        table = pa.BufferOutputStream()
+        with pa.ipc.new_stream(table, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+            to.write_batch(docs)
+        blobs = [pack(order), pack(parts), table.getvalue().to_pybytes()]
+        head = b"".join(len(b).to_bytes(8, "little") for b in blobs)
+        begin = self.file.tell()
+        self.file.write(head + b"".join(blobs))
+        self.file.flush()               # the block's rows leave the task after this
+        return f"{self.name}:{begin}:{self.file.tell() - begin}"
+
+
+def kept_order(folder: str, block: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """Order, parts and documents of a block that a task has kept."""
+    name, begin, size = block.split(":")
+    with open(f"{folder}/{name}", "rb") as f:
+        f.seek(int(begin))
+        data = f.read(int(size))
+    ends = 24 + np.cumsum(np.frombuffer(data, "<u8", 3).astype(np.int64))
+    order, parts, docs = (data[a:b] for a, b in zip([24, *ends], ends))
+    return unpack(order)[0], unpack(parts)[0], pa.ipc.open_stream(docs).read_all()
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           carry: list[str] = (), block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS) -> DataFrame:
+           carry: list[str] = (), block_chars: int = BLOCK_CHARS, part_chars: int = PART_CHARS,
+           mount: dict[str, str] | None = None) -> DataFrame:
     """(id, ids array<int>) and the ``carry`` columns."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = pick(docs, **{"id": id_col, "text": text_col} | {f"c_{i}": c for i, c in enumerate(carry)})
     kept = [c for c in rows.columns if c != "text"]
     types = dict(rows.dtypes)
+    folder = local_path(shared_folder(docs.sparkSession, "word-order"), mount)
     parts = max(1, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // part_chars)
+    tasks = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def list_words():
-        compiled, nth = regex.compile(pattern), itertools.count()
+        compiled, file = regex.compile(pattern), OrderFile(folder)
 
         def work(batch):
-            for _, own, name in blocks_of(batch, block_chars, nth):
+            for at, own in blocks_of(batch, block_chars):
                 block = Block(own, compiled)
                 part = block.parts(parts)
+                docs_of = pa.RecordBatch.from_arrays(
+                    [pa.array(block.lengths, pa.int64()), *[batch.column(c).slice(at, len(own)) for c in kept]],
+                    names=["lengths", *kept])
+                name = file.add(block.order, part, docs_of)
                 order = np.argsort(part, kind="stable")
-                for p, at in zip(*np.unique(part[order], return_index=True)):
-                    some = [block.words[i] for i in order[at:np.searchsorted(part[order], p, side="right")]]
+                # a block without any word is sent as well, for its documents
+                for p, begin in zip(*np.unique(part[order], return_index=True)) if len(order) else [(0, 0)]:
+                    some = [block.words[i] for i in order[begin:np.searchsorted(part[order], p, side="right")]]
                     yield {"part": [p], "block": [name],
-                           "words": [pack(np.array([len(w) for w in some]), b"".join(some))]}
+                           "words": [pack(np.array([len(w) for w in some], np.uint32), b"".join(some))]}
         return work
 
     def encode_part(table: pa.Table) -> pa.Table:
@@ -222,26 +256,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                             len(got).to_bytes(8, "little")))
         return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary())})
 
-    def list_order():
-        compiled, nth = regex.compile(pattern), itertools.count()
-
-        def work(batch):
-            for at, own, name in blocks_of(batch, block_chars, nth):
-                block = Block(own, compiled)
-                yield {"block": [name], "order": [pack(block.order)], "parts": [pack(block.parts(parts))],
-                       "lengths": [block.lengths]} | {
-                    c: pa.array([batch.column(c).slice(at, len(own)).to_pylist()],
-                                type=pa.list_(batch.schema.field(c).type)) for c in kept}
-        return work
-
-    word_ids = (map_batches(rows, list_words, "part int, block long, words binary").groupBy("part")
-                .applyInArrow(encode_part, "block long, part int, ids binary"))
-    orders = map_batches(rows, list_order, "block long, order binary, parts binary, lengths array<long>, "
-                         + ", ".join(f"{c} array<{types[c]}>" for c in kept))
+    # as many tasks as parts or more: they grow with the corpus, so that no task takes more than some parts or blocks
+    word_ids = (map_batches(rows, list_words, "part int, block string, words binary").repartition(tasks, "part")
+                .groupBy("part").applyInArrow(encode_part, "block string, part int, ids binary"))
     out_schema = ", ".join(f"{c} {types[c]}" for c in kept) + ", ids array<int>"
     out_arrow = to_arrow_schema(StructType.fromDDL(out_schema))
 
-    def assemble(order_of: pa.Table, words_of: pa.Table) -> pa.Table:
+    def assemble(words_of: pa.Table) -> pa.Table:
         packed = dict(zip(words_of.column("part").to_pylist(), words_of.column("ids").to_pylist()))
         sizes, flats = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for p in sorted(packed):
@@ -250,28 +271,21 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             sizes.append(numbers[:n].astype(np.int64))
             flats.append(numbers[n:].astype(np.int32))
         listed, flat = np.concatenate(sizes), np.concatenate(flats)
-        batches = []
-        for row in order_of.to_pylist():
-            part = unpack(row["parts"])[0]
-            if len(part) != len(listed):
-                raise ValueError("a block was read with other words than before; its input must not change between reads")
-            by = np.argsort(part, kind="stable")        # the words as the parts list them
-            size, begin = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
-            size[by], begin[by] = listed, np.cumsum(listed) - listed
-            order = unpack(row["order"])[0]
-            ends = np.concatenate(([0], np.cumsum(size[order])))
-            lengths = np.array(row["lengths"], np.int64)
-            at = np.concatenate(([0], np.cumsum(lengths)))
-            tokens = np.empty(int(ends[-1]), np.int32)
-            for a in range(0, len(order), DECODE_IDS):
-                o = order[a:a + DECODE_IDS]
-                lo, hi = int(ends[a]), int(ends[a + len(o)])
-                tokens[lo:hi] = flat[np.repeat(begin[o] - ends[a:a + len(o)] + lo, size[o]) + np.arange(hi - lo)]
-            batches.append(record_batch({c: row[c] for c in kept} | {
-                "ids": pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(tokens))}, out_arrow))
-        return pa.Table.from_batches(batches, schema=out_arrow)
-
-    out = orders.groupBy("block").cogroup(word_ids.groupBy("block")).applyInArrow(assemble, out_schema)
+        order, part, docs_of = kept_order(folder, words_of.column("block")[0].as_py())
+        by = np.argsort(part, kind="stable")        # the words as the parts list them
+        size, begin = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+        size[by], begin[by] = listed, np.cumsum(listed) - listed
+        ends = np.concatenate(([0], np.cumsum(size[order])))
+        at = np.concatenate(([0], np.cumsum(docs_of.column("lengths").to_numpy())))
+        tokens = np.empty(int(ends[-1]), np.int32)
+        for a in range(0, len(order), DECODE_IDS):
+            o = order[a:a + DECODE_IDS]
+            lo, hi = int(ends[a]), int(ends[a + len(o)])
+            tokens[lo:hi] = flat[np.repeat(begin[o] - ends[a:a + len(o)] + lo, size[o]) + np.arange(hi - lo)]
+        return pa.Table.from_batches([record_batch({c: docs_of.column(c) for c in kept} | {
+            "ids": pa.ListArray.from_arrays(pa.array(ends[at].astype(np.int32)), pa.array(tokens))}, out_arrow)])
+
+    out = word_ids.repartition(tasks, "block").groupBy("block").applyInArrow(assemble, out_schema)
     return out.selectExpr(f"id `{id_col}`", "ids", *[f"c_{i} `{c}`" for i, c in enumerate(carry)])
 
 

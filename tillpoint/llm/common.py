@@ -35,6 +35,18 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def local_path(folder: str, mount: dict[str, str] | None) -> str:
+    """The folder as the workers' file path; ``mount`` maps a URI to the path where it is mounted."""
+    for uri, path in (mount or {}).items():
+        if folder.startswith(uri):
+            return path + folder[len(uri):]
+    if folder.startswith("file:"):
+        return "/" + folder[5:].lstrip("/")
+    if "://" in folder:
+        raise ValueError(f"{folder} is no file path: give its mount point on the workers as mount={{uri: path}}")
+    return folder
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a table written once to the shared folder: lineage is cut, a lost executor costs nothing."""
     spark = df.sparkSession

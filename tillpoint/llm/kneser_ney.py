@@ -50,7 +50,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tillpoint.llm.common import encoded, map_batches, pick, shared_folder, texts
+from tillpoint.llm.common import encoded, local_path, map_batches, pick, shared_folder, texts
 
 END_TOKEN, START_TOKEN = b" end", b" start"        # no word holds a space
 RANGE_TOKENS = 4_000_000
@@ -124,17 +124,6 @@ def cut(h: np.ndarray, ranges: int) -> list[tuple[int, slice]]:
     return [(int(r[a]), slice(a, b)) for a, b in zip(at, np.append(at[1:], len(r)))]
 
 
-def local_path(folder: str, mount: dict[str, str] | None) -> str:
-    for uri, path in (mount or {}).items():
-        if folder.startswith(uri):
-            return path + folder[len(uri):]
-    if folder.startswith("file:"):
-        return "/" + folder[5:].lstrip("/")
-    if "://" in folder:
-        raise ValueError(f"{folder} is no file path: give its mount point on the workers as mount={{uri: path}}")
-    return folder
-
-
 def save(folder: str, name: str, array: np.ndarray) -> None:
     os.makedirs(folder, exist_ok=True)
     draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
