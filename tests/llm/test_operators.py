@@ -381,3 +381,26 @@ def test_many_matches_in_one_text(spark):
             assert r.clean == "".join(kept) + text[at:]
         seen += 1
     assert seen == len(made)
+
+
+def test_labels_of_components_over_rounds(spark):
+    """Links that come in rounds give the components of all links; some are inside one component already."""
+    rng = np.random.default_rng(5)
+    n, rounds = 60, [rng.integers(0, 60, (m, 2)) for m in (9, 14, 1, 20)]
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    labels = None
+    for some in rounds:
+        some = [(int(a), int(b)) for a, b in some if a != b]
+        for a, b in some:
+            a, b = sorted((top(a), top(b)))
+            up[b] = a
+        links = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in some], "a binary, b binary")
+        labels = jaccard_join._merged(labels, links)
+    got = {bytes(r["print"])[0]: bytes(r["comp"])[0] for r in labels.collect()}
+    linked = {int(x) for some in rounds for a, b in some if a != b for x in (a, b)}
+    assert got == {x: top(x) for x in linked}

@@ -27,10 +27,12 @@ Signatures that only one set has are dropped at once; copies of one set share
 one key, so that they don't make a signature shared.  In a bucket of equal
 signatures not all pairs are emitted: a few hubs per bucket are verified
 against the other members, linked sets are joined into components, and only
-members of different components are compared in the next round, with sixteen
+members of different components are compared in the next round, with 64
 times as many hubs; a bucket ends when its members are in one component or
 all have been hubs.  Every pair of a bucket is thus verified or already in one
-component, and components are exact.
+component, and components are exact.  The labels of components are kept from
+round to round: only the links of a round are merged, between the components
+as they were.
 
 Two steps decide a pair.  The parities of a set's elements in 512 hash classes
 differ in no more classes than two sets differ in elements, so a pair whose
@@ -67,7 +69,7 @@ from tillpoint.llm.components import components
 
 BAND = 1.4              # the sizes of a band differ by this factor at most
 SPARES = (0.12, 0.25)       # units beyond h + 1, as a share of them
-HUB_GROWTH = 16
+HUB_GROWTH = 64
 FILTER_WORDS = 1 << 18  # 64 bits each, for the ids whose texts are verified
 BAND_BITS = 6           # a signature's low bits: its band, then whether it may be dropped
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
@@ -265,11 +267,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     drops = (signed.filter(F.size("drops") > 0).select(F.xxhash64("print").alias("key"), F.inline("drops"))
              .groupBy("key", "band").agg(F.min("left").alias("left")))
     live = _rarer(shared, drops).withColumn("comp", F.col("key"))
-    links = _links(written(_unsettled(live), "buckets"), rows, classes, shingle, num, den)
-    if links is None:
+    comps = _linked(written(_unsettled(live), "buckets"), rows, classes, shingle, num, den)
+    if comps is None:
         labels = classes.select("print", F.col("rep").alias("low"))
     else:
-        comps = components(links).withColumnRenamed("node", "print")
         tagged = classes.join(comps, "print", "left").withColumn("comp", F.coalesce("comp", "print"))
         lows = tagged.groupBy("comp").agg(F.min("rep").alias("low"))
         labels = tagged.join(lows, "comp").select("print", "low")
@@ -295,10 +296,10 @@ def _may_link(num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
 
 
-def _links(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
-    """Verified links (a, b) of set prints that connect all sets that a chain of similar pairs connects."""
+def _linked(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
+    """(print, comp) of all set prints that have a link; comp is the smallest print that chains of links reach."""
     facts = classes.drop("rep")
-    links, tested, hubs = None, None, 1
+    labels, tested, hubs = None, None, 1
     while not live.isEmpty():
         salted = live.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(hubs)))
         hub = (salted.groupBy("sig", "salt").agg(F.min("key").alias("key"), F.min_by("comp", "key").alias("comp"))
@@ -311,18 +312,32 @@ def _links(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, n
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        checked = written(verified(pairs, rows, classes, shingle, num, den), "checked")
-        new = checked.filter("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
         rest = live.join(hub.select("sig", "key"), ["sig", "key"], "left_anti")
-        if not new.isEmpty():
-            comps = (components(links).join(classes, F.col("node") == F.col("print"))
-                     .groupBy("key").agg(F.min(F.xxhash64("comp")).alias("now")))
-            rest = rest.join(comps, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
+        # where no pair is left to verify, the hubs are done with and nothing else changes
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            new = written(verified(pairs, rows, classes, shingle, num, den).filter("linked").select("a", "b"), "links")
+            if not new.isEmpty():
+                labels = _merged(labels, new)
+                comps = labels.groupBy(F.xxhash64("print").alias("key")).agg(F.min(F.xxhash64("comp")).alias("now"))
+                rest = rest.join(comps, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
         live = written(_unsettled(rest), "buckets")
         hubs *= HUB_GROWTH
-    return links
+    return labels
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The labels (print, comp) after some more links (a, b); prints without a label are components of their own."""
+    if labels is None:
+        return components(links).select(F.col("node").alias("print"), "comp")
+    for end in ("a", "b"):
+        of = labels.select(F.col("print").alias(end), F.col("comp").alias("to"))
+        links = links.join(of, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    # the smallest print names a component, so the smallest name of merged ones is the smallest print of all
+    moved = components(links.distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
+    fresh = moved.join(labels.select(F.col("print").alias("comp")), "comp", "left_anti")
+    return written(labels.join(moved, "comp", "left").select("print", F.coalesce("now", "comp").alias("comp"))
+                   .unionByName(fresh.select(F.col("comp").alias("print"), F.col("now").alias("comp"))), "components")
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
