@@ -5,7 +5,8 @@ returns the columns of ``documents``; the last one returns token ids.
 
 1. language: documents without a letter, which no language is read from, go.
 2. near_duplicates: of each component of documents whose sets of 5-word
-   shingles are 80 % alike, the one with the smallest id stays.
+   shingles are 80 % alike, the one with the smallest id stays, and of several
+   texts with that id the one with the smallest digest.
 3. decontaminate: passages of 10 or more words that a benchmark item has are
    cut out of the text.
 4. secrets: spans of secrets are replaced by a mark.
@@ -42,10 +43,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the first document of each component; documents without words are in none and stay."""
-    found = jaccard_join.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT, 100)
-    kept = (found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("kept_id")).distinct())
-    first = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
+    # an id may stand for several texts, so a document goes by both; null ids come last
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("of"),
+                   F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest"))
+    found = jaccard_join.jaccard_components(docs.select(own.alias("row"), "text"), NEAR_WORDS, NEAR_PERCENT, 100, "row")
+    kept = found.filter(F.col("row") == F.col("component_id")).select("row.*").distinct()
+    clash_free = kept.toDF("kept_no_id", "kept_id", "kept_digest")
+    mine = own.getField("digest")
+    first = docs.join(clash_free, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (mine == F.col("kept_digest")), "left_semi")
     return first.dropDuplicates(["doc_id", "text"])
 
 
