@@ -144,6 +144,18 @@ def test_top_k_with_ties_and_bad_vectors(spark):
     assert topk.top_k(df.filter("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Every row is a candidate, also where its id is there again; a repeated query asks once."""
+    rows = [(0, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (1, [1.0, 0.0]), (2, [0.25, 0.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit(7), "vec": F.lit("x")})
+    want = []
+    for q, v in ((0, [0.5, 0.5]), (50, [1.0, 1.0])):
+        best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(v, c)), i) for i, c in rows if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    got = topk.top_k(df).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(want)
+
+
 def test_license_notices_with_edits(spark, docs):
     notices = [(1, "x. Licensed under the Apache\nLicense, Version 2.0. y", "apache-2"), (2, "licenced under the apache license version 2.0", "apache-2"),
                (3, "licensed under the apache license version 1.1", ""), (4, "Licensed under CC BY-NC 4.0", "cc-by-nc"),

@@ -16,9 +16,9 @@ block at a time and broadcasts it (block_rows x dimension integers).  What
 goes through the driver per round is one row per query of the block.
 
 Defined results: components become floor(scale * x); a vector that is null or
-holds a null or non-finite component takes no part; of repeated ids the
-smallest vector counts; a shorter vector is padded with zeros; a query never
-finds its own id; fewer candidates than k give all; empty tables give no rows;
+holds a null or non-finite component takes no part; rows that repeat
+an id are candidates each, and as queries the smallest of their vectors asks
+once; a shorter vector is padded with zeros; a query never finds its own id; fewer candidates than k give all; empty tables give no rows;
 other columns are ignored.
 """
 
@@ -36,12 +36,12 @@ SLICE = 2048
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, vec array<bigint>) of the vectors that take part."""
+    """(id, vec array<bigint>) of the vectors that take part, one row for each of theirs."""
     fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x.cast("double"))
                     & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     rows = pick(vectors, id=id_col, vec=vec_col).filter(F.col("id").isNotNull() & F.col("vec").isNotNull() & fine)
     whole = F.transform("vec", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return rows.groupBy("id").agg(F.min(whole).alias("vec"))
+    return rows.select("id", whole.alias("vec"))
 
 
 def _matrix(vecs, width: int) -> np.ndarray:
@@ -143,7 +143,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     spark = vectors.sparkSession
     cands = written(integer_vectors(vectors, id_col, vec_col, scale), "vectors")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    queries = cands.filter(F.pmod("id", F.lit(every)) == 0)
+    queries = cands.filter(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("vec").alias("vec"))
     seen = cands.agg(F.max(F.sqrt(square)).alias("norm")).join(
         queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width"))).first()
     blocks = -(-(seen["n"] or 0) // block_rows)
