@@ -47,10 +47,15 @@ def local_path(folder: str, mount: dict[str, str] | None) -> str:
     return folder
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table written once to the shared folder: lineage is cut, a lost executor costs nothing."""
+def written(df: DataFrame, what: str, rows: int | None = None, task_rows: int = 100_000) -> DataFrame:
+    """``df`` as a table written once to the shared folder: lineage is cut, a lost executor costs nothing.
+
+    Where at most ``rows`` rows are known to come, no more tasks write it than one for each ``task_rows`` of them, and eight.
+    """
     spark = df.sparkSession
     path = shared_folder(spark, what)
+    if rows is not None:
+        df = df.coalesce(8 + rows // task_rows)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

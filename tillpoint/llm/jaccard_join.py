@@ -28,11 +28,11 @@ one key, so that they don't make a signature shared.  In a bucket of equal
 signatures not all pairs are emitted: a few hubs per bucket are verified
 against the other members, linked sets are joined into components, and only
 members of different components are compared in the next round, with 64
-times as many hubs; a bucket ends when its members are in one component or
-all have been hubs.  Every pair of a bucket is thus verified or already in one
-component, and components are exact.  The labels of components are kept from
-round to round: only the links of a round are merged, between the components
-as they were.
+times as many hubs; in a bucket with no more members than that all are hubs.
+A bucket ends when its members are in one component or all have been hubs.
+Every pair of a bucket is thus verified or already in one component, and
+components are exact.  The labels of components are kept from round to round:
+only the links of a round are merged, between the components as they were.
 
 Two steps decide a pair.  The parities of a set's elements in 512 hash classes
 differ in no more classes than two sets differ in elements, so a pair whose
@@ -70,6 +70,7 @@ from tillpoint.llm.components import components
 BAND = 1.4              # the sizes of a band differ by this factor at most
 SPARES = (0.12, 0.25)       # units beyond h + 1, as a share of them
 HUB_GROWTH = 64
+VERIFIED_BY_TASK = 4_000
 FILTER_WORDS = 1 << 18  # 64 bits each, for the ids whose texts are verified
 BAND_BITS = 6           # a signature's low bits: its band, then whether it may be dropped
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
@@ -299,11 +300,13 @@ def _may_link(num: int, den: int) -> Column:
 def _linked(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame | None:
     """(print, comp) of all set prints that have a link; comp is the smallest print that chains of links reach."""
     facts = classes.drop("rep")
-    labels, tested, hubs = None, None, 1
-    while not live.isEmpty():
-        salted = live.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(hubs)))
-        hub = (salted.groupBy("sig", "salt").agg(F.min("key").alias("key"), F.min_by("comp", "key").alias("comp"))
-               .drop("salt"))
+    labels, tested, hubs, known = None, None, 1, 0
+    left = live.count()
+    while left:
+        # every member of a bucket of no more members than hubs is a hub; otherwise one of each hash class is
+        salt = F.when(F.col("size") <= hubs, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(hubs)))
+        hub = (live.withColumn("salt", salt).groupBy("sig", "salt")
+               .agg(F.min("key").alias("key"), F.min_by("comp", "key").alias("comp")).drop("salt"))
         x, y = live.join(facts, "key").alias("x"), hub.join(facts, "key").alias("y")
         # sizes and parities are tested where the pair is made; no other pair is ever a row
         pairs = (x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") != F.col("y.key"))
@@ -312,22 +315,27 @@ def _linked(live: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int,
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        many = pairs.count()
         rest = live.join(hub.select("sig", "key"), ["sig", "key"], "left_anti")
         # where no pair is left to verify, the hubs are done with and nothing else changes
-        if not pairs.isEmpty():
+        if many:
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = written(verified(pairs, rows, classes, shingle, num, den).filter("linked").select("a", "b"), "links")
-            if not new.isEmpty():
-                labels = _merged(labels, new)
+            new = written(verified(pairs, many, rows, classes, shingle, num, den).filter("linked").select("a", "b"),
+                          "links", many, VERIFIED_BY_TASK)
+            fresh = new.count()
+            if fresh:
+                known += 2 * fresh
+                labels = _merged(labels, new, known)
                 comps = labels.groupBy(F.xxhash64("print").alias("key")).agg(F.min(F.xxhash64("comp")).alias("now"))
                 rest = rest.join(comps, "key", "left").withColumn("comp", F.coalesce("now", "comp")).drop("now")
-        live = written(_unsettled(rest), "buckets")
+        live = written(_unsettled(rest.select("sig", "key", "comp")), "buckets", left)
+        left = live.count()
         hubs *= HUB_GROWTH
     return labels
 
 
-def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """The labels (print, comp) after some more links (a, b); prints without a label are components of their own."""
+def _merged(labels: DataFrame | None, links: DataFrame, most: int | None = None) -> DataFrame:
+    """The labels (print, comp), ``most`` at most, after some more links (a, b); prints without one are their own."""
     if labels is None:
         return components(links).select(F.col("node").alias("print"), "comp")
     for end in ("a", "b"):
@@ -337,24 +345,28 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     moved = components(links.distinct()).select(F.col("node").alias("comp"), F.col("comp").alias("now"))
     fresh = moved.join(labels.select(F.col("print").alias("comp")), "comp", "left_anti")
     return written(labels.join(moved, "comp", "left").select("print", F.coalesce("now", "comp").alias("comp"))
-                   .unionByName(fresh.select(F.col("comp").alias("print"), F.col("now").alias("comp"))), "components")
+                   .unionByName(fresh.select(F.col("comp").alias("print"), F.col("now").alias("comp"))), "components", most)
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of the buckets that still hold two components."""
-    same = Window.partitionBy("sig")
-    return (members.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
-            .filter("lo < hi").drop("lo", "hi"))
+    """Members of the buckets that still hold two components, and the number of members of each such bucket.
+
+    The buckets are counted by partial aggregates, so a signature that very many sets have is no hot group; the
+    join back to its members is one that Spark splits.
+    """
+    open_ = (members.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"))
+             .filter("lo < hi").select("sig", "size"))
+    return members.join(open_, "sig")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """(a, b, linked) of pairs of set prints, decided on the texts of one document of each."""
+def verified(pairs: DataFrame, many: int, rows: DataFrame, classes: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """(a, b, linked) of ``many`` pairs of set prints, decided on the texts of one document of each."""
     reps = classes.select("print", "rep")
     wanted = pairs.select(F.col("a").alias("print")).unionByName(pairs.select(F.col("b").alias("print"))).distinct()
-    who = written(reps.join(wanted, "print", "left_semi"), "wanted")
+    who = written(reps.join(wanted, "print", "left_semi"), "wanted", 2 * many)
     own = (_mostly(rows, who).join(who, F.col("id").eqNullSafe(F.col("rep")))
            .withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).select("print", "text"))
-    found = written(_matching(own, shingle), "texts")
+    found = written(_matching(own, shingle), "texts", 2 * many, VERIFIED_BY_TASK)
     both = (pairs.join(found.select(F.col("print").alias("b"), F.col("text").alias("tb")), "b")
             .join(found.select(F.col("print").alias("a"), F.col("text").alias("ta")), "a"))
     return map_batches(both.sortWithinPartitions("a").select("a", "b", "ta", "tb"),
