@@ -49,3 +49,31 @@ def test_near_duplicates_keep_rows_and_not_ids(spark):
     assert all(len(w) == 1 for w in want)
     assert got == sorted((str(w[0][0]), str(w[0][1])) for w in want)
     assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), SF_SMALL).count() == 0
+
+
+def test_language_rejects_strange_letters_and_keeps_the_rest(spark):
+    real = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text", "lang")
+    thai, greek = "".join(chr(0xE01 + i * 7 % 40) for i in range(80)), "\u03b1\u03b2 \u03b3\u03b4\u03b5 \u03b6\u03b7\u03b8 \u03b9\u03ba"
+    odd = [(1, thai, None), (2, greek, None), (3, None, "en"), (4, "", "en"), (5, "12 34 !!", "en"), (6, "A.", "en"),
+           (7, "All rights reserved.", None), (8, "xq", None), (8, "xq", None), (None, "the end of it", None)]
+    docs = real.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string")).selectExpr(
+        "doc_id", "text", "lang", "1.5 as cost", "'x' as lang_pred", "2 as phrase_chars", "3 as own_0")
+    out = corpus_pipeline.language(spark, docs, SF_SMALL)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"], r["lang"], r["lang_pred"]) for r in out.collect()]
+    want = [(r["doc_id"], r["text"], r["lang"], "x") for r in real.collect() if any(c.isalpha() for c in r["text"] or "")]
+    want += [(i, t, l, "x") for i, t, l in odd if i not in (1, 2, 3, 4, 5)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    blank = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert corpus_pipeline.language(spark, blank, SF_SMALL).count() == len(want) + 2
+    assert corpus_pipeline.language(spark, docs.filter("false"), SF_SMALL).count() == 0
+
+
+def test_language_learns_from_whole_bounded_texts(spark):
+    from tillpoint.llm import langid
+    rows = [(f"{i} " + "en glish words " * 300, "en") for i in range(99)] + [("z" * 9000, "de"), ("y" * 8000, "de")]
+    model = langid.fit(spark.createDataFrame(rows * 2, "text string, lang string"), chars=10_000)
+    # whole texts of 4,5xx characters, two of them fit; of texts that are too long only the shortest is learnt
+    assert model.labels == ["de", "en"] and "y" in model.symbol and "z" not in model.symbol
+    # the automata stand for "y" * 8000 and a gap, and for two texts
+    assert round(2 ** model.bits[0]) == 8001 and 8000 < 2 ** model.bits[1] <= 10_000

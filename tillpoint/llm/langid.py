@@ -13,9 +13,11 @@ The parse steps through many pieces of text at once: whole texts are cut into
 pieces of ``PIECE`` characters, and one step moves all pieces of a batch one
 character ahead in all automata.  A phrase ends at the end of its piece.
 
-Fitting takes a bounded sample: per label the ``rows`` distinct texts with the
-smallest hashes and ``chars`` characters of each.  The automata are as large
-as that sample, labels x rows x chars, and are broadcast.
+Fitting takes a bounded sample of whole texts: per label the distinct texts of
+at most ``longest`` characters with the smallest hashes, ``rows`` of them and
+``chars`` characters together at most; a label that has longer texts only is
+learnt from its shortest one.  The automata are as large as that sample,
+labels x chars, and are broadcast.
 
 Defined results: null text and text without a letter are ``und`` with score 0;
 without any labelled text everything is ``und``; repeated rows are predicted
@@ -32,7 +34,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillpoint.llm.common import ddl, map_batches, pick, texts
 
-SAMPLE_ROWS, SAMPLE_CHARS = 48, 800
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_LONGEST = 48, 38_400, 4_800
+SAMPLE_PARTS = 64       # of a label, whose smallest hashes are found side by side
 PIECE = 512
 PART_CHARS = 4_000_000         # characters parsed at a time
 UNKNOWN = "und"
@@ -188,8 +191,8 @@ def _predict(model: Model):
     codes = model.code_table()
     labels, bits = np.array(model.labels + [UNKNOWN], object), np.array(model.bits)
 
-    def costs(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character (labels x texts), and which texts have a letter."""
+    def costs(docs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits per character (labels x texts), which texts have a letter, and their characters."""
         data = np.frombuffer("\n".join([*docs, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         symbols = codes[data]
         ends = np.cumsum([len(d) + 1 for d in docs])
@@ -209,7 +212,7 @@ def _predict(model: Model):
         order = np.argsort(-lengths, kind="stable")
         got = phrases(model, symbols, starts[order], lengths[order])
         total = np.array([np.bincount(doc[order], weights=n, minlength=len(docs)) for n in got])
-        return total.reshape(len(bits), len(docs)) * bits[:, None] / np.maximum(size, 1), has
+        return total.reshape(len(bits), len(docs)) * bits[:, None] / np.maximum(size, 1), has, size
 
     def parts(docs: list[str]):
         at = 0
@@ -222,47 +225,59 @@ def _predict(model: Model):
             at = end
 
     def work(batch):
-        found, lang, score, lowest = texts(batch), [], [], []
+        found, lang, score, lowest, mean = texts(batch), [], [], [], []
         for docs in parts(found):
-            cost, has = costs(docs)
+            cost, has, size = costs(docs)
             if not len(bits):
                 best, low, sure, has = np.zeros(len(docs), int), np.zeros(len(docs)), np.zeros(len(docs)), has & False
+                many = np.ones(len(docs))
             else:
                 by = np.sort(cost, axis=0)
                 best, low = np.argmin(cost, axis=0), by[0]
                 sure = 1 - low / np.maximum(by[1], 1e-300) if len(bits) > 1 else np.ones(len(docs))
+                many = np.rint(low * size / bits[best])
             lang += labels[np.where(has, best, len(bits))].tolist()
             score += np.where(has, np.clip(sure, 0, 1), 0.0).tolist()
             lowest += np.where(has, low, 0.0).tolist()
-        yield {n: batch.column(n) for n in batch.schema.names} | {"_lang": lang, "_score": score, "_cost": lowest}
+            # the end of a text cuts its last phrase
+            mean += np.where(has, size / np.maximum(many - 1, 1), 0.0).tolist()
+        yield {n: batch.column(n) for n in batch.schema.names} | {
+            "_lang": lang, "_score": score, "_cost": lowest, "_mean": mean}
     return work
 
 
 def fit(docs: DataFrame, train: Column | None = None, text_col: str = "text", lang_col: str = "lang",
-        rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Automata from labelled rows (those where ``train`` holds); at most ``rows`` texts a label, ``chars`` of each."""
+        rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, longest: int = SAMPLE_LONGEST) -> Model:
+    """Automata from whole labelled texts (rows where ``train`` holds); at most ``rows`` and ``chars`` a label."""
     labelled = docs if train is None else docs.filter(train)
     own = pick(labelled, lang=lang_col, text=text_col).filter(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = (own.select("lang", "h").distinct().withColumn("nth", F.row_number().over(first))
-              .filter(F.col("nth") <= rows).select("lang", "h"))
-    sample = (own.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h")
-              .agg(F.min(F.substring("text", 1, chars)).alias("text")).collect())       # labels x rows x chars
+    # texts that are too long come last, by length; no more than one of them is taken
+    size = F.length("text")
+    found = own.select("lang", "h", F.when(size > longest, size).otherwise(0).alias("over")).distinct()
+    for near in (["lang", F.pmod("h", F.lit(SAMPLE_PARTS))], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*near).orderBy("over", "h"))
+        found = found.withColumn("nth", nth).filter((F.col("nth") <= rows) & ((F.col("over") == 0) | (F.col("nth") == 1)))
+    sample = (own.join(F.broadcast(found.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h")
+              .agg(F.min("text").alias("text")).collect())          # labels x rows x longest
     by: dict[str, list[str]] = {}
     for r in sorted(sample, key=lambda r: (r["lang"], r["h"])):
-        by.setdefault(r["lang"], []).append(r["text"])
+        taken = by.setdefault(r["lang"], [])
+        if not taken or sum(map(len, taken)) + len(r["text"]) <= chars:
+            taken.append(r["text"])
     return Model(by)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
             carry: list[str] = ()) -> DataFrame:
-    """(id, lang_pred, score, cost) and the ``carry`` columns.
+    """(id, lang_pred, score, cost, phrase_chars) and the ``carry`` columns.
 
-    score: 1 - lowest cost / second lowest cost.  cost: bits per character of the winner.
+    score: 1 - lowest cost / second lowest cost.  cost: bits per character of the winner.  phrase_chars: characters
+    (a run of others than letters is one) for each phrase of the winner but the last; near 1 where no sample has the
+    text's letters, and 0 without a language.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = pick(docs, **{"id": id_col, "text": text_col} | {f"c_{i}": c for i, c in enumerate(carry)})
-    out = map_batches(own, lambda: _predict(shared.value), ddl(own) + ", _lang string, _score double, _cost double")
+    out = map_batches(own, lambda: _predict(shared.value), ddl(own) + ", _lang string, _score double, _cost double, _mean double")
     return out.select(F.col("id").alias(id_col), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"),
-                      F.col("_cost").alias("cost"), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)])
+                      F.col("_cost").alias("cost"), F.col("_mean").alias("phrase_chars"), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)])
