@@ -26,6 +26,7 @@ from tillpoint.llm import bpe, decontaminate, jaccard_join, langid, secrets
 from tillpoint.llm.common import table, written
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+LEAST_PHRASE = 1.25     # characters a phrase; letters that no language has are phrases of their own
 
 
 def others(docs: DataFrame, *names: str) -> list[str]:
@@ -33,12 +34,16 @@ def others(docs: DataFrame, *names: str) -> list[str]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents for which a language is found."""
+    """Keep the documents for which a language is found: their phrases must be longer than strange letters' are."""
     model = langid.fit(docs)
-    seen = langid.predict(docs, model, carry=[f for f in others(docs, "doc_id")])
-    unread = F.col("lang_pred") == langid.UNKNOWN
-    # without any labelled text no language can be found, and none is rejected for it
-    return seen.filter(~unread if model.labels else F.col("text").rlike(r"\p{L}")).select(*docs.columns)
+    if not model.labels:        # without any labelled text no language can be found, and none is rejected for it
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    # numbered names, so that no column of the table has the name of a result
+    own = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
+    at = dict(zip(docs.columns, own.columns))
+    seen = langid.predict(own, model, at["doc_id"], at["text"], carry=others(own, at["doc_id"]))
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("phrase_chars") >= LEAST_PHRASE)
+    return seen.filter(known).select(*own.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
