@@ -3,6 +3,7 @@
 import decimal
 
 from tillpoint.operators import quality as Q
+from tillpoint.session import ensure_session_defaults
 
 D = decimal.Decimal
 
@@ -46,3 +47,9 @@ def test_audit_log_replay_reproduces_new_snapshot(spark):
     assert sorted(map(tuple, rebuilt.select(*key).collect())) == sorted(map(tuple, after.select(*key).collect()))
     ops = {r.operation_type for r in log.select("operation_type").distinct().collect()}
     assert ops == {"INSERT", "UPDATE", "DELETE"}
+
+
+def test_shuffled_keys_are_not_put_together_by_compressed_size(spark):
+    """Keys compress well: Spark's default of 64 MB shuffled is more than 1 GB in a task (quality_fk on 36 million lines)."""
+    ensure_session_defaults(spark)
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"

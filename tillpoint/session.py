@@ -10,12 +10,15 @@ from pyspark.sql import SparkSession
 # Settings every operator relies on: naive timestamps are interpreted in UTC,
 # arithmetic is ANSI (division by zero raises, so operators use NULLIF), and
 # AQE may coalesce shuffle partitions / split skewed join partitions at runtime.
+# It goes by compressed bytes, and keys compress well: 64 MB of them (Spark's
+# default) are more than 1 GB in one task's sorts and hash tables, so less is put together.
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
 }
 
 
