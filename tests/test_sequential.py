@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillpoint.functions.graph import connected_components
-from tillpoint.operators import mutations as M
+from tillpoint.operators import mutations as M, sequential
 from tillpoint.operators.sequential import replay_unique
 
 
@@ -45,6 +45,27 @@ def test_replay_of_random_requests(spark, seed):
     assert codes == {i: 400 if not s else 409 if i in want else 404 if k >= rows else 200 for i, k, s in requests}
 
 
+@pytest.mark.parametrize("seed,slice_rows", [(0, 25), (1, 40), (3, 60), (4, 1000)])
+def test_replay_in_slices(spark, monkeypatch, seed, slice_rows):
+    """A component larger than a slice: no task sorts all of it, values are handed on from slice to slice."""
+    rng = random.Random(100 + seed)
+    columns = ["email", "phone"][: 1 + seed % 2]
+    rows, names = 9 + 6 * seed, 8 + 4 * seed
+    value = lambda: rng.choice([None, *(f"v{n}" for n in range(names)), "hot"])
+    table = {k: {c: value() for c in columns} for k in range(rows)}
+    requests = [(10 * i, rng.randrange(rows + 2), {c: value() for c in columns if rng.random() < 0.8}) for i in range(250)]
+    schema = ", ".join(f"{c} string" for c in columns)
+    t = spark.createDataFrame([(k, *(v[c] for c in columns)) for k, v in table.items()], f"id int, {schema}")
+    r = spark.createDataFrame([(i, k, list(s), *(s.get(c) for c in columns)) for i, k, s in requests],
+                              f"request_id long, id int, provided array<string>, {schema}").repartition(4)
+    streams = []
+    handed_on = sequential._handed_on
+    monkeypatch.setattr(sequential, "_handed_on", lambda df, folder: (streams.append(df), handed_on(df, folder)))
+    got = replay_unique(t, r, "id", columns, F.col("provided"), F.col("id") < rows, slice_rows=slice_rows)
+    assert {x["request_id"]: x["taken"] for x in got.collect()} == one_at_a_time(table, requests, columns)[0]
+    assert len(streams) == 3 if slice_rows == 1000 else len(streams) > 3          # held at the start, marks, a write per slice
+
+
 def subdomains(spark, held, requests):
     clients = spark.createDataFrame(held, "client_id int, subdomain string")
     out = M.set_subdomains(clients, spark.createDataFrame(requests, "request_id long, client_id int, subdomain string"))

@@ -14,12 +14,16 @@ of requests that share values, directly or along a chain of rows.
 2. The rest forms a graph of rows and the values that they hold or ask for.
    Its connected components don't touch each other.
 3. Each component is replayed in request order.  Components are dealt over the
-   cluster and stream through a task sorted by request, one after another; a
-   task holds the values in use of one component and never its requests.
+   cluster and stream through a task sorted by request, one after another.  A
+   component of very many requests goes in slices of ``slice_rows``: a task
+   sorts one slice and holds the values that the slice touches, whatever the
+   component's size; a value waits on disk for the next slice that touches it.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -27,10 +31,11 @@ from tillpoint.functions.graph import connected_components
 from tillpoint.session import checkpoint_dir
 
 ALWAYS = (1 << 63) - 1
+SLICE_ROWS = 1_000_000
 
 
 def replay_unique(table: DataFrame, requests: DataFrame, key: str, columns: list[str],
-                  provided: Column | None = None, acts: Column | None = None) -> DataFrame:
+                  provided: Column | None = None, acts: Column | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(request_id, taken): the columns whose values another row holds when a request's turn comes, if any.
 
     ``provided`` names the columns that a request sets (all, if not given); NULL values are free for all.  A
@@ -86,49 +91,120 @@ def replay_unique(table: DataFrame, requests: DataFrame, key: str, columns: list
         comps = connected_components(edges.select(F.concat(F.lit("k:"), "k").alias("a"), F.concat(F.lit("v:"), "node").alias("b")))
         of_row = comps.filter(F.col("node").startswith("k:")).select(F.expr("substr(node, 3)").alias("k"), "comp")
         of_node = comps.filter(F.col("node").startswith("v:")).select(F.expr("substr(node, 3)").alias("node"), "comp")
-        taken = taken.unionByName(_replayed(asks, acting, refused, watching, held, edges, of_row, of_node))
+        taken = taken.unionByName(_replayed(asks, acting, refused, watching, held, edges, of_row, of_node, slice_rows))
     return (taken.select("request_id", F.substring_index("node", "=", 1).alias("col")).groupBy("request_id")
             .agg(F.sort_array(F.collect_set("col")).alias("taken")))         # at most one entry per unique column
 
 
-def _replayed(asks, acting, refused, watching, held, edges, of_row, of_node) -> DataFrame:
-    """(request_id, node) that are taken when their turn comes, component by component."""
+def _replayed(asks, acting, refused, watching, held, edges, of_row, of_node, slice_rows) -> DataFrame:
+    """(request_id, node) that are taken when their turn comes, component by component and slice by slice.
+
+    A slice takes in the held values that its requests ask for or whose rows they move, and hands each value that is
+    held at its end to the next slice that touches the value or its row; such pairs wait in a folder per slice.
+    """
+    spark = edges.sparkSession
     live = edges.select("node").distinct()
     none = F.expr("cast(array() as array<string>)")
-    begin = (held.filter(F.col("until") < ALWAYS).join(live, "node", "left_semi").join(of_row, "k")
-             .select("comp", F.lit(0).alias("part"), F.lit(0).cast("long").alias("request_id"), "k", none.alias("cols"),
-                     F.array("node").alias("nodes")))
+    begin = held.filter(F.col("until") < ALWAYS).join(live, "node", "left_semi").join(of_row, "k").select("comp", "k", "node")
     wants = (acting.join(live, "node", "left_semi").groupBy("request_id")
              .agg(F.collect_list("node").alias("nodes")))                   # at most one per unique column
     moves = (asks.filter("acts").select("request_id", "k", "cols").distinct().join(refused, "request_id", "left_anti").join(of_row, "k")
              .join(wants, "request_id", "left")
-             .select("comp", F.lit(1).alias("part"), F.col("request_id").cast("long"), "k", "cols",
+             .select("comp", F.lit(2).alias("part"), F.col("request_id").cast("long"), "k", "cols",
                      F.coalesce("nodes", none).alias("nodes")))
     looks = (watching.join(of_node, "node")
-             .select("comp", F.lit(2).alias("part"), F.col("request_id").cast("long"), "k", none.alias("cols"),
+             .select("comp", F.lit(3).alias("part"), F.col("request_id").cast("long"), "k", none.alias("cols"),
                      F.array("node").alias("nodes")))
-    rows = begin.unionByName(moves).unionByName(looks)
-    order = [F.col("comp"), F.when(F.col("part") == 0, 0).otherwise(1), F.col("request_id")]
-    return rows.repartition("comp").sortWithinPartitions(*order).mapInArrow(_replay, "request_id long, node string")
+    turns = moves.unionByName(looks).checkpoint()
+
+    # slices in request order, so that none has many more than slice_rows rows of the large components
+    large = turns.groupBy("comp").count().filter(F.col("count") > slice_rows)
+    n = -(-(large.agg(F.sum("count")).first()[0] or 0) // slice_rows)
+    cuts = []
+    if n > 1:
+        cuts = sorted(set(turns.join(large, "comp", "left_semi").agg(F.percentile_approx(
+            "request_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []))
+    after = F.lit(0)
+    for cut in cuts:
+        after = after + F.when(F.col("request_id") > cut, 1).otherwise(0)
+    turns = turns.withColumn("slice", after)
+    of_slice = lambda c: Window.partitionBy("comp", c).orderBy("slice")      # noqa: E731
+    if cuts:
+        turns = turns.checkpoint()
+        rows = (turns.filter("part = 2").select("comp", "k", "slice").distinct()
+                .withColumn("next_row", F.lead("slice").over(of_slice("k"))).checkpoint())
+        values = (turns.select("comp", F.explode("nodes").alias("node"), "slice").distinct()
+                  .withColumn("next_value", F.lead("slice").over(of_slice("node"))).checkpoint())
+        begin = (begin.join(rows.groupBy("k").agg(F.min("slice").alias("next_row")), "k", "left")
+                 .join(values.groupBy("node").agg(F.min("slice").alias("next_value")), "node", "left"))
+    else:
+        begin = begin.withColumn("next_row", F.lit(0))
+
+    folder = f"{checkpoint_dir(spark)}/replay-{uuid.uuid4()}"
+    form = "comp string, request_id long, k string, node string, next_row int, next_value int"
+    marks = spark.range(-1, len(cuts) + 1).select(F.col("id").cast("int").alias("slice"))       # no folder is missing
+    _handed_on(begin.select(*_columns(form, begin)), folder)
+    _handed_on(marks.select(*_columns(form, marks), "slice"), folder)
+    order = [F.col("comp"), F.when(F.col("part") == 3, 2).otherwise(F.col("part")), F.col("request_id")]
+    all_columns = form + ", part int, cols array<string>, nodes array<string>"
+    for i in range(len(cuts) + 1):
+        now = spark.read.schema(form).parquet(f"{folder}/slice={i}").filter("k is not null").withColumn("part", F.lit(0))
+        parts = [now, turns.filter(F.col("slice") == i)]
+        if cuts:
+            parts += [x.filter(F.col("slice") == i).withColumn("part", F.lit(1)) for x in (rows, values)]
+        stream = parts[0].select(*_columns(all_columns, now))
+        for x in parts[1:]:
+            stream = stream.unionByName(x.select(*_columns(all_columns, x)))
+        _handed_on(stream.repartition("comp").sortWithinPartitions(*order).mapInArrow(_replay, form), folder)
+    return spark.read.schema(form).parquet(f"{folder}/slice=-1").filter("node is not null").select("request_id", "node")
+
+
+def _columns(form: str, df: DataFrame) -> list[Column]:
+    """The columns of ``form`` in ``df``, NULL where it has none."""
+    pairs = [x.split(" ") for x in form.split(", ")]
+    return [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in pairs]
+
+
+def _handed_on(df: DataFrame, folder: str) -> None:
+    """Appends held values to the folder of the next slice that touches them (none: dropped), and what is taken to -1."""
+    if "slice" not in df.columns:
+        df = df.withColumn("slice", F.when(F.col("k").isNull(), F.lit(-1)).otherwise(F.least("next_row", "next_value")))
+    df.filter("slice is not null").write.mode("append").partitionBy("slice").parquet(folder)
 
 
 def _replay(batches):
-    """Rows of a component in order: what is held at the start (part 0), requests (1), refused ones that look (2)."""
-    now, holders, own = None, {}, {}
+    """Rows of a component in order: held values (part 0), next slices (1), requests (2), refused ones that look (3)."""
+    names = ("comp", "request_id", "k", "node", "next_row", "next_value")
+    types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32())
+    now, holders, own, next_row, next_value = None, {}, {}, {}, {}
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * 6, types)], list(names))
+
+    def left():
+        """What is held when a component ends, for those slices that touch it later."""
+        pairs = ((now, None, k, n, next_row.get(k), next_value.get(n)) for n, ks in holders.items() for k in ks)
+        return [x for x in pairs if x[4] is not None or x[5] is not None]
+
     for batch in batches:
-        ids, found = [], []
-        for comp, part, request, k, cols, nodes in zip(*(batch.column(c).to_pylist() for c in (
-                "comp", "part", "request_id", "k", "cols", "nodes"))):
+        found = []
+        for comp, part, request, k, node, cols, nodes, row, value in zip(*(batch.column(c).to_pylist() for c in (
+                "comp", "part", "request_id", "k", "node", "cols", "nodes", "next_row", "next_value"))):
             if comp != now:
-                now, holders, own = comp, {}, {}
-            if part == 0:
-                holders.setdefault(nodes[0], set()).add(k)
-                own[k, nodes[0].partition("=")[0]] = nodes[0]
+                found += left()
+                now, holders, own, next_row, next_value = comp, {}, {}, {}, {}
+            if part < 2:
+                if part == 0:
+                    holders.setdefault(node, set()).add(k)
+                    own[k, node.partition("=")[0]] = node
+                if k is not None:
+                    next_row[k] = row
+                if node is not None:
+                    next_value[node] = value
                 continue
             taken = [n for n in nodes if holders.get(n, set()) - {k}]
-            ids += [request] * len(taken)
-            found += taken
-            if part == 2 or taken:
+            found += [(comp, request, None, n, None, None) for n in taken]
+            if part == 3 or taken:
                 continue
             for col in cols:
                 old = own.pop((k, col), None)
@@ -137,7 +213,10 @@ def _replay(batches):
             for n in nodes:
                 holders[n] = {k}
                 own[k, n.partition("=")[0]] = n
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["request_id", "node"])
+        yield batch_of(found)
+    last = left()
+    for i in range(0, len(last), 10_000):
+        yield batch_of(last[i:i + 10_000])
 
 
 def last_set(requests: DataFrame, key: str, columns: list[str], provided: Column | None = None) -> DataFrame:
