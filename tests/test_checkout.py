@@ -90,3 +90,23 @@ def test_checkout_two_carts_compete_and_refusal_frees_stock(spark):
                    3: ("rejected", 400, "Insufficient stock for product ID 10"), 4: ("accepted", 201, None)}
     assert {row.id: row.quantity for row in r.stock.collect()} == {10: 0}
     assert sorted(x.amount for x in r.incomes.collect()) == [3.0, 3.0]
+
+
+def test_carts_that_cannot_fit_are_not_dealt(spark, monkeypatch):
+    """A line above the whole stock refuses its cart before lines are dealt by range; the cart's answer stays."""
+    from pyspark.sql import functions as F
+    from tillpoint.operators import checkout as module
+    reqs = spark.range(1, 7).select(F.col("id").alias("cart_id"), F.to_timestamp_ntz(F.lit("2024-01-01 10:00:00")).alias("requested_at"),
+                                    F.lit("pending").alias("status"), F.lit("paid").alias("payment_status"), F.lit("cash").alias("payment_method"))
+    one = decimal.Decimal("1.00")
+    items = spark.createDataFrame([(1, 1, 10, 4, one), (2, 1, 10, 1, one), (2, 2, 11, 9, one), (3, 1, 10, 3, one), (3, 2, 10, 3, one),
+                                   (4, 1, 11, 2, one), (5, 1, 10, 2, one), (6, 1, 10, 1, one)],
+                                  "cart_id long, pos int, product_id long, quantity int, unit_price decimal(10,2)")
+    dealt, in_ranges = [], module.in_ranges
+    monkeypatch.setattr(module, "in_ranges", lambda df, *a: dealt.append(df.count()) or in_ranges(df, *a))
+    r = module.checkout(reqs, items, spark.createDataFrame([(10, 5), (11, 5)], "id long, quantity int"))
+    no = "Insufficient stock for product ID "
+    assert {x.cart_id: (x.http_code, x.reason) for x in r.decisions.collect()} == {
+        1: (201, None), 2: (400, f"{no}11"), 3: (400, f"{no}10"), 4: (201, None), 5: (400, f"{no}10"), 6: (201, None)}
+    assert {x.id: x.quantity for x in r.stock.collect()} == {10: 0, 11: 3}
+    assert dealt[0] == 4                                  # carts 1, 4, 5 and 6

@@ -28,6 +28,7 @@ the reference's answer: the first failing item decides 404 / 400 / 500.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -110,16 +111,16 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
     eligible = (req.filter(F.col("_pre").isNull()).select("cart_id", "requested_at")
                 .join(bad_carts, "cart_id", "left_anti"))
 
-    # -- lines: one per (cart, product); a line above the whole stock can never fit
-    lines = in_ranges(it.join(eligible, "cart_id", "inner").groupBy("cart_id", "requested_at", "product_id")
-                      .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s")),
-                      ["product_id"], ["requested_at", "cart_id"], ranges)
-    borders = border_keys(lines, ["product_id"])
-    never = lines.filter(F.col("q") > F.col("s")).select("cart_id").distinct()
-    # the working set carries each line's cart status; refused carts leave it for good.
-    # Each round only the products that still have an open cart are recomputed.
-    act = lines.join(never, "cart_id", "left_anti").withColumn("st", F.lit("open")).checkpoint()
-    rounds, before = 0, None
+    # -- lines: one per (cart, product); a line above the whole stock can never fit, so its cart goes before anything is dealt
+    lines = (it.join(eligible, "cart_id", "inner").groupBy("cart_id", "requested_at", "product_id")
+             .agg(F.sum("quantity").alias("q"), F.first("_stock").alias("s"))
+             .withColumn("_never", F.max(F.col("q") > F.col("s")).over(Window.partitionBy("cart_id")))
+             .filter(~F.col("_never")).drop("_never"))
+    # the working set carries each line's cart status; refused carts and products without open carts leave it for good
+    act = in_ranges(lines, ["product_id"], ["requested_at", "cart_id"], ranges).withColumn("st", F.lit("open"))
+    borders = border_keys(act, ["product_id"])
+    sold = ["product_id", "requested_at", "cart_id", "q"]
+    rounds, before, taken = 0, None, [act.filter("false").select(*sold)]
     while True:
         n_open = act.filter(F.col("st") == "open").count()
         if n_open == 0:
@@ -135,24 +136,27 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
         dec = (pre_sums.filter(F.col("st") == "open").groupBy("cart_id")
                .agg(F.bool_and((F.col("U") + F.col("q")) <= F.col("s")).alias("all_fit"),
                     F.bool_or((F.col("L") + F.col("q")) > F.col("s")).alias("any_fail"))
-               .select("cart_id", F.when(F.col("all_fit"), F.lit("acc"))
-                                   .when(F.col("any_fail"), F.lit("rej")).alias("new_st")))
-        act = (act.join(dec, "cart_id", "left")
-               .select(*[c for c in act.columns if c != "st"], F.coalesce(F.col("new_st"), F.col("st")).alias("st"))
+               .filter("all_fit or any_fail")
+               .select("cart_id", F.when(F.col("all_fit"), F.lit("acc")).otherwise(F.lit("rej")).alias("new_st")))
+        # all lines of a cart that was open are in ``work``: what is accepted now is read from this round's lines
+        act = (work.join(dec, "cart_id", "left")
+               .select(*[c for c in act.columns if c != "st"], F.coalesce(F.col("new_st"), F.col("st")).alias("st"),
+                       (F.col("new_st") == "acc").alias("now"))
                .filter(F.col("st") != "rej")
                .checkpoint())
+        taken.append(act.filter("now").select(*sold))
+        act = act.drop("now")
 
-    accepted = act.filter(F.col("st") == "acc").select("cart_id").distinct()
+    acc_lines = reduce(DataFrame.unionByName, taken)
+    accepted = acc_lines.select("cart_id").distinct().checkpoint()
 
     # -- final replay for reasons: stock used by accepted carts before each cart, item by item
-    acc_lines = lines.join(accepted, "cart_id", "left_semi").select("product_id", "requested_at", "cart_id", "q")
     used_tot = acc_lines.groupBy("product_id").agg(F.sum("q").alias("_used"))
     probe = (it.join(req.select("cart_id", "requested_at"), "cart_id", "inner")
-             .join(accepted.withColumn("_acc", F.lit(True)), "cart_id", "left"))
+             .join(accepted, "cart_id", "left_anti"))           # an accepted cart has no reason
     # usage before each cart = running sum of accepted lines in cart order (per product)
     marks = (acc_lines.select("product_id", "requested_at", "cart_id", F.col("q").alias("_w"))
              .unionByName(probe.select("product_id", "requested_at", "cart_id").distinct()
-                          .join(acc_lines.select("product_id", "cart_id"), ["product_id", "cart_id"], "left_anti")
                           .withColumn("_w", F.lit(0).cast("long"))))
     marks = in_ranges(marks, ["product_id"], ["requested_at", "cart_id"], ranges)
     before = prefix_sums(marks, "product_id", ["requested_at", "cart_id"], {"_before": "_w"},
@@ -164,7 +168,7 @@ def checkout(requests: DataFrame, items: DataFrame, products: DataFrame, users:
                                  .when(F.col("_stock") < F.coalesce(F.col("_before"), F.lit(0)) + F.col("_cum"),
                                        F.lit(400))
                                  .when(F.col("_static") == 500, F.lit(500))))
-    first_fail = (chk.filter(F.col("_code").isNotNull() & F.col("_acc").isNull())
+    first_fail = (chk.filter(F.col("_code").isNotNull())
                   .groupBy("cart_id").agg(F.min(F.struct("pos", "_code", "product_id")).alias("_f")))
     reason = (F.when(F.col("_f._code") == 404, F.concat(F.lit("Product ID "), F.col("_f.product_id").cast("string"),
                                                         F.lit(" not found")))
