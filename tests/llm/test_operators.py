@@ -6,10 +6,11 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
-from tillpoint.llm import bpe, decontaminate, jaccard_join, kneser_ney, langid, license_scan, pii, secrets, sharding, topk
+from tillpoint.llm import bpe, common, decontaminate, jaccard_join, kneser_ney, langid, license_scan, pii, secrets, sharding, topk
 from tests.conftest import SF_SMALL
 
 EDGES = [(1, None), (2, ""), (3, "   \n"), (4, "one"), (5, "same words here again and again"), (5, "same words here again and again"),
@@ -59,6 +60,31 @@ def test_decontamination_finds_every_window(spark, docs):
     assert not decontaminate.decontaminate(docs, bench.filter("false")).filter("size(spans) > 0").count()
 
 
+def test_batches_of_long_texts_are_worked_on_in_pieces(spark, docs, monkeypatch):
+    """The pieces have all rows in order; the steps of the pipeline that hold texts' words ask for them."""
+    texts = ["x" * (i * 37 % 400) for i in range(500)] + ["y" * 10_000, None, ""]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    cut = list(common.pieces(batch, 4000))
+    assert pa.Table.from_batches(cut).to_pydict() == batch.to_pydict()
+    assert all(p.nbytes <= 4000 or p.num_rows == 1 for p in cut) and len(cut) < 100
+    assert list(common.pieces(batch, None)) == [batch] and list(common.pieces(batch.slice(0, 0), 1))[0].num_rows == 0
+
+    asked = []
+
+    def noted(df, start, schema, piece_bytes=None):
+        asked.append(piece_bytes)
+        return common.map_batches(df, start, schema, piece_bytes and 3000)
+    bench = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet")
+    copies = docs.unionByName(docs.selectExpr("doc_id + 5000000 as doc_id", "text", "id", "spans", "block", "lang"))
+    plain = [sorted(decontaminate.decontaminate(copies, bench).collect(), key=str),
+             sorted(jaccard_join.jaccard_components(copies).collect(), key=str)]
+    for module in (decontaminate, jaccard_join):
+        monkeypatch.setattr(module, "map_batches", noted)
+    assert plain == [sorted(decontaminate.decontaminate(copies, bench).collect(), key=str),
+                     sorted(jaccard_join.jaccard_components(copies).collect(), key=str)]
+    assert len(asked) >= 4 and all(p and p <= 16 << 20 for p in asked)
+
+
 def test_suffix_array_and_search():
     rng = np.random.default_rng(3)
     symbols = np.append(0, rng.integers(0, 4, 400))

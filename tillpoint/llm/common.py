@@ -99,19 +99,33 @@ def record_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str) -> DataFrame:
+def pieces(batch: pa.RecordBatch, piece_bytes: int | None) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in pieces of about ``piece_bytes``; a larger row is a piece of its own."""
+    if piece_bytes is None or batch.num_rows < 2 or batch.nbytes <= piece_bytes:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), piece_bytes)
+    yield from pieces(batch.slice(half), piece_bytes)
+
+
+def map_batches(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], Iterator[dict]]], schema: str,
+                piece_bytes: int | None = None) -> DataFrame:
     """Arrow batches of ``df`` through a function that ``start`` makes once per task.
 
     The function yields dicts of columns; columns of the batch may be handed
-    on as they are, so ids of any type and nulls stay exact.
+    on as they are, so ids of any type and nulls stay exact.  With
+    ``piece_bytes`` it gets a batch in pieces of about that size: what it
+    makes of a whole batch of long texts is many times the batch.
     """
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         work = start()
         for batch in batches:
-            for columns in work(batch):
-                yield record_batch(columns, arrow)
+            for piece in pieces(batch, piece_bytes):
+                for columns in work(piece):
+                    yield record_batch(columns, arrow)
     return df.mapInArrow(run, schema)
 
 

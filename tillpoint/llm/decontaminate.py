@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, functions as F
 from tillpoint.llm.common import ddl, map_batches, pick, texts, word_char_spans, words
 
 SAMPLE = 8
-SHARD_SYMBOLS = 1 << 20
+SHARD_SYMBOLS = 1 << 18
+PIECE_BYTES = 4 << 20           # of a batch that a task looks at at a time
 
 
 def sorted_order(*keys: np.ndarray) -> np.ndarray:
@@ -264,7 +265,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
     for b in range(blocks):
         items = bench.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
         phrases = sc.broadcast(Phrases([(r["item"], r["text"]) for r in items], n))
-        out = map_batches(out, lambda p=phrases, last=b == blocks - 1: _lookup(p, last), schema)
+        out = map_batches(out, lambda p=phrases, last=b == blocks - 1: _lookup(p, last), schema, PIECE_BYTES)
     return out.select(F.col("id").alias(id_col), F.col("_n_words").alias("n_words"), F.col("_spans").alias("spans"),
                       F.col("_items").alias("items"), F.col("_clean").alias("clean_text"),
                       *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)])

@@ -71,6 +71,8 @@ BAND = 1.4              # the sizes of a band differ by this factor at most
 SPARES = (0.12, 0.25)       # units beyond h + 1, as a share of them
 HUB_GROWTH = 64
 VERIFIED_BY_TASK = 4_000
+PIECE_BYTES = 4 << 20   # of a batch that a task looks at at a time
+SEEN_PRINTS = 20_000    # that a task remembers, so that copies near each other are signed once
 FILTER_WORDS = 1 << 18  # 64 bits each, for the ids whose texts are verified
 BAND_BITS = 6           # a signature's low bits: its band, then whether it may be dropped
 PARITIES = [f"k{i}" for i in range(8)]      # 512 parities as longs
@@ -202,7 +204,8 @@ def _sign(n: int, num: int, den: int, sets: int):
     seen: set[bytes] = set()
 
     def work(batch):
-        seen.clear()                    # copies in one batch are signed once
+        if len(seen) > SEEN_PRINTS:
+            seen.clear()
         sizes, prints, sigs, drops, parity = [], [], [], [], []
         for h in shingle_hashes(texts(batch), n):
             size = len(h)
@@ -256,7 +259,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, num: int = 85, den: in
     sets = max(1, total // 8)                       # sets of one band, for the cost of accidental matches
     signed = written(map_batches(rows, lambda: _sign(shingle, num, den, sets), f"""id {id_type}, n int, print binary,
         {", ".join(f"{k} long" for k in PARITIES)}, sigs array<long>,
-        drops array<struct<band: int, left: int>>"""), "signatures")
+        drops array<struct<band: int, left: int>>""", PIECE_BYTES), "signatures")
     classes = written(signed.filter("n > 0").groupBy("print").agg(
         F.min("id").alias("rep"), F.first("n").alias("n"), *[F.first(k).alias(k) for k in PARITIES])
         .withColumn("key", F.xxhash64("print")), "classes")
@@ -370,7 +373,7 @@ def verified(pairs: DataFrame, many: int, rows: DataFrame, classes: DataFrame, s
     both = (pairs.join(found.select(F.col("print").alias("b"), F.col("text").alias("tb")), "b")
             .join(found.select(F.col("print").alias("a"), F.col("text").alias("ta")), "a"))
     return map_batches(both.sortWithinPartitions("a").select("a", "b", "ta", "tb"),
-                       lambda: _verify(shingle, num, den), "a binary, b binary, linked boolean")
+                       lambda: _verify(shingle, num, den), "a binary, b binary, linked boolean", PIECE_BYTES)
 
 
 def _mostly(rows: DataFrame, who: DataFrame) -> DataFrame:
@@ -398,4 +401,4 @@ def _matching(own: DataFrame, shingle: int) -> DataFrame:
             at = np.flatnonzero(keep)
             yield {"print": batch.column("print").take(at), "text": [got[i] for i in at]}
         return work
-    return map_batches(own, start, "print binary, text string").groupBy("print").agg(F.min("text").alias("text"))
+    return map_batches(own, start, "print binary, text string", PIECE_BYTES).groupBy("print").agg(F.min("text").alias("text"))
