@@ -114,6 +114,31 @@ def test_collocations_of_documents(spark, monkeypatch):
     assert collocations.collocations(df.filter("false")).collect() == []
 
 
+def grams_of(spark, texts, least=2):
+    rows = spark.createDataFrame([(t, "x") for t in texts], "text string, lang string").coalesce(1)
+    share, slots = spark.sparkContext.broadcast, collocations.FEWEST_SLOTS
+    bits = share(collocations.frequent_slots(rows, least, slots, 1, 5))
+    long_bits = share(collocations.frequent_slots(rows, least, slots, 1, 5, bits))
+    return [tuple(r) for r in collocations.longest_grams(rows, bits, long_bits, slots, 5).collect()]
+
+
+def test_a_task_sends_each_gram_once(spark, monkeypatch):
+    """However many parts its texts are cut into; with little room a gram is sent more than once, its counts are the same."""
+    texts = ["aa bb cc dd. ee ff\nee gg " * 3] * 20
+    monkeypatch.setattr(collocations, "PART_BYTES", 60)
+    once = grams_of(spark, texts)
+    assert len({r[:2] for r in once}) == len(once)
+    sums = {r[:2]: r[2] for r in once}
+    assert sums["x", b""] == 8 * 3 * 20 and sums["x", b"aa\0bb\0cc\0dd\0"] == 60
+    monkeypatch.setattr(collocations, "HELD_BYTES", 300)
+    again = grams_of(spark, texts)
+    assert len(again) > len(once)
+    got = Counter()
+    for lang, gram, n in again:
+        got[lang, gram] += n
+    assert got == sums
+
+
 # --- main texts
 
 LONG = " ".join(["some words of a paragraph that goes on"] * 4)

@@ -6,7 +6,7 @@ words as edges between the overlapping nodes, weighted by their occurrences.
 
 1. **Edges.**  Every word position sends the longest gram that begins there:
    an edge, or a shorter gram where the piece ends (the piece-end correction).
-   Equal grams of a part of a task are counted before they leave it.
+   Equal grams of a task are counted before they leave it.
 2. **Node flow.**  A phrase occurs as often as grams begin with it, so the
    count of a node is the flow of its out-edges and its piece ends, and so on
    down to single words.  The grams are dealt and sorted by range: a phrase's
@@ -56,6 +56,7 @@ UNKNOWN = "und"
 
 PART_BYTES = 4_000_000          # of text that a task looks at at a time
 EMIT_ROWS = 50_000
+HELD_BYTES = 32 << 20           # of grams that a task counts before it sends them
 FEWEST_SLOTS, MOST_SLOTS, SLOT_CHARS, CHUNK_SLOTS = 1 << 20, 1 << 27, 32, 1 << 17
 RANGE_BYTES = 32 << 20          # of text behind one range of grams
 
@@ -206,15 +207,39 @@ def plain(word: bytes) -> bytes:
 
 
 def longest_grams(rows: DataFrame, bits, long_bits, slots: int, longest: int) -> DataFrame:
-    """(lang, gram, n): the longest gram from every position, counted per part; and, under an empty gram, all words."""
+    """(lang, gram, n): the longest gram from every position, counted per task; and, under an empty gram, all words.
+
+    A task that has more than ``HELD_BYTES`` of grams sends what it has counted and begins anew.
+    """
     def run(batches):
+        held: dict[str, dict[bytes, int]] = {}
+        size = 0
+
+        def add(lang: str, grams: list[bytes], counts: list[int]) -> None:
+            nonlocal size
+            own = held.setdefault(lang, {})
+            get, before = own.get, len(own)
+            for gram, n in zip(grams, counts):
+                own[gram] = get(gram, 0) + n
+            if len(own) > before:           # at the mean length of these grams; each has its count and its place beside it
+                size += (len(own) - before) * (128 + sum(map(len, grams)) // len(grams))
+
+        def sent():
+            nonlocal size
+            for lang, own in held.items():
+                grams, counts = list(own), list(own.values())
+                for a in range(0, len(grams), EMIT_ROWS):
+                    part = grams[a:a + EMIT_ROWS]
+                    yield {"lang": [lang] * len(part), "gram": part, "n": counts[a:a + EMIT_ROWS]}
+            held.clear()
+            size = 0
         for batch in batches:
             for lang, data in parts_of(batch):
                 part = Part(lang, data)
                 total = len(part.words)
                 if not total:
                     continue
-                yield {"lang": [lang], "gram": [b""], "n": [total]}
+                add(lang, [b""], [total])
                 code, many = part.code, len(part.distinct)
                 known, pair = part.known_pairs(bits.value, slots)
                 words = escaped(part.words)
@@ -233,12 +258,15 @@ def longest_grams(rows: DataFrame, bits, long_bits, slots: int, longest: int) ->
                     some = np.zeros(len(found), np.int64)
                     some[ends] = at[gone]               # a place where each gram stands
                     for a in range(0, len(some), EMIT_ROWS):
-                        grams = [b"\0".join(words[i:i + k]) + b"\0" for i in some[a:a + EMIT_ROWS].tolist()]
-                        yield {"lang": [lang] * len(grams), "gram": grams, "n": counts[a:a + EMIT_ROWS]}
+                        add(lang, [b"\0".join(words[i:i + k]) + b"\0" for i in some[a:a + EMIT_ROWS].tolist()],
+                            counts[a:a + EMIT_ROWS].tolist())
+                        if size > HELD_BYTES:
+                            yield from sent()
                     if k == longest or not on.any():
                         break
                     at, node = at[on], node[on]
                     node, found = pd.factorize(node * many + code[at + k])
+        yield from sent()
     return arrow_map(rows, run, "lang string, gram binary, n long")
 
 
