@@ -139,6 +139,56 @@ def test_a_task_sends_each_gram_once(spark, monkeypatch):
     assert got == sums
 
 
+def test_gram_rows_do_not_grow_with_the_splits_of_the_table(spark, monkeypatch):
+    """A gram is sent once a core at most, in however many splits the texts are read."""
+    sent = []
+
+    def counted(df, what, *args, **options):
+        out = written(df, what, *args, **options)
+        if what == "grams":
+            sent.append((out.count(), out.select("lang", "gram").distinct().count()))
+        return out
+    written = collocations.written
+    monkeypatch.setattr(collocations, "written", counted)
+    cores = spark.sparkContext.defaultParallelism
+    texts = [("aa bb cc dd. ee ff\nee gg " * 3, "x")] * 8 * cores
+    found = [sorted(map(tuple, collocations.collocations(
+        spark.createDataFrame(texts, "text string, lang string").repartition(splits), 10).collect()))
+        for splits in (cores, 5 * cores)]
+    assert found[0] == found[1] and found[0]
+    assert all(grams > 1 and rows <= cores * grams for rows, grams in sent) and len(sent) == 2
+    # tables beyond TASK_BYTES a core have more tasks
+    monkeypatch.setattr(collocations, "TASK_BYTES", 100)
+    again = collocations.collocations(spark.createDataFrame(texts, "text string, lang string").repartition(5 * cores), 10)
+    assert sorted(map(tuple, again.collect())) == found[0]
+    assert sent[2][0] > cores * sent[2][1]
+
+
+def test_grams_that_do_not_fit_in_memory_are_sent_once(spark, monkeypatch):
+    """With no room for more than a few grams in memory they wait in files, and rows and counts are the same."""
+    texts = [f"aa bb. w{i} v{i}. " * 3 for i in range(60)]
+    once = sorted(grams_of(spark, texts))
+    assert len({r[:2] for r in once}) == len(once) and ("x", b"aa\0bb\0", 180) in once
+    monkeypatch.setattr(collocations, "ROOM_BYTES", 2000, raising=False)
+    monkeypatch.setattr(collocations, "PART_BYTES", 60)
+    assert sorted(grams_of(spark, texts)) == once
+
+
+def test_grams_in_files(tmp_path):
+    grams, sums = collocations.Grams(1000, str(tmp_path)), Counter()
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        words = [b"%d\0" % w for w in set(rng.integers(0, 300, 20).tolist())]
+        lang = "abé"[int(rng.integers(0, 3))]
+        grams.add(lang, words, [2] * len(words))
+        for w in words:
+            sums[lang, w] += 2
+    assert len(grams.files) > 10 and grams.size <= 1000 < grams.waiting
+    sent = [row for part in grams.sent() for row in zip(part["lang"], part["gram"], part["n"])]
+    assert len(sent) == len(sums) and {r[:2]: r[2] for r in sent} == sums
+    assert not list(tmp_path.iterdir()) and not list(grams.sent())
+
+
 # --- main texts
 
 LONG = " ".join(["some words of a paragraph that goes on"] * 4)

@@ -6,7 +6,10 @@ words as edges between the overlapping nodes, weighted by their occurrences.
 
 1. **Edges.**  Every word position sends the longest gram that begins there:
    an edge, or a shorter gram where the piece ends (the piece-end correction).
-   Equal grams of a task are counted before they leave it.
+   Equal grams of a task are counted before they leave it, those that do not
+   fit in memory by way of sorted files, and there is one task a core: with one
+   a file split, a corpus of n times the text would have n times the frequent
+   grams and send each from n times the tasks.
 2. **Node flow.**  A phrase occurs as often as grams begin with it, so the
    count of a node is the flow of its out-edges and its piece ends, and so on
    down to single words.  The grams are dealt and sorted by range: a phrase's
@@ -37,7 +40,13 @@ piece is held by one task at a time, a text is cut into parts between pieces.
 
 from __future__ import annotations
 
+import heapq
+import os
+import tempfile
+import uuid
 import zlib
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -56,7 +65,10 @@ UNKNOWN = "und"
 
 PART_BYTES = 4_000_000          # of text that a task looks at at a time
 EMIT_ROWS = 50_000
-HELD_BYTES = 32 << 20           # of grams that a task counts before it sends them
+ROOM_BYTES = 32 << 20           # of grams that a task counts in memory; more wait in sorted files
+HELD_BYTES = 4 << 30            # of grams, in memory and in files, that a task counts before it sends them
+FILE_ROWS = 5_000               # of a file that are in memory at a time
+TASK_BYTES = 1 << 30            # of text for one task, where that makes more tasks than there are cores
 FEWEST_SLOTS, MOST_SLOTS, SLOT_CHARS, CHUNK_SLOTS = 1 << 20, 1 << 27, 32, 1 << 17
 RANGE_BYTES = 32 << 20          # of text behind one range of grams
 
@@ -206,40 +218,79 @@ def plain(word: bytes) -> bytes:
     return word.replace(b"\1\1", b"\0").replace(b"\1\2", b"\1") if b"\1" in word else word
 
 
+class Grams:
+    """Counts of the grams of a task; beyond ``room`` bytes they wait in sorted files, and are merged when they are sent."""
+
+    def __init__(self, room: int, folder: str):
+        self.room, self.folder = room, folder
+        self.held: dict[str, dict[bytes, int]] = {}
+        self.files: list[str] = []
+        self.size = self.waiting = 0        # bytes in memory and, at the same measure, in files
+
+    def add(self, lang: str, grams: list[bytes], counts: list[int]) -> None:
+        own = self.held.setdefault(lang, {})
+        get, before = own.get, len(own)
+        for gram, n in zip(grams, counts):
+            own[gram] = get(gram, 0) + n
+        if len(own) > before:           # at the mean length of these grams; each has its count and its place beside it
+            self.size += (len(own) - before) * (128 + sum(map(len, grams)) // len(grams))
+        if self.size > self.room:
+            self._to_file()
+
+    def _in_order(self):
+        for lang in sorted(self.held):
+            own = self.held[lang]
+            for gram in sorted(own):
+                yield lang, gram, own[gram]
+
+    def _to_file(self) -> None:
+        path = os.path.join(self.folder, uuid.uuid4().hex)
+        schema = pa.schema([("lang", pa.string()), ("gram", pa.binary()), ("n", pa.int64())])
+        rows = self._in_order()
+        with pa.OSFile(path, "wb") as file, pa.ipc.new_stream(file, schema, options=pa.ipc.IpcWriteOptions(
+                compression="zstd")) as out:
+            while some := list(islice(rows, FILE_ROWS)):
+                out.write_batch(record_batch(dict(zip(schema.names, zip(*some))), schema))
+        self.files.append(path)
+        self.waiting += self.size
+        self.held, self.size = {}, 0
+
+    @staticmethod
+    def _of_file(path: str):
+        with pa.OSFile(path) as file:
+            for batch in pa.ipc.open_stream(file):
+                yield from zip(*[c.to_pylist() for c in batch.columns])
+
+    def sent(self):
+        """Columns of all grams and their counts, each gram once; nothing is held then."""
+        whole = groupby(heapq.merge(self._in_order(), *map(self._of_file, self.files)), itemgetter(0, 1))
+        rows = ((*gram, sum(n for *_, n in same)) for gram, same in whole)
+        while some := list(islice(rows, EMIT_ROWS)):
+            yield dict(zip(("lang", "gram", "n"), zip(*some)))
+        for path in self.files:
+            os.remove(path)
+        self.held, self.files, self.size, self.waiting = {}, [], 0, 0
+
+
 def longest_grams(rows: DataFrame, bits, long_bits, slots: int, longest: int) -> DataFrame:
     """(lang, gram, n): the longest gram from every position, counted per task; and, under an empty gram, all words.
 
     A task that has more than ``HELD_BYTES`` of grams sends what it has counted and begins anew.
     """
+    room, most = min(ROOM_BYTES, HELD_BYTES), HELD_BYTES
+
     def run(batches):
-        held: dict[str, dict[bytes, int]] = {}
-        size = 0
-
-        def add(lang: str, grams: list[bytes], counts: list[int]) -> None:
-            nonlocal size
-            own = held.setdefault(lang, {})
-            get, before = own.get, len(own)
-            for gram, n in zip(grams, counts):
-                own[gram] = get(gram, 0) + n
-            if len(own) > before:           # at the mean length of these grams; each has its count and its place beside it
-                size += (len(own) - before) * (128 + sum(map(len, grams)) // len(grams))
-
-        def sent():
-            nonlocal size
-            for lang, own in held.items():
-                grams, counts = list(own), list(own.values())
-                for a in range(0, len(grams), EMIT_ROWS):
-                    part = grams[a:a + EMIT_ROWS]
-                    yield {"lang": [lang] * len(part), "gram": part, "n": counts[a:a + EMIT_ROWS]}
-            held.clear()
-            size = 0
+        with tempfile.TemporaryDirectory(prefix="grams-") as folder:
+            yield from counted(batches, Grams(room, folder))
+
+    def counted(batches, grams):
         for batch in batches:
             for lang, data in parts_of(batch):
                 part = Part(lang, data)
                 total = len(part.words)
                 if not total:
                     continue
-                add(lang, [b""], [total])
+                grams.add(lang, [b""], [total])
                 code, many = part.code, len(part.distinct)
                 known, pair = part.known_pairs(bits.value, slots)
                 words = escaped(part.words)
@@ -258,15 +309,15 @@ def longest_grams(rows: DataFrame, bits, long_bits, slots: int, longest: int) ->
                     some = np.zeros(len(found), np.int64)
                     some[ends] = at[gone]               # a place where each gram stands
                     for a in range(0, len(some), EMIT_ROWS):
-                        add(lang, [b"\0".join(words[i:i + k]) + b"\0" for i in some[a:a + EMIT_ROWS].tolist()],
-                            counts[a:a + EMIT_ROWS].tolist())
-                        if size > HELD_BYTES:
-                            yield from sent()
+                        grams.add(lang, [b"\0".join(words[i:i + k]) + b"\0" for i in some[a:a + EMIT_ROWS].tolist()],
+                                  counts[a:a + EMIT_ROWS].tolist())
+                        if grams.size + grams.waiting > most:
+                            yield from grams.sent()
                     if k == longest or not on.any():
                         break
                     at, node = at[on], node[on]
                     node, found = pd.factorize(node * many + code[at + k])
-        yield from sent()
+        yield from grams.sent()
     return arrow_map(rows, run, "lang string, gram binary, n long")
 
 
@@ -335,6 +386,8 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text_col:
     slots = min(MOST_SLOTS, max(FEWEST_SLOTS, 1 << (chars // SLOT_CHARS).bit_length()))
     ranges = max(1, chars // RANGE_BYTES)
     tasks = min(64, ranges)
+    # what a task sends, a table of slots or its grams, grows with the corpus: so the tasks must not, as long as they fit
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, chars // TASK_BYTES))
     bits = spark.sparkContext.broadcast(frequent_slots(rows, least, slots, tasks, longest))
     long_bits = spark.sparkContext.broadcast(frequent_slots(rows, least, slots, tasks, longest, bits))
     grams = written(longest_grams(rows, bits, long_bits, slots, longest), "grams")
