@@ -66,6 +66,58 @@ def test_replay_in_slices(spark, monkeypatch, seed, slice_rows):
     assert len(streams) == 3 if slice_rows == 1000 else len(streams) > 3          # held at the start, marks, a write per slice
 
 
+def jobs_of(spark, columns, n):
+    """Jobs of a replay of n rows that each ask for what the next row holds, in the order that makes one long chain."""
+    schema = ", ".join(f"{c} string" for c in columns)
+    t = spark.createDataFrame([(i, *(f"s{i}" for _ in columns)) for i in range(n)], f"id int, {schema}")
+    r = spark.createDataFrame([(n - i, i, *(f"s{i + 1}" for _ in columns)) for i in range(n)], f"request_id long, id int, {schema}")
+    group = f"chain-{len(columns)}-{n}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = {x["request_id"]: x["taken"] for x in replay_unique(t, r, "id", columns).collect()}
+        assert got == {}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("columns", [["subdomain"], ["bank_account_number", "email", "phone"]])
+def test_jobs_do_not_grow_with_chains(spark, columns):
+    """Time went into finding the groups of requests that hang together, round after round."""
+    assert jobs_of(spark, columns, 400) <= jobs_of(spark, columns, 3) + 2
+
+
+@pytest.mark.parametrize("slice_rows", [30, 1000])
+def test_replay_of_three_columns(spark, monkeypatch, slice_rows):
+    """Values held by several rows, rows without requests, requests of no row; codes that clash at first are made anew."""
+    rng = random.Random(slice_rows)
+    columns, rows = ["email", "phone", "bank"], 14
+    value = lambda: rng.choice([None, *(f"v{n}" for n in range(12)), "hot"])
+    table = {k: {c: value() for c in columns} for k in range(rows)}
+    requests = [(i - 60, rng.randrange(4, rows + 2), {c: value() for c in columns if rng.random() < 0.5}) for i in range(200)]
+    schema = ", ".join(f"{c} string" for c in columns)
+    t = spark.createDataFrame([(k, *(v[c] for c in columns)) for k, v in [*table.items(), *table.items()]]
+                              + [(None, "hot", "hot", "v1")], f"id int, {schema}")
+    r = spark.createDataFrame([(i, k, list(s), *(s.get(c) for c in columns)) for i, k, s in requests + requests[:50]]
+                              + [(7, None, columns, "v1", "v2", "v3"), (None, 5, columns, "v1", "v2", "v3")],
+                              f"request_id int, id int, provided array<string>, {schema}").repartition(4)
+    code, seeds = sequential._code, []
+    monkeypatch.setattr(sequential, "_code", lambda seed, name: (seeds.append(seed), code(seed, name) % (5 if seed < 2 else 1 << 62))[1])
+    got = replay_unique(t, r, "id", columns, F.col("provided"), F.col("id") < rows, slice_rows=slice_rows)
+    assert max(seeds) == 2 and got.schema["request_id"].dataType.simpleString() == "int"
+    assert {x["request_id"]: x["taken"] for x in got.collect()} == one_at_a_time(table, requests, columns)[0]
+
+
+def test_row_that_comes_twice_with_other_values(spark):
+    """It holds both values, frees the one it has as its own and may ask for the other."""
+    t = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, name string")
+    r = spark.createDataFrame([(1, 2, "a"), (2, 2, "b"), (3, 1, "a"), (4, 1, "b"), (5, 2, "a"), (6, 1, "x"), (7, 2, "b")],
+                              "request_id long, id int, name string")
+    for slice_rows in (1, 2, 100):
+        got = replay_unique(t, r, "id", ["name"], slice_rows=slice_rows)
+        assert {x["request_id"] for x in got.collect()} == {1, 2}
+
+
 def subdomains(spark, held, requests):
     clients = spark.createDataFrame(held, "client_id int, subdomain string")
     out = M.set_subdomains(clients, spark.createDataFrame(requests, "request_id long, client_id int, subdomain string"))
